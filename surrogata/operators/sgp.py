@@ -54,7 +54,7 @@ class GPConfig:
     kernel: str = "matern_5_2"
     inducing: str = "auto"          # auto | all | landmarks | kmeans
     max_inducing: int = 512         # m for the sparse modes
-    exact_cap: int = 2048           # auto: Z = training rows while n <= exact_cap
+    exact_cap: int = 1024           # auto: Z = training rows while n <= exact_cap
     multipliers: tuple = (0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
     refine_rounds: int = 1
     lengthscale_init: str = "range"   # range: 3*range_j/n^(1/d);  mean_range: mean(range)/sqrt(d)
@@ -122,8 +122,32 @@ def initial_lengthscale(n: int, lo: np.ndarray, hi: np.ndarray, how: str = "rang
     raise ValueError(f"unknown lengthscale_init {how!r}")
 
 
+# Budget for the per-partition candidate partials (C * m^2 doubles); larger
+# candidate sets are split over several passes.
+PARTIAL_BUDGET_BYTES = 64 * 1024 * 1024
+
+
 def _stats_partials(df: DataFrame, x: str, y: str, Z: np.ndarray, cands: list[np.ndarray],
                     kernel: str) -> dict[str, np.ndarray]:
+    m = Z.shape[0]
+    per_pass = max(1, PARTIAL_BUDGET_BYTES // (8 * m * m))
+    if len(cands) <= per_pass:
+        return _stats_pass(df, x, y, Z, cands, kernel)
+    out: dict[str, np.ndarray] = {}
+    for start in range(0, len(cands), per_pass):
+        part = _stats_pass(df, x, y, Z, cands[start:start + per_pass], kernel)
+        for k, v in part.items():
+            for prefix in ("phi", "b", "k"):
+                if k.startswith(prefix) and k[len(prefix):].isdigit():
+                    out[f"{prefix}{int(k[len(prefix):]) + start}"] = v
+                    break
+            else:
+                out[k] = v
+    return out
+
+
+def _stats_pass(df: DataFrame, x: str, y: str, Z: np.ndarray, cands: list[np.ndarray],
+                kernel: str) -> dict[str, np.ndarray]:
     kern_name = kernel
     C = len(cands)
     m = Z.shape[0]
