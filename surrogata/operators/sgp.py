@@ -43,6 +43,7 @@ LOG2PI = math.log(2.0 * math.pi)
 # Relative jitter on the inducing kernel matrix (escalated on failure) and the
 # relative eigenvalue floor below which directions are numerically unresolved.
 JITTER = 1e-6
+EXACT_JITTER = 1e-8
 EIG_FLOOR = 1e-10
 
 # Hard cap for the inducing set kept on the driver (m x m doubles: 2048 -> 32 MB).
@@ -60,10 +61,11 @@ class GPConfig:
     lengthscale_init: str = "range"   # range: 3*range_j/n^(1/d);  mean_range: mean(range)/sqrt(d)
     prior: str | None = None        # None | "reference" (GP-4) | "lognormal" (GP-5)
     prior_weight: float = 0.25
-    min_noise: float = 1e-5
+    min_noise: float = 1e-4         # GPyTorch's default noise constraint
     max_noise: float = 10.0
     seed: int = 42
     z: float = 2.0                  # interval multiplier for lower/upper
+    jitter: float | None = None     # None: 1e-10 when Z = training rows, else JITTER
 
 
 @dataclass
@@ -128,14 +130,15 @@ PARTIAL_BUDGET_BYTES = 64 * 1024 * 1024
 
 
 def _stats_partials(df: DataFrame, x: str, y: str, Z: np.ndarray, cands: list[np.ndarray],
-                    kernel: str) -> dict[str, np.ndarray]:
+                    whiteners: list[np.ndarray], kernel: str) -> dict[str, np.ndarray]:
     m = Z.shape[0]
     per_pass = max(1, PARTIAL_BUDGET_BYTES // (8 * m * m))
     if len(cands) <= per_pass:
-        return _stats_pass(df, x, y, Z, cands, kernel)
+        return _stats_pass(df, x, y, Z, cands, whiteners, kernel)
     out: dict[str, np.ndarray] = {}
     for start in range(0, len(cands), per_pass):
-        part = _stats_pass(df, x, y, Z, cands[start:start + per_pass], kernel)
+        part = _stats_pass(df, x, y, Z, cands[start:start + per_pass],
+                           whiteners[start:start + per_pass], kernel)
         for k, v in part.items():
             for prefix in ("phi", "b", "k"):
                 if k.startswith(prefix) and k[len(prefix):].isdigit():
@@ -147,11 +150,15 @@ def _stats_partials(df: DataFrame, x: str, y: str, Z: np.ndarray, cands: list[np
 
 
 def _stats_pass(df: DataFrame, x: str, y: str, Z: np.ndarray, cands: list[np.ndarray],
-                kernel: str) -> dict[str, np.ndarray]:
+                whiteners: list[np.ndarray], kernel: str) -> dict[str, np.ndarray]:
+    """One data pass: whitened features phi = L1^-1 k1(Z, x) per candidate, then
+    ``sum phi phi^T``, ``sum phi y^T``, ``sum phi`` (whitening before squaring keeps
+    the condition number from being squared)."""
     kern_name = kernel
     C = len(cands)
     m = Z.shape[0]
     cands_arr = np.stack(cands)
+    Li_arr = np.stack(whiteners)
 
     def fn(batches):
         kern = get_kernel(kern_name)
@@ -171,10 +178,10 @@ def _stats_pass(df: DataFrame, x: str, y: str, Z: np.ndarray, cands: list[np.nda
                 ysum = np.zeros(p)
                 yy = np.zeros(p)
             for c in range(C):
-                K = kern(X, Z, cands_arr[c])            # nb x m
-                phi[c] += K.T @ K
-                b[c] += K.T @ Y
-                ks[c] += K.sum(axis=0)
+                F_ = kern(X, Z, cands_arr[c]) @ Li_arr[c].T     # nb x m, whitened
+                phi[c] += F_.T @ F_
+                b[c] += F_.T @ Y
+                ks[c] += F_.sum(axis=0)
             ysum += Y.sum(axis=0)
             yy += (Y * Y).sum(axis=0)
             n += X.shape[0]
@@ -195,9 +202,11 @@ def _stats_pass(df: DataFrame, x: str, y: str, Z: np.ndarray, cands: list[np.nda
 # driver algebra (all m x m)
 
 
-def _chol_jitter(K: np.ndarray) -> tuple[np.ndarray, float]:
+def _chol_jitter(K: np.ndarray, start: float = None) -> tuple[np.ndarray, float]:
     scale = float(np.mean(np.diag(K))) if K.size else 1.0
-    for j in (JITTER, 1e-5, 1e-4, 1e-3, 1e-2):
+    start = JITTER if start is None else start
+    ladder = [start] + [j for j in (1e-8, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2) if j > start]
+    for j in ladder:
         try:
             return np.linalg.cholesky(K + (j * scale) * np.eye(K.shape[0])), j
         except np.linalg.LinAlgError:
@@ -209,18 +218,22 @@ def _tri_inv(L: np.ndarray) -> np.ndarray:
     return np.linalg.solve(L, np.eye(L.shape[0]))
 
 
-def _decompose(Kzz1: np.ndarray, phi1: np.ndarray, b1c: np.ndarray):
-    """Eigen-basis of A1 = L1^-1 Phi1 L1^-T; directions below the numerical floor are dropped."""
-    L1, _ = _chol_jitter(Kzz1)
-    Li = _tri_inv(L1)
-    A1 = Li @ phi1 @ Li.T
+def _whitener(Kzz1: np.ndarray, jitter: float = None) -> np.ndarray:
+    L1, _ = _chol_jitter(Kzz1, jitter)
+    return _tri_inv(L1)
+
+
+def _decompose(Li: np.ndarray, A1: np.ndarray, bw: np.ndarray):
+    """Eigen-basis of the whitened statistic A1 = sum phi phi^T; directions below the
+    numerical floor are dropped.  Returns a, G = V^T L1^-1, beta = V^T bw, gamma."""
     A1 = 0.5 * (A1 + A1.T)
     a, V = np.linalg.eigh(A1)
     keep = a > EIG_FLOOR * max(float(a.max()), 1e-300)
     a = np.where(keep, a, 0.0)
-    G = V.T @ Li
-    G[~keep, :] = 0.0
-    beta = G @ b1c
+    Vt = V.T.copy()
+    Vt[~keep, :] = 0.0
+    G = Vt @ Li
+    beta = Vt @ bw
     gamma = np.zeros_like(beta)
     gamma[keep] = beta[keep] ** 2 / a[keep, None]
     return a, G, beta, gamma
@@ -310,7 +323,10 @@ def choose_inducing(df: DataFrame, x: str, n: int, cfg: GPConfig, id_col: str |
     if mode == "all":
         if n > min(cfg.exact_cap, MAX_INDUCING):
             raise ValueError(f"exact mode refuses n={n} > {min(cfg.exact_cap, MAX_INDUCING)}; use sparse")
-        rows = df.select(x).collect()
+        # bounded (n <= exact cap); ordered so Z does not depend on partitioning
+        cols = [x] + ([id_col] if id_col and id_col in df.columns else [])
+        rows = df.select(*cols).collect()
+        rows.sort(key=(lambda r: r[1]) if len(cols) == 2 else (lambda r: tuple(r[0])))
         return np.array([r[0] for r in rows], dtype=float)
     m = min(cfg.max_inducing, MAX_INDUCING, n)
     if mode == "landmarks":
@@ -346,6 +362,8 @@ def fit(df: DataFrame, x: str = "x", y: str = "y", cfg: GPConfig | None = None,
     if n == 0:
         raise ValueError("cannot fit a GP on an empty table")
     base = initial_lengthscale(n, lo, hi, cfg.lengthscale_init)
+    exact = Z is None and (cfg.inducing == "all" or (cfg.inducing == "auto" and n <= cfg.exact_cap))
+    jitter = cfg.jitter if cfg.jitter is not None else (EXACT_JITTER if exact else JITTER)
     if Z is None:
         Z = choose_inducing(df, x, n, cfg)
     if Z.ndim != 2 or Z.shape[1] != base.size:
@@ -357,19 +375,18 @@ def fit(df: DataFrame, x: str = "x", y: str = "y", cfg: GPConfig | None = None,
     mults = list(cfg.multipliers)
     for rnd in range(1 + cfg.refine_rounds):
         cands = [base * mu for mu in mults]
-        st = _stats_partials(df, x, y, Z, cands, cfg.kernel)
+        whiten = [_whitener(kern(Z, Z, ls), jitter) for ls in cands]
+        st = _stats_partials(df, x, y, Z, cands, whiten, cfg.kernel)
         nn = int(round(st["n"][0]))
         p = st["ysum"].size
         ybar = st["ysum"] / nn
         yyc = st["yy"] - nn * ybar ** 2
         m = Z.shape[0]
         for c, mu in enumerate(mults):
-            phi1 = st[f"phi{c}"].reshape(m, m)
-            b1 = st[f"b{c}"].reshape(m, p)
-            ks = st[f"k{c}"]
-            b1c = b1 - np.outer(ks, ybar)
+            A1 = st[f"phi{c}"].reshape(m, m)
+            bw = st[f"b{c}"].reshape(m, p) - np.outer(st[f"k{c}"], ybar)
             ls = cands[c]
-            a, G, beta, gamma = _decompose(kern(Z, Z, ls), phi1, b1c)
+            a, G, beta, gamma = _decompose(whiten[c], A1, bw)
             s2, sg, bnd = _best_scale_noise(a, gamma, yyc, nn, cfg)
             score = float(bnd.sum()) + log_prior(ls, nn, cfg)
             search.append({"round": rnd, "multiplier": float(mu), "bound": float(bnd.sum()),
