@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from surrogata.operators import pca as pca_ops
 from surrogata.operators import sgp
+from surrogata.operators.blas import single_thread_blas
 from surrogata.operators.arrowutil import list_to_matrix, matrix_to_list
 from surrogata.operators.scale import Scaler, fit_scaler, standardise_df
 
@@ -141,6 +142,7 @@ class PCAOutputGP(Emulator):
                                  ("mean", "sd", "lower", "upper")]])
 
         def fn(batches):
+            single_thread_blas()
             for rb in batches:
                 if rb.num_rows == 0:
                     continue

@@ -13,12 +13,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 4096
+CHUNK = 32768
 PARTIAL_SCHEMA = "key string, chunk int, vals array<double>"
 _ARROW_SCHEMA = pa.schema([("key", pa.string()), ("chunk", pa.int32()),
                            ("vals", pa.list_(pa.float64()))])
@@ -41,10 +40,15 @@ def emit(stats: dict[str, np.ndarray]) -> pa.RecordBatch:
         [pa.array(keys, pa.string()), pa.array(chunks, pa.int32()), arr], schema=_ARROW_SCHEMA)
 
 
-def _sum_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum(np.stack(pdf["vals"].to_numpy()), axis=0)
-    return pd.DataFrame({"key": [pdf["key"].iloc[0]], "chunk": [int(pdf["chunk"].iloc[0])],
-                         "vals": [total]})
+def _elementwise_sum(col: str = "vals"):
+    """JVM-side element-wise sum of the arrays of one group (no Python round trip).
+
+    A group holds one partial per input partition (or per salt bucket), so its
+    size is bounded by the partition count, never by the number of rows.
+    """
+    parts = F.collect_list(F.col(col))
+    zero = F.transform(F.element_at(parts, 1), lambda v: F.lit(0.0))
+    return F.aggregate(parts, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
 
 
 def reduce_partials(partials: DataFrame, n_input_partitions: int | None = None) -> dict[str, np.ndarray]:
@@ -53,9 +57,8 @@ def reduce_partials(partials: DataFrame, n_input_partitions: int | None = None)
     if n_input_partitions is not None and n_input_partitions > 64:
         salts = int(math.ceil(math.sqrt(n_input_partitions)))
         df = (df.withColumn("_salt", F.spark_partition_id() % salts)
-              .groupBy("key", "chunk", "_salt")
-              .applyInPandas(lambda p: _sum_group(p.drop(columns=["_salt"])), PARTIAL_SCHEMA))
-    summed = df.groupBy("key", "chunk").applyInPandas(_sum_group, PARTIAL_SCHEMA)
+              .groupBy("key", "chunk", "_salt").agg(_elementwise_sum().alias("vals")))
+    summed = df.groupBy("key", "chunk").agg(_elementwise_sum().alias("vals"))
     out: dict[str, list] = {}
     for r in summed.collect():
         out.setdefault(r["key"], []).append((r["chunk"], r["vals"]))

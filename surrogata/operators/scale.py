@@ -69,6 +69,7 @@ def standardise_df(df: DataFrame, col: str, scaler: Scaler) -> DataFrame:
     if scaler.width <= LITERAL_WIDTH_LIMIT:
         return df.withColumn(col, standardise_col(F.col(col), scaler))
     from surrogata.operators.arrowutil import list_to_matrix, matrix_to_list
+    from surrogata.operators.blas import single_thread_blas
     import pyarrow as pa
 
     mean, scale = scaler.mean, scaler.scale
@@ -76,6 +77,7 @@ def standardise_df(df: DataFrame, col: str, scaler: Scaler) -> DataFrame:
     idx = names.index(col)
 
     def fn(batches):
+        single_thread_blas()
         for rb in batches:
             if rb.num_rows == 0:
                 yield rb

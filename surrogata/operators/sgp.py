@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 from surrogata.functions.kernels import get_kernel
 from surrogata.functions.rand import hash_order_key
+from surrogata.operators.blas import single_thread_blas
 from surrogata.operators.arrowutil import list_to_matrix, matrix_to_list, vector_or_scalar
 from surrogata.operators.partials import emit, num_partitions, reduce_partials
 
@@ -161,6 +162,7 @@ def _stats_pass(df: DataFrame, x: str, y: str, Z: np.ndarray, cands: list[np.nda
     Li_arr = np.stack(whiteners)
 
     def fn(batches):
+        single_thread_blas()
         kern = get_kernel(kern_name)
         phi = b = ks = None
         ysum = yy = None
@@ -358,6 +360,7 @@ def fit(df: DataFrame, x: str = "x", y: str = "y", cfg: GPConfig | None = None,
         Z: np.ndarray | None = None) -> GPState:
     """GP-1 + GP-3 (+GP-4/5/6/8): search lengthscale multiplier, scale and noise."""
     cfg = cfg or GPConfig()
+    single_thread_blas()
     n, lo, hi = _range_stats(df, x)
     if n == 0:
         raise ValueError("cannot fit a GP on an empty table")
@@ -432,6 +435,7 @@ def predict(df: DataFrame, state: GPState, x: str = "x", keep: list[str] | None
     zz = float(z)
 
     def fn(batches):
+        single_thread_blas()
         kern = get_kernel(kname)
         for rb in batches:
             if rb.num_rows == 0:
