@@ -428,3 +428,59 @@ MODEL_QUERIES = {
 }
 
 ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
+
+
+def q_kpca_embeddings(spark, sf):
+    """ML-5/6: Nystrom kernel PCA (rbf) scores and ridge pre-images for every row."""
+    from surrogata.operators import kpca
+    d = _design(spark, sf)
+    model = kpca.fit_kpca(d, "x", 4, kernel="rbf", m=128)
+    z = kpca.transform(d, model, "x", "z", keep=["id"])
+    return kpca.inverse_transform(z, model, "z", "x_hat", keep=["id"])
+
+
+def q_mc_reconstruct_raster(spark, sf):
+    """GP-12/13: Monte-Carlo uncertainty of the vector emulator in output space."""
+    from surrogata.operators.emulators import PCAOutputGP
+    from surrogata.operators.sampling import mc_reconstruct
+    from surrogata.operators.split import train_test_split
+    from surrogata.operators import sgp
+    df = _raster_vectors(spark, sf)
+    train, test = train_test_split(df, "id", 0.15, 42)
+    em = PCAOutputGP(n_components=0.95).fit(train)
+    from surrogata.operators.scale import standardise_df
+    lat = sgp.predict(standardise_df(test.select("id", "x"), "x", em.xscaler), em.gp, "x",
+                      keep=["id"], scalar=False)
+    W, mu_l = em.pca.components, em.pca.mean
+    ymu, ysc = em.yscaler.mean, em.yscaler.scale
+    return mc_reconstruct(lat, lambda L: (L @ W + mu_l) * ysc + ymu, n_draws=100)
+
+
+def q_predictive_draws(spark, sf):
+    """SRT-5: 128 draws per test prediction of the flagship GP, aggregated per row."""
+    from surrogata.operators.sampling import predictive_draws
+    pred = q_gp_rgasp_embeddings(spark, sf).withColumn("task", F.lit(0))
+    d = predictive_draws(pred, 128)
+    return d.groupBy("id").agg(F.avg("value").alias("draw_mean"), F.stddev_pop("value").alias("draw_sd"))
+
+
+def q_gp_state_readout(spark, sf):
+    """GP-15: fitted parameters of the flagship GP as a table (one row per input / output)."""
+    from surrogata.operators import emulators
+    prep = jobs.prepare(_design(spark, sf), 0.15, 42)
+    em = emulators.make("exact_gp").fit(prep.train)
+    st = em.state
+    rows = [("lengthscale", i, float(v)) for i, v in enumerate(st.lengthscale)]
+    rows += [("outputscale", t, float(v)) for t, v in enumerate(st.s2)]
+    rows += [("noise", t, float(v)) for t, v in enumerate(st.sigma2)]
+    rows += [("mean", t, float(v)) for t, v in enumerate(st.ybar)]
+    return spark.createDataFrame(rows, "param string, idx int, value double")
+
+
+MODEL_QUERIES.update({
+    "kpca_embeddings": q_kpca_embeddings,
+    "mc_reconstruct_raster": q_mc_reconstruct_raster,
+    "predictive_draws": q_predictive_draws,
+    "gp_state_readout": q_gp_state_readout,
+})
+ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
