@@ -79,8 +79,19 @@ def evaluate(emulator, prep: Prepared) -> tuple[DataFrame, dict]:
     return pred, row
 
 
-def metrics_document(pred: DataFrame, row: dict) -> DataFrame:
-    """SRC-10 document form: arrays ordered by id (bounded by the test set size)."""
+DOCUMENT_ROW_LIMIT = 1_000_000
+
+
+def metrics_document(pred: DataFrame, row: dict, limit: int = DOCUMENT_ROW_LIMIT) -> DataFrame:
+    """SRC-10 document form: one row with arrays ordered by id.
+
+    The document packs a whole test set into one row, so it is only built for
+    test sets up to ``limit`` rows; larger results stay in the long form
+    (write ``pred`` partitioned by model name instead).
+    """
+    n = pred.count()
+    if n > limit:
+        raise ValueError(f"{n} predictions exceed the document limit {limit}; keep the long form")
     s = pred.agg(F.sort_array(F.collect_list(F.struct("id", "y", "mean", "sd", "lower", "upper"))).alias("r"))
     return s.select(
         F.lit(row["name"]).alias("name"),
