@@ -269,8 +269,8 @@ def _best_scale_noise(a, gamma, yyc, n, cfg: GPConfig):
     """Per task, maximise the bound over a log grid of (s2, sigma2), then refine."""
     beta2 = gamma
     p = gamma.shape[1]
-    s2_grid = np.logspace(-3, 3, 61)
-    sig_grid = np.logspace(math.log10(cfg.min_noise), math.log10(cfg.max_noise), 61)
+    s2_grid = np.logspace(-3, 3, 41)
+    sig_grid = np.logspace(math.log10(cfg.min_noise), math.log10(cfg.max_noise), 41)
     best_s2 = np.zeros(p)
     best_sg = np.zeros(p)
     best_b = np.zeros(p)
@@ -279,10 +279,10 @@ def _best_scale_noise(a, gamma, yyc, n, cfg: GPConfig):
         i, j = np.unravel_index(np.argmax(B[:, :, t]), B.shape[:2])
         s2c, sgc = s2_grid[i], sig_grid[j]
         # two rounds of local refinement on a finer log grid
-        width_s, width_n = 0.1, (sig_grid[1] / sig_grid[0])
+        width_s, width_n = 0.15, (sig_grid[1] / sig_grid[0])
         for _ in range(2):
-            fs = s2c * np.logspace(-math.log10(10 ** width_s), math.log10(10 ** width_s), 21)
-            fn_ = np.clip(sgc * np.logspace(-math.log10(width_n), math.log10(width_n), 21),
+            fs = s2c * np.logspace(-math.log10(10 ** width_s), math.log10(10 ** width_s), 11)
+            fn_ = np.clip(sgc * np.logspace(-math.log10(width_n), math.log10(width_n), 11),
                           cfg.min_noise, cfg.max_noise)
             Bt = _grid_bound(a, beta2[:, t:t + 1], yyc[t:t + 1], n, fs, fn_)[:, :, 0]
             i2, j2 = np.unravel_index(np.argmax(Bt), Bt.shape)
