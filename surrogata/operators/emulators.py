@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,6 +82,13 @@ class PCAInputGP(Emulator):
         return pca_ops.transform(z, self.pca, "x", "x")
 
     def fit(self, train: DataFrame) -> "PCAInputGP":
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._fit(train)
+        finally:
+            train.unpersist()
+
+    def _fit(self, train: DataFrame) -> "PCAInputGP":
         self.xscaler = fit_scaler(train, "x")
         self.pca = pca_ops.fit_pca(standardise_df(train, "x", self.xscaler), "x", self.n_components)
         self.gp = sgp.fit(self._reduce(train), "x", "y", self.cfg)
@@ -108,6 +116,13 @@ class PCAOutputGP(Emulator):
         self.name = name or ("pca_ppgasp" if scaling == "zscore" else "pca_bigp")
 
     def fit(self, train: DataFrame) -> "PCAOutputGP":
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._fit(train)
+        finally:
+            train.unpersist()
+
+    def _fit(self, train: DataFrame) -> "PCAOutputGP":
         from surrogata.operators.stats import vector_stats
         xs = {r["pos"]: r for r in vector_stats(train, "x").collect()}
         ys = {r["pos"]: r for r in vector_stats(train, "y").collect()}

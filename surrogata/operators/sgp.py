@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ from surrogata.functions.kernels import get_kernel
 from surrogata.functions.rand import hash_order_key
 from surrogata.operators.blas import single_thread_blas
 from surrogata.operators.arrowutil import list_to_matrix, matrix_to_list, vector_or_scalar
-from surrogata.operators.partials import emit, num_partitions, reduce_partials
+from surrogata.operators.partials import emit, ensure_parallelism, num_partitions, reduce_partials
 
 LOG2PI = math.log(2.0 * math.pi)
 
@@ -361,6 +362,17 @@ def fit(df: DataFrame, x: str = "x", y: str = "y", cfg: GPConfig | None = None,
     """GP-1 + GP-3 (+GP-4/5/6/8): search lengthscale multiplier, scale and noise."""
     cfg = cfg or GPConfig()
     single_thread_blas()
+    # several passes read the same rows: keep the projected input (recomputed
+    # from lineage if an executor is lost)
+    df = ensure_parallelism(df.select(*([c for c in ("id",) if c in df.columns] + [x, y])))
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(df, x, y, cfg, Z)
+    finally:
+        df.unpersist()
+
+
+def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) -> GPState:
     n, lo, hi = _range_stats(df, x)
     if n == 0:
         raise ValueError("cannot fit a GP on an empty table")

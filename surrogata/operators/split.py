@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,10 +76,15 @@ def find_cut(keys: DataFrame, k: int) -> tuple[str, int]:
 def add_split_flag(df: DataFrame, id_col: str = "id", test_size: float | int = 0.15,
                    seed: int = 42, flag: str = "is_test") -> DataFrame:
     """Add a boolean ``is_test``: exactly ``ceil(test_size*n)`` rows are True."""
-    n = df.count()
-    k = test_count(n, test_size)
     keyed = df.withColumn("_k", split_key(id_col, seed))
-    cut_key, cut_id = find_cut(keyed.select("_k", F.col(id_col).alias("_id")), k)
+    # the refinement rounds re-read only (key, id): keep that narrow projection
+    keys = keyed.select("_k", F.col(id_col).alias("_id")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = keys.count()
+        k = test_count(n, test_size)
+        cut_key, cut_id = find_cut(keys, k)
+    finally:
+        keys.unpersist()
     is_test = (F.col("_k") < F.lit(cut_key)) | (
         (F.col("_k") == F.lit(cut_key)) & (F.col(id_col) <= F.lit(cut_id)))
     return keyed.withColumn(flag, is_test).drop("_k")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ class Prepared:
 
 
 def prepare(df: DataFrame, test_size: float | int = 0.15, seed: int = 42, fit_on: str = "all",
-            persist_to: str | None = None) -> Prepared:
+            persist_to: str | None = None, cache: bool = False) -> Prepared:
     """JOB-1: standardise ``[x | y]``, split, optionally write the store.
 
     ``fit_on='all'`` reproduces the original (scaler fitted before the split);
@@ -49,6 +50,9 @@ def prepare(df: DataFrame, test_size: float | int = 0.15, seed: int = 42, fit_on
     if persist_to:
         z.write.mode("overwrite").partitionBy("is_test").parquet(persist_to)
         z = df.sparkSession.read.parquet(persist_to)
+    elif cache:
+        # train and test (and every pass of a later fit) read this table
+        z = z.persist(StorageLevel.MEMORY_AND_DISK)
     counts = {r["is_test"]: r["c"] for r in z.groupBy("is_test").agg(F.count("*").alias("c")).collect()}
     train = z.filter(~F.col("is_test")).drop("is_test")
     test = z.filter(F.col("is_test")).drop("is_test")

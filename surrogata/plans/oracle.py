@@ -256,3 +256,74 @@ FROM orders GROUP BY 1""",
     "set1_union_models": f"""
 SELECT o_orderpriority AS name, count(*) AS n, {R('sum(o_totalprice / 1000.0)')} AS rmse_sum FROM orders GROUP BY 1""",
 }
+
+
+def _normal(keys: str) -> str:
+    """Box-Muller on two md5 uniforms, as ``hash_normal`` (keys joined with '|')."""
+    u1 = f"(((('0x' || substr(md5(concat_ws('|', {keys}, 'n1')), 1, 13))::UBIGINT)::DOUBLE + 0.5) / {U52})"
+    u2 = f"((('0x' || substr(md5(concat_ws('|', {keys}, 'n2')), 1, 13))::UBIGINT)::DOUBLE / {U52})"
+    return f"(sqrt(-2.0 * ln({u1})) * cos(2.0 * pi() * {u2}))"
+
+
+LSCALES = DESIGN + """,
+cs AS (SELECT i - 1 AS pos, count(v) AS n, greatest(max(v) - min(v), 1e-12) AS rng FROM el GROUP BY i),
+ls AS (SELECT pos, n, count(*) OVER () AS d, rng,
+              3.0 * rng / pow(n::DOUBLE, 1.0 / count(*) OVER ()) AS ls_range,
+              -ln(0.1) / (rng * count(*) OVER ()) AS ls_lower,
+              avg(rng) OVER () / sqrt((count(*) OVER ())::DOUBLE) AS ls_mean_range FROM cs)
+"""
+
+ORACLE_SQL.update({
+    "prj9_scatter": f"""WITH {RASTER},
+k AS (SELECT pos FROM c GROUP BY pos HAVING count_if(value >= 0.5) > 0),
+kv AS (SELECT s.sample_id, k.pos, CASE WHEN coalesce(c.value, 0.0) < 0.5 THEN 0.0 ELSE coalesce(c.value, 0.0) END AS value
+       FROM s CROSS JOIN k LEFT JOIN c ON c.sample_id = s.sample_id AND c.pos = k.pos)
+SELECT s.sample_id, g.pos::BIGINT AS pos, (g.pos // 12)::BIGINT AS row, (g.pos % 12)::BIGINT AS col,
+       {R('coalesce(kv.value, 0.0)')} AS value
+FROM s CROSS JOIN g LEFT JOIN kv ON kv.sample_id = s.sample_id AND kv.pos = g.pos""",
+
+    "agg3_minmax_scaled": f"""WITH {DESIGN},
+st AS (SELECT i, min(v) AS lo, greatest(max(v) - min(v), 1e-12) AS rg FROM el GROUP BY i),
+sc AS (SELECT el.id, (el.v - st.lo) / st.rg AS s FROM el JOIN st USING (i))
+SELECT id, {R('sum(s)')} AS scaled_sum, {R('max(s)')} AS scaled_max FROM sc GROUP BY id""",
+
+    "agg16_means": f"""WITH {DESIGN},
+st AS (SELECT i, stddev_samp(v) AS ss, max(v) - min(v) AS rg, var_pop(v) AS vp FROM el GROUP BY i)
+SELECT {R('avg(ss + 1e-6)')} AS mean_std, {R('avg(rg)')} AS mean_range, {R('avg(vp)')} AS mean_var FROM st""",
+
+    "srt4_top_ratios": f"""WITH {DESIGN},
+st AS (SELECT i - 1 AS pos, pow(stddev_pop(v), 2) AS variance FROM el GROUP BY i),
+k AS (SELECT pos, variance, row_number() OVER (ORDER BY variance DESC, pos) AS k FROM st),
+r AS (SELECT k, pos, variance / sum(variance) OVER () AS ratio FROM k)
+SELECT k::BIGINT AS k, pos::BIGINT AS pos, {R('ratio')} AS ratio FROM r ORDER BY ratio DESC, pos LIMIT 10""",
+
+    "gp6_initial_lengthscale": f"""WITH {LSCALES}
+SELECT pos::BIGINT AS pos, {R('ls_range')} AS ls_range, {R('ls_lower')} AS ls_lower,
+       {R('ls_mean_range')} AS ls_mean_range FROM ls""",
+
+    "gp4_5_priors": f"""WITH {LSCALES},
+ag AS (SELECT sum(ln(1.0 / ls_range)) AS slb, sum(1.0 / ls_range) AS sb, any_value(n) AS n, any_value(d) AS d,
+              sum(-ln(ls_range) - 0.5 * ln(2.0 * pi()) - pow(ln(ls_range) - ln(d::DOUBLE) / 2.0, 2) / 2.0) AS lognormal
+       FROM ls)
+SELECT {R('0.25 * (1.2 * slb - pow(n::DOUBLE, -1.0 / d) * (0.2 + d) * sb)')} AS reference_prior,
+       {R('lognormal')} AS lognormal_prior FROM ag""",
+
+    "srt6_padding": f"""WITH {DESIGN},
+st AS (SELECT i - 1 AS j, avg(v) AS m, stddev_samp(v) + 1e-6 AS s FROM el GROUP BY i),
+pts AS (SELECT d.id, st.j, st.m + st.s * {_normal("d.id, st.j, 42")} AS x FROM d CROSS JOIN st)
+SELECT id, {R('sum(x)')} AS x_sum, {R('max(CASE WHEN j = 0 THEN x END)')} AS x0 FROM pts GROUP BY id""",
+
+    "srt5_predictive_draws": f"""WITH {PRED.replace("SELECT l.l_returnflag AS model,", "SELECT l.l_orderkey * 8 + l.l_linenumber AS id, l.l_returnflag AS model,")},
+dr AS (SELECT pi.task, pi.mean + pi.sd * {_normal("pi.id, pi.task, g.draw, 42")} AS value
+       FROM pi CROSS JOIN (SELECT range AS draw FROM range(1, 33)) g)
+SELECT task::BIGINT AS task, count(*) AS n, {R('avg(value)')} AS draw_mean, {R('stddev_pop(value)')} AS draw_sd
+FROM dr GROUP BY task""",
+
+    "job6_parity": f"""WITH {PRED.replace("SELECT l.l_returnflag AS model,", "SELECT l.l_orderkey * 8 + l.l_linenumber AS id, l.l_returnflag AS model,")},
+f AS (SELECT id, CASE WHEN y < 0.5 THEN 0.0 ELSE y END AS yt, CASE WHEN mean < 0.5 THEN 0.0 ELSE mean END AS yp, sd FROM pi)
+SELECT id, {R('yt')} AS y_true, {R('yp - yt')} AS residual, {R('sd')} AS sd FROM f""",
+
+    "src2_assemble": f"""
+SELECT vec_id AS id, len(embedding)::BIGINT AS width,
+       {R('list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))')} AS x_sq FROM embeddings""",
+})

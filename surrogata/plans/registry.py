@@ -376,7 +376,7 @@ def _raster_vectors(spark, sf):
 def _vector_eval(spark, sf, scaling):
     from surrogata.operators.emulators import PCAOutputGP, long_predictions
     from surrogata.operators.split import train_test_split
-    df = _raster_vectors(spark, sf)
+    df = _raster_vectors(spark, sf).persist()     # split + fit + predict all read it
     train, test = train_test_split(df, "id", 0.15, 42)
     em = PCAOutputGP(n_components=0.95, scaling=scaling).fit(train)
     return long_predictions(em.predict(test), test)
@@ -446,7 +446,7 @@ def q_mc_reconstruct_raster(spark, sf):
     from surrogata.operators.sampling import mc_reconstruct
     from surrogata.operators.split import train_test_split
     from surrogata.operators import sgp
-    df = _raster_vectors(spark, sf)
+    df = _raster_vectors(spark, sf).persist()
     train, test = train_test_split(df, "id", 0.15, 42)
     em = PCAOutputGP(n_components=0.95).fit(train)
     from surrogata.operators.scale import standardise_df
@@ -485,3 +485,135 @@ MODEL_QUERIES.update({
     "gp_state_readout": q_gp_state_readout,
 })
 ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
+
+
+# ---------------------------------------------------------------------------
+# More SQL-checked operators: PRJ-9, AGG-3/16, SRT-4/5/6, GP-4/5/6, JOB-6, SRC-2
+
+
+def q_prj9_scatter(spark, sf):
+    """PRJ-9 after PRJ-6: floored kept-cell values back on the full grid."""
+    cells = _truth(spark, sf)
+    v = truncate.valid_counts(cells, _grid(spark), THRESHOLD)
+    kept = truncate.truncate(cells, v, tb.raster_samples(spark, sf))
+    g = truncate.scatter(maps.floor_values(kept, THRESHOLD), tb.raster_samples(spark, sf),
+                         tb.RASTER_ROWS, tb.RASTER_COLS)
+    return g.select("sample_id", F.col("pos").cast("long").alias("pos"), F.col("row").cast("long").alias("row"),
+                    F.col("col").cast("long").alias("col"), rnd("value").alias("value"))
+
+
+def q_agg3_minmax_scaled(spark, sf):
+    """AGG-3 applied: inputs min-max scaled to [0, 1] with the range clamped at 1e-12."""
+    d = _design(spark, sf)
+    st = stats.normaliser_stats(stats.vector_stats(d, "x"))
+    rows = sorted(st.select("pos", "min", "range").collect(), key=lambda r: r["pos"])   # d rows
+    lo = F.array(*[F.lit(float(r["min"])) for r in rows])
+    rg = F.array(*[F.lit(float(r["range"])) for r in rows])
+    scaled = F.zip_with(F.zip_with("x", lo, lambda v, m: v - m), rg, lambda v, r: v / r)
+    return d.select("id", rnd(F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v)).alias("scaled_sum"),
+                    rnd(F.array_max(scaled)).alias("scaled_max"))
+
+
+def q_agg16_means(spark, sf):
+    """AGG-16: mean over inputs of sample std (+1e-6), of range, of population variance."""
+    st = stats.vector_stats(_design(spark, sf), "x")
+    return st.agg(rnd(F.avg(F.col("std_samp") + 1e-6)).alias("mean_std"),
+                  rnd(F.avg(F.col("max") - F.col("min"))).alias("mean_range"),
+                  rnd(F.avg(F.col("std_pop") ** 2)).alias("mean_var"))
+
+
+def q_srt4_top_ratios(spark, sf):
+    """SRT-4: the ten largest variance ratios (a top-k report)."""
+    w = q_win1_3_spectrum(spark, sf)
+    return w.orderBy(F.desc("ratio"), "pos").limit(10).select("k", "pos", "ratio")
+
+
+def _lengthscales(spark, sf):
+    d = _design(spark, sf)
+    st = stats.vector_stats(d, "x").select("pos", "n", (F.col("max") - F.col("min")).alias("rng"))
+    whole = Window.partitionBy()
+    dim = F.count("*").over(whole)
+    r = F.greatest(F.col("rng"), F.lit(1e-12))
+    return st.select(
+        "pos", "n", dim.alias("d"), r.alias("rng"),
+        (F.lit(3.0) * r / F.pow(F.col("n").cast("double"), 1.0 / dim)).alias("ls_range"),
+        (-F.log(F.lit(0.1)) / (r * dim)).alias("ls_lower"),
+        (F.avg(r).over(whole) / F.sqrt(dim.cast("double"))).alias("ls_mean_range"))
+
+
+def q_gp6_initial_lengthscale(spark, sf):
+    """GP-6: 3*range/n^(1/d), its lower bound -ln(0.1)/(range*d), and mean(range)/sqrt(d)."""
+    ls = _lengthscales(spark, sf)
+    return ls.select(F.col("pos").cast("long").alias("pos"), rnd("ls_range").alias("ls_range"),
+                     rnd("ls_lower").alias("ls_lower"), rnd("ls_mean_range").alias("ls_mean_range"))
+
+
+def q_gp4_5_priors(spark, sf):
+    """GP-4 reference prior (weight 0.25, a = 0.2) and GP-5 log-normal prior at GP-6 lengthscales."""
+    ls = _lengthscales(spark, sf)
+    beta = F.lit(1.0) / F.col("ls_range")
+    agg = ls.agg(F.sum(F.log(beta)).alias("slb"), F.sum(beta).alias("sb"), F.first("n").alias("n"),
+                 F.first("d").alias("d"),
+                 F.sum(-F.log("ls_range") - F.lit(0.5 * float(__import__("math").log(2 * __import__("math").pi)))
+                       - F.pow(F.log("ls_range") - F.log(F.col("d").cast("double")) / 2.0, 2) / 2.0).alias("lognormal"))
+    a = 0.2
+    b = F.pow(F.col("n").cast("double"), -1.0 / F.col("d")) * (F.lit(a) + F.col("d"))
+    return agg.select(rnd(F.lit(0.25) * (F.lit(a + 1.0) * F.col("slb") - b * F.col("sb"))).alias("reference_prior"),
+                      rnd("lognormal").alias("lognormal_prior"))
+
+
+def q_srt6_padding(spark, sf):
+    """SRT-6: one padding point per embedding id from column mean and sample std (+1e-6)."""
+    from surrogata.operators.inducing import padding_points
+    import numpy as np
+    d = _design(spark, sf)
+    st = sorted(stats.normaliser_stats(stats.vector_stats(d, "x")).select("pos", "mean", "std_eps").collect(),
+                key=lambda r: r["pos"])                                   # d rows
+    pts = padding_points(np.array([r["mean"] for r in st]), np.array([r["std_eps"] for r in st]),
+                         d.select("id"), "id", seed=42)
+    return pts.select("id", rnd(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("x_sum"),
+                      rnd(F.element_at("x", 1)).alias("x0"))
+
+
+def q_srt5_predictive_draws(spark, sf):
+    """SRT-5: 32 hash-normal draws per (row, task) of the line-item predictions, summarised."""
+    from surrogata.operators.sampling import predictive_draws
+    p = tb.lineitem_predictions(spark, sf).withColumn("id", F.col("id") * 8 + F.col("line"))
+    dr = predictive_draws(p.select("id", "task", "mean", "sd"), 32, seed=42)
+    return dr.groupBy(F.col("task").cast("long").alias("task")).agg(
+        F.count("*").alias("n"), rnd(F.avg("value")).alias("draw_mean"),
+        rnd(F.stddev_pop("value")).alias("draw_sd"))
+
+
+def q_job6_parity(spark, sf):
+    """JOB-6: parity and residual series after the threshold floor."""
+    p = tb.lineitem_predictions(spark, sf)
+    s = jobs.chart_series(p.withColumn("id", F.col("id") * 8 + F.col("line")), THRESHOLD)["residuals"]
+    return s.select("id", rnd("y_true").alias("y_true"), rnd("residual").alias("residual"), rnd("sd").alias("sd"))
+
+
+def q_src2_assemble(spark, sf):
+    """SRC-2 / JN-1: two feature blocks (halves of the embedding) joined on id and concatenated."""
+    from surrogata.sources.matrix import assemble
+    e = tb.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    a = e.select("id", F.slice("embedding", 1, 32).cast("array<double>").alias("x"))
+    b = e.select("id", F.slice("embedding", 33, 32).cast("array<double>").alias("x"))
+    j = assemble([a, b])
+    return j.select("id", F.size("x").cast("long").alias("width"),
+                    rnd(F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v)).alias("x_sq"))
+
+
+_MORE = {
+    "prj9_scatter": q_prj9_scatter,
+    "agg3_minmax_scaled": q_agg3_minmax_scaled,
+    "agg16_means": q_agg16_means,
+    "srt4_top_ratios": q_srt4_top_ratios,
+    "gp6_initial_lengthscale": q_gp6_initial_lengthscale,
+    "gp4_5_priors": q_gp4_5_priors,
+    "srt6_padding": q_srt6_padding,
+    "srt5_predictive_draws": q_srt5_predictive_draws,
+    "job6_parity": q_job6_parity,
+    "src2_assemble": q_src2_assemble,
+}
+SQL_QUERIES.update(_MORE)
+ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
