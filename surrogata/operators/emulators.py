@@ -41,27 +41,49 @@ class Emulator:
 class GPEmulator(Emulator):
     """Scalar or shared-kernel vector GP on the given inputs (GP-1..8)."""
 
-    def __init__(self, name: str = "exact_gp", cfg: sgp.GPConfig | None = None):
+    def __init__(self, name: str = "exact_gp", cfg: sgp.GPConfig | None = None, trend: str | None = None):
         self.name = name
         self.cfg = cfg or sgp.GPConfig()
         self.state: sgp.GPState | None = None
+        if trend not in (None, "constant", "linear"):
+            raise ValueError("trend must be None/'constant' or 'linear'")
+        self.trend = trend
+        self.beta = None
 
     def fit(self, train: DataFrame) -> "GPEmulator":
-        self.state = sgp.fit(train, "x", "y", self.cfg)
+        data = train
+        if self.trend == "linear":                      # GP-16: residual GP on a linear trend
+            from surrogata.operators.trend import fit_linear_trend, subtract_trend
+            self.beta = fit_linear_trend(train, "x", "y")
+            data = subtract_trend(train.select("x", "y"), self.beta, "x", "y")
+        self.state = sgp.fit(data, "x", "y", self.cfg)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
         if self.state is None:
             raise RuntimeError("emulator is not fitted yet")
-        return sgp.predict(df, self.state, "x", z=self.cfg.z)
+        if self.beta is None:
+            return sgp.predict(df, self.state, "x", z=self.cfg.z)
+        return _add_trend(lambda d: sgp.predict(d, self.state, "x", z=self.cfg.z), df, self.beta)
+
+
+def _add_trend(pred_fn, df: DataFrame, beta) -> DataFrame:
+    """GP-16 prediction: trend(x) as a JVM column, the residual GP on top (narrow)."""
+    b0, b = float(beta[0, 0]), [float(v) for v in beta[1:, 0]]
+    trend = F.lit(b0) + F.aggregate(F.zip_with(F.col("x"), F.array(*[F.lit(v) for v in b]), lambda u, w: u * w),
+                                    F.lit(0.0), lambda acc, v: acc + v)
+    pred = pred_fn(df.withColumn("_t", trend))
+    for c in ("mean", "lower", "upper"):
+        pred = pred.withColumn(c, F.col(c) + F.col("_t"))
+    return pred.drop("_t")
 
 
 def exact_gp(**kw) -> GPEmulator:
     return GPEmulator("exact_gp", sgp.GPConfig(inducing="auto", **kw))
 
 
-def rgasp(**kw) -> GPEmulator:
-    return GPEmulator("rgasp", sgp.GPConfig(inducing="auto", prior="reference", z=1.96, **kw))
+def rgasp(trend: str | None = None, **kw) -> GPEmulator:
+    return GPEmulator("rgasp", sgp.GPConfig(inducing="auto", prior="reference", z=1.96, **kw), trend=trend)
 
 
 def sparse_gp(m: int = 256, inducing: str = "landmarks", **kw) -> GPEmulator:
@@ -89,6 +111,8 @@ class PCAInputGP(Emulator):
             train.unpersist()
 
     def _fit(self, train: DataFrame) -> "PCAInputGP":
+        if isinstance(train.schema["y"].dataType, T.ArrayType):
+            raise ValueError("the PCA-input emulator takes one output (VAL-5)")
         self.xscaler = fit_scaler(train, "x")
         self.pca = pca_ops.fit_pca(standardise_df(train, "x", self.xscaler), "x", self.n_components)
         self.gp = sgp.fit(self._reduce(train), "x", "y", self.cfg)
@@ -108,7 +132,10 @@ class PCAOutputGP(Emulator):
     """
 
     def __init__(self, n_components=0.95, scaling: str = "zscore", cfg: sgp.GPConfig | None = None,
-                 name: str | None = None, z: float = 1.96):
+                 name: str | None = None, z: float = 1.96, zero_mean: bool = False):
+        if zero_mean:
+            # VAL-6: the output PCA is centred, a zero-mean emulator on top is rejected
+            raise ValueError("zero_mean cannot be combined with an output reducer")
         self.n_components = n_components
         self.scaling = scaling
         self.cfg = cfg or sgp.GPConfig(z=z)

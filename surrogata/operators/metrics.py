@@ -29,6 +29,16 @@ def align(pred: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     return pred.join(truth, keys, "inner")
 
 
+PRED_COLUMNS = ("mean", "sd", "lower", "upper")
+
+
+def check_prediction_columns(df: DataFrame) -> None:
+    """VAL-10: every prediction component is present."""
+    missing = [c for c in PRED_COLUMNS if c not in df.columns]
+    if missing:
+        raise ValueError(f"prediction components missing: {missing}")
+
+
 def check_equal_size(pred: DataFrame, truth: DataFrame, keys: list[str]) -> None:
     """VAL-1, cheap form: anti-joins both ways must be empty."""
     a = pred.select(*keys).join(truth.select(*keys), keys, "left_anti").limit(1).count()

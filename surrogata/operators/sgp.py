@@ -349,6 +349,12 @@ def choose_inducing(df: DataFrame, x: str, n: int, cfg: GPConfig, id_col: str |
         return np.array(out, dtype=float)
     if mode == "kmeans":
         from surrogata.operators.inducing import kmeans_centres
+        if n < cfg.max_inducing:
+            # ML-9 / SET-3: all rows plus random points from the data mean/std (bounded: n < m)
+            X = np.array([r[0] for r in df.select(x).collect()], dtype=float)
+            rng = np.random.default_rng(cfg.seed)
+            pad = X.mean(0) + X.std(0, ddof=1 if n > 1 else 0) * rng.standard_normal((min(cfg.max_inducing, MAX_INDUCING) - n, X.shape[1]))
+            return np.vstack([X, pad])
         return kmeans_centres(df, x, m, seed=cfg.seed)
     raise ValueError(f"unknown inducing mode {mode!r}")
 
@@ -453,6 +459,8 @@ def predict(df: DataFrame, state: GPState, x: str = "x", keep: list[str] | None
             if rb.num_rows == 0:
                 continue
             X = list_to_matrix(rb.column(len(keep)))
+            if X.shape[1] != Z.shape[1]:
+                raise ValueError(f"input width {X.shape[1]} differs from the trained width {Z.shape[1]}")
             K = kern(X, Z, ls)                      # nb x m
             Q = K @ G.T                             # nb x m
             mean = ybar[None, :] + Q @ W

@@ -78,3 +78,9 @@ def representative_position(df: DataFrame, vec: str = "y") -> DataFrame:
 def mean_of(stats: DataFrame, col: str, alias: str) -> DataFrame:
     """AGG-16: mean over positions of a per-position statistic."""
     return stats.agg(F.avg(col).alias(alias))
+
+
+def component_range(latent: DataFrame, z: str = "z", id_col: str = "id") -> DataFrame:
+    """AGG-17: training range (min, max) of every latent component."""
+    return (latent.select(F.posexplode(z).alias("component", "v")).groupBy("component")
+            .agg(F.min("v").alias("min"), F.max("v").alias("max")))

@@ -150,3 +150,26 @@ def chart_series(pred: DataFrame, threshold: float = 0.5) -> dict[str, DataFrame
 def score_table(pred_long: DataFrame, by: list[str] | None = None) -> DataFrame:
     """All MET-1..6 scores for long predictions."""
     return metrics.scores(pred_long, by)
+
+
+# Model sets of the two case-study kinds (the neural model of
+# the original is not built; the sparse GP takes its place).
+SYNTHETIC_MODELS = ("exact_gp", "sparse_gp", "rgasp", "pca_rgasp")
+FILE_MODELS = ("exact_gp", "sparse_gp", "pca_rgasp")
+
+
+def case_study(spark, name: str, data_dir: str | None = None, models: tuple | None = None,
+               test_size: float = 0.15, seed: int = 42) -> DataFrame:
+    """JOB-4: catalog -> prepare -> evaluate every model -> comparison table."""
+    from surrogata.operators import emulators
+    from surrogata.sources import catalog
+    df = catalog.load(spark, name, data_dir, seed)
+    if models is None:
+        models = SYNTHETIC_MODELS if catalog.CATALOG[name]["source"] == "" else FILE_MODELS
+    prep = prepare(df, test_size, seed)
+    rows = []
+    for i, m in enumerate(models):
+        _, row = evaluate(emulators.make(m), prep)
+        rows.append((row["name"], i, row["rmse"], row["train_time"], row["infer_time"]))
+    res = spark.createDataFrame(rows, "name string, ordinal int, rmse double, train_time double, infer_time double")
+    return compare(res)

@@ -617,3 +617,28 @@ _MORE = {
 }
 SQL_QUERIES.update(_MORE)
 ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
+
+
+def q_gp_trend_lineitem(spark, sf):
+    """GP-16: sparse GP on the residual of a linear trend over the whole lineitem table."""
+    from surrogata.operators.emulators import GPEmulator
+    from surrogata.operators import sgp as _sgp
+    prep = jobs.prepare(tb.lineitem_regression(spark, sf), 0.15, 42)
+    em = GPEmulator("sparse_gp_trend", _sgp.GPConfig(inducing="landmarks", max_inducing=128), trend="linear")
+    pred, _ = jobs.evaluate(em, prep)
+    return pred.select("id", "y", "mean", "sd", "lower", "upper")
+
+
+def q_pca_latent_range_embeddings(spark, sf):
+    """AGG-17: training range of every principal component score."""
+    from surrogata.operators import pca
+    d = _design(spark, sf)
+    z = pca.transform(d, pca.fit_pca(d, "x", 0.95), "x", "z", keep=["id"])
+    return stats.component_range(z, "z").select(F.col("component").cast("long").alias("component"), "min", "max")
+
+
+MODEL_QUERIES.update({
+    "gp_trend_lineitem": q_gp_trend_lineitem,
+    "pca_latent_range_embeddings": q_pca_latent_range_embeddings,
+})
+ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
