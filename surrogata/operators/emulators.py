@@ -79,10 +79,19 @@ def _add_trend(pred_fn, df: DataFrame, beta) -> DataFrame:
 
 
 def exact_gp(**kw) -> GPEmulator:
+    """Matern-5/2 with ARD lengthscales, type-II maximum likelihood.
+
+    The log-normal lengthscale prior (GP-5) is available with ``prior='lognormal'``;
+    on the synthetic case it pulls the lengthscales too short (RMSE 2.25 vs 1.59).
+    """
+    kw.setdefault("ard_rounds", 3)
+    kw.setdefault("prior", None)
     return GPEmulator("exact_gp", sgp.GPConfig(inducing="auto", **kw))
 
 
 def rgasp(trend: str | None = None, **kw) -> GPEmulator:
+    """Matern-5/2 with per-input ranges and the reference-prior term (GP-4)."""
+    kw.setdefault("ard_rounds", 3)
     return GPEmulator("rgasp", sgp.GPConfig(inducing="auto", prior="reference", z=1.96, **kw), trend=trend)
 
 

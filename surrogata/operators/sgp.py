@@ -60,6 +60,8 @@ class GPConfig:
     exact_cap: int = 1024           # auto: Z = training rows while n <= exact_cap
     multipliers: tuple = (0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
     refine_rounds: int = 1
+    ard_rounds: int = 0             # per-input (ARD) refinement rounds after the multiplier search
+    ard_groups: int = 8             # inputs are scaled in this many contiguous groups per round
     lengthscale_init: str = "range"   # range: 3*range_j/n^(1/d);  mean_range: mean(range)/sqrt(d)
     prior: str | None = None        # None | "reference" (GP-4) | "lognormal" (GP-5)
     prior_weight: float = 0.25
@@ -391,11 +393,8 @@ def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) ->
         raise ValueError("inducing set must be (m, d) with d equal to the input width")
     kern = get_kernel(cfg.kernel)
 
-    search = []
-    best = None
-    mults = list(cfg.multipliers)
-    for rnd in range(1 + cfg.refine_rounds):
-        cands = [base * mu for mu in mults]
+    def score(cands: list[np.ndarray], mults: list[float], tag: str) -> list[tuple[float, GPState]]:
+        """One data pass for all candidates; every (scale, noise) pair scored on the driver."""
         whiten = [_whitener(kern(Z, Z, ls), jitter) for ls in cands]
         st = _stats_partials(df, x, y, Z, cands, whiten, cfg.kernel)
         nn = int(round(st["n"][0]))
@@ -403,22 +402,64 @@ def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) ->
         ybar = st["ysum"] / nn
         yyc = st["yy"] - nn * ybar ** 2
         m = Z.shape[0]
-        for c, mu in enumerate(mults):
+        out = []
+        for c, ls in enumerate(cands):
             A1 = st[f"phi{c}"].reshape(m, m)
             bw = st[f"b{c}"].reshape(m, p) - np.outer(st[f"k{c}"], ybar)
-            ls = cands[c]
             a, G, beta, gamma = _decompose(whiten[c], A1, bw)
             s2, sg, bnd = _best_scale_noise(a, gamma, yyc, nn, cfg)
-            score = float(bnd.sum()) + log_prior(ls, nn, cfg)
-            search.append({"round": rnd, "multiplier": float(mu), "bound": float(bnd.sum()),
-                           "score": score})
-            if best is None or score > best[0]:
-                best = (score, GPState(cfg.kernel, Z, ls, G, a, beta, s2, sg, ybar, nn,
-                                       float(bnd.sum()), float(mu)))
+            sc = float(bnd.sum()) + log_prior(ls, nn, cfg)
+            search.append({"stage": tag, "multiplier": float(mults[c]), "bound": float(bnd.sum()), "score": sc})
+            out.append((sc, GPState(cfg.kernel, Z, ls, G, a, beta, s2, sg, ybar, nn, float(bnd.sum()),
+                                    float(mults[c]))))
+        return out
+
+    search: list = []
+    best = None
+    mults = list(cfg.multipliers)
+    for rnd in range(1 + cfg.refine_rounds):
+        for sc, stt in score([base * mu for mu in mults], mults, f"multiplier{rnd}"):
+            if best is None or sc > best[0]:
+                best = (sc, stt)
         # refine around the best multiplier
         mu0 = best[1].multiplier
         ratio = 2.0 ** (0.5 ** (rnd + 1))
         mults = [mu0 / ratio, mu0 / math.sqrt(ratio), mu0 * math.sqrt(ratio), mu0 * ratio]
+
+    # ARD refinement: per round, scale one group of inputs by 1/f or f (one pass for
+    # all moves), keep the best, and try the combination of all improving moves next.
+    d = base.size
+    groups = np.array_split(np.arange(d), min(d, cfg.ard_groups)) if cfg.ard_rounds else []
+    step = 2.0
+    combined = None
+    for rnd in range(cfg.ard_rounds):
+        cur_score, cur = best
+        cands, moves = [], []
+        for g in groups:
+            for f in (1.0 / step, step):
+                ls = cur.lengthscale.copy()
+                ls[g] *= f
+                cands.append(ls)
+                moves.append((g, f))
+        if combined is not None:
+            cands.append(combined)
+            moves.append(None)
+        scored = score(cands, [cur.multiplier] * len(cands), f"ard{rnd}")
+        improving = [mv for (sc, _), mv in zip(scored, moves) if mv is not None and sc > cur_score]
+        for sc, stt in scored:
+            if sc > best[0]:
+                best = (sc, stt)
+        combined = None
+        if len(improving) > 1:
+            combined = cur.lengthscale.copy()
+            done = set()
+            for g, f in sorted(improving, key=lambda t: -[s for (s, _), mv in zip(scored, moves) if mv is t][0]):
+                key = int(g[0])
+                if key not in done:
+                    combined[g] *= f
+                    done.add(key)
+        if not improving:
+            step = math.sqrt(step)
     state = best[1]
     state.search = search
     return state
