@@ -72,3 +72,101 @@ def running_best(df: DataFrame, run: str = "run", epoch: str = "epoch", loss: st
 def first_stop(df: DataFrame, run: str = "run", epoch: str = "epoch") -> DataFrame:
     """First epoch with the stop flag per run (NULL when never)."""
     return df.groupBy(run).agg(F.min(F.when(F.col("stop"), F.col(epoch))).alias("stop_epoch"))
+
+
+# ---------------------------------------------------------------------------
+# Skew-proof variants: a run holding a large share of all rows is cut into
+# fixed epoch chunks, so no window partition holds more than one chunk.
+# Results are identical to the plain versions (tests compare them).  Epochs
+# must be consecutive integers from 1 within a run (as ``ordinal_in_run`` gives).
+
+
+def ordinal_in_run(df: DataFrame, run: str, order: str, bucket_width: int = 1 << 20,
+                   out: str = "epoch") -> DataFrame:
+    """Row number within run by ``order`` without sorting a whole run in one task.
+
+    Rows are bucketed by ``order div bucket_width``; bucket counts (a small
+    table) give each bucket's offset by a prefix sum; the row number inside a
+    (run, bucket) group is added to it.
+    """
+    b = F.floor(F.col(order) / F.lit(bucket_width)).cast("long")
+    keyed = df.withColumn("_b", b)
+    counts = keyed.groupBy(run, "_b").agg(F.count("*").alias("_cnt"))
+    w = Window.partitionBy(run).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
+    inner = Window.partitionBy(run, "_b").orderBy(order)
+    return (keyed.join(offs, [run, "_b"])
+            .withColumn(out, (F.col("_off") + F.row_number().over(inner)).cast("long"))
+            .drop("_b", "_off"))
+
+
+def _chunk(epoch: str, size: int):
+    return F.floor((F.col(epoch) - 1) / F.lit(size)).cast("long")
+
+
+def trailing_slope_chunked(df: DataFrame, run: str = "run", epoch: str = "epoch", loss: str = "loss",
+                           width: int = 20, chunk: int = 1 << 16) -> DataFrame:
+    """WIN-4 per (run, chunk) with a (width-1)-row halo copied from the previous chunk."""
+    if chunk < width:
+        raise ValueError("chunk must be at least the window width")
+    base = df.withColumn("_c", _chunk(epoch, chunk)).withColumn("_halo", F.lit(False))
+    pos_in_chunk = (F.col(epoch) - 1) - F.col("_c") * chunk
+    halo = (base.filter(pos_in_chunk >= chunk - (width - 1))
+            .withColumn("_c", F.col("_c") + 1).withColumn("_halo", F.lit(True)))
+    w = Window.partitionBy(run, "_c").orderBy(epoch).rowsBetween(-(width - 1), 0)
+    both = base.unionByName(halo)
+    res = both.withColumn("slope", F.when(F.count(loss).over(w) == width, F.regr_slope(loss, epoch).over(w)))
+    return res.filter(~F.col("_halo")).drop("_c", "_halo")
+
+
+def running_best_chunked(df: DataFrame, run: str = "run", epoch: str = "epoch", loss: str = "loss",
+                         chunk: int = 1 << 16) -> DataFrame:
+    """WIN-6: running minimum = min(local running min, min of all earlier chunks)."""
+    c = df.withColumn("_c", _chunk(epoch, chunk))
+    per = c.groupBy(run, "_c").agg(F.min(loss).alias("_cm"))
+    wprev = Window.partitionBy(run).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_prev", F.min("_cm").over(wprev)).drop("_cm")
+    wl = Window.partitionBy(run, "_c").orderBy(epoch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = c.join(per, [run, "_c"]).withColumn("_loc", F.min(loss).over(wl))
+    return out.withColumn("best_loss", F.least(F.col("_loc"), F.coalesce(F.col("_prev"), F.col("_loc")))) \
+        .drop("_c", "_prev", "_loc")
+
+
+def patience_chunked(df: DataFrame, run: str = "run", epoch: str = "epoch", slope: str = "slope",
+                     min_epoch: int = 50, tol: float = -1e-5, limit: int = 75, chunk: int = 1 << 16) -> DataFrame:
+    """WIN-5 with a carry of the stalled streak across chunks (two-phase scan).
+
+    Inside a chunk the streak is counted as in :func:`patience`; a chunk's
+    leading stalled rows add the streak carried in from earlier chunks, where
+    the carry is the previous chunk's trailing streak, extended through chunks
+    that are stalled from start to end.
+    """
+    stalled = (F.col(epoch) > min_epoch) & F.col(slope).isNotNull() & (F.col(slope) > tol)
+    c = df.withColumn("_c", _chunk(epoch, chunk)).withColumn("_st", stalled.cast("int"))
+    w = Window.partitionBy(run, "_c").orderBy(epoch)
+    c = c.withColumn("_island", F.sum(1 - F.col("_st")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    wi = Window.partitionBy(run, "_c", "_island").orderBy(epoch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = c.withColumn("_local", F.sum("_st").over(wi))
+    # per chunk: row count, stalled count, trailing streak (streak at the chunk's last row)
+    per = c.groupBy(run, "_c").agg(
+        F.count("*").alias("_n"), F.sum("_st").alias("_ns"),
+        F.max_by("_local", epoch).alias("_trail"))
+    # carry into chunk k: walk back over the previous chunks (small table, one row per chunk)
+    full = (F.col("_ns") == F.col("_n")).cast("int")
+    wc = Window.partitionBy(run).orderBy("_c")
+    per = per.withColumn("_full", full)
+    # index of the last non-full chunk before k; carry = trail of that chunk + sizes of full chunks after it
+    per = per.withColumn("_brk", F.when(F.col("_full") == 0, F.col("_c")))
+    per = per.withColumn("_lastbrk", F.max("_brk").over(wc.rowsBetween(Window.unboundedPreceding, -1)))
+    per = per.withColumn("_cumn", F.sum("_n").over(wc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    brk = per.select(run, F.col("_c").alias("_lastbrk"), F.col("_trail").alias("_btrail"),
+                     F.col("_cumn").alias("_bcum"))
+    per = per.join(brk, [run, "_lastbrk"], "left")
+    prevcum = F.col("_cumn") - F.col("_n")
+    carry = (F.when(F.col("_lastbrk").isNull(), prevcum)            # every earlier chunk fully stalled
+             .otherwise(F.col("_btrail") + (prevcum - F.col("_bcum"))))
+    per = per.select(run, "_c", carry.alias("_carry"))
+    out = c.join(per, [run, "_c"])
+    counter = F.when(F.col("_island") == 0, F.col("_local") + F.col("_carry")).otherwise(F.col("_local"))
+    out = out.withColumn("counter", counter.cast("long")).withColumn("stop", F.col("counter") > limit)
+    return out.drop("_c", "_st", "_island", "_local", "_carry")

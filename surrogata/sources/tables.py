@@ -45,10 +45,15 @@ def raster_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loss_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return ev.select(F.col("user_id").alias("run"), F.row_number().over(w).alias("epoch"),
-                     F.col("value").alias("loss"))
+    """Loss curves: run = user, epoch = position of the event in the user's order.
+
+    The epoch ordinal is computed by bucket counts + offsets, so a user holding
+    most events is not sorted in one task.
+    """
+    from surrogata.operators.windows import ordinal_in_run
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id",
+                                               F.col("value").alias("loss"))
+    return ordinal_in_run(ev, "run", "event_id").select("run", "epoch", "loss")
 
 
 def lineitem_predictions(spark: SparkSession, sf_dir: str, z: float = 1.96) -> DataFrame:

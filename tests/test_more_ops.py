@@ -98,3 +98,20 @@ def test_case_study_synthetic(spark):
     t = case_study(spark, "synthetic_100d_function", models=("rgasp",))
     r = t.first()
     assert t.count() == 1 and r.model == "rgasp" and 1.0 < r.rmse < 4.0
+
+
+def test_chunked_windows_equal_plain(spark):
+    from surrogata.operators import windows as W
+    from surrogata.sources import tables as tb
+    ev = tb.table(spark, SF_SMALL, "events").select(F.col("user_id").alias("run"), "event_id",
+                                                    F.col("value").alias("loss"))
+    plain = ev.withColumn("epoch", F.row_number().over(
+        __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("run").orderBy("event_id")).cast("long"))
+    buck = W.ordinal_in_run(ev, "run", "event_id", bucket_width=13)
+    assert sorted(plain.select("run", "epoch", "loss").collect()) == sorted(buck.select("run", "epoch", "loss").collect())
+    h = plain.select("run", "epoch", "loss")
+    a = W.running_best(W.patience(W.trailing_slope(h), min_epoch=3, tol=-1e9, limit=10))
+    b = W.running_best_chunked(W.patience_chunked(W.trailing_slope_chunked(h, chunk=21), min_epoch=3, tol=-1e9,
+                                                  limit=10, chunk=21), chunk=21)
+    cols = ["run", "epoch", "slope", "counter", "stop", "best_loss"]
+    assert sorted(tuple(r) for r in a.select(*cols).collect()) == sorted(tuple(r) for r in b.select(*cols).collect())
