@@ -209,6 +209,58 @@ class PCAOutputGP(Emulator):
         return lat.select("id", "mean", "sd").mapInArrow(fn, schema)
 
 
+class DeepKernelGP(Emulator):
+    """ML-11 + GP-1 (two stages): MLP feature map trained data-parallel, GP on its features."""
+
+    def __init__(self, hidden=(1000, 500, 50), latent: int = 2, epochs: int = 50, lr: float = 0.01,
+                 cfg: sgp.GPConfig | None = None, name: str = "dkl"):
+        self.name = name
+        self.hidden, self.latent, self.epochs, self.lr = hidden, latent, epochs, lr
+        self.cfg = cfg or sgp.GPConfig()
+
+    def fit(self, train: DataFrame) -> "DeepKernelGP":
+        from surrogata.operators import featuremap as fm
+        from surrogata.operators.stats import vector_stats
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self.params, self.losses = fm.train(train, "x", "y", self.hidden, self.latent, self.epochs, self.lr)
+            raw = fm.map_features(train.select("id", "x", "y"), self.params, np.zeros(self.latent),
+                                  np.ones(self.latent) * 2.0, keep=["id", "y"])
+            # undo the placeholder scaling (2(H-0)/2 - 1 = H - 1) to get the raw ranges
+            st = sorted(vector_stats(raw, "x").collect(), key=lambda r: r["pos"])
+            self.lo = np.array([r["min"] for r in st]) + 1.0
+            self.hi = np.array([r["max"] for r in st]) + 1.0
+            feats = fm.map_features(train.select("id", "x", "y"), self.params, self.lo, self.hi, keep=["id", "y"])
+            self.gp = sgp.fit(feats, "x", "y", self.cfg)
+        finally:
+            train.unpersist()
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        from surrogata.operators import featuremap as fm
+        return sgp.predict(fm.map_features(df, self.params, self.lo, self.hi), self.gp, "x", z=self.cfg.z)
+
+
+def lmc_for(train: DataFrame, **kw) -> "PCAOutputGP":
+    """Size an LMC emulator from the data: r90 of the standardised output spectrum (WIN-3)."""
+    mom = pca_ops.moments(train, "y")
+    ratios = pca_ops.explained_ratio_for_count(mom)
+    cum = np.cumsum(ratios)
+    hit = np.nonzero(cum >= 0.90)[0]
+    r90 = int(hit[0]) + 1 if hit.size else ratios.size + 1
+    d = len(train.select("x").first()[0])
+    return lmc(mom.n, d, r90, mom.mean.size, **kw)
+
+
+def lmc(n: int, d: int, y_spectrum_r90: int, n_outputs: int, **kw) -> "PCAOutputGP":
+    """LMC multitask emulator: ML-8 rank/size rule, k-means inducing points (ML-9),
+    PCA output mixing (ML-10) and one shared-kernel GP over the latent outputs."""
+    from surrogata.operators.inducing import model_size
+    rank, m = model_size(n, d, y_spectrum_r90, n_outputs)
+    return PCAOutputGP(n_components=rank, cfg=sgp.GPConfig(inducing="kmeans", max_inducing=m),
+                       name="lmc", **kw)
+
+
 def long_predictions(pred: DataFrame, truth: DataFrame | None = None) -> DataFrame:
     """Array predictions -> ``(id, task, mean, sd, lower, upper[, y])``."""
     cols = ["mean", "sd", "lower", "upper"]
@@ -228,6 +280,7 @@ REGISTRY = {
     "pca_rgasp": lambda **kw: PCAInputGP(**kw),
     "pca_ppgasp": lambda **kw: PCAOutputGP(scaling="zscore", **kw),
     "pca_bigp": lambda **kw: PCAOutputGP(scaling="minmax", **kw),
+    "dkl": lambda **kw: DeepKernelGP(**kw),
 }
 
 

@@ -642,3 +642,22 @@ MODEL_QUERIES.update({
     "pca_latent_range_embeddings": q_pca_latent_range_embeddings,
 })
 ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
+
+
+def q_dkl_embeddings(spark, sf):
+    """ML-11 + GP: neural feature map trained data-parallel, GP on the 2-d features."""
+    return _eval(spark, sf, "dkl")
+
+
+def q_lmc_raster(spark, sf):
+    """ML-8/9/10: LMC multitask emulator sized from the output spectrum, k-means inducing points."""
+    from surrogata.operators.emulators import lmc_for, long_predictions
+    from surrogata.operators.split import train_test_split
+    df = _raster_vectors(spark, sf).persist()
+    train, test = train_test_split(df, "id", 0.15, 42)
+    em = lmc_for(train).fit(train)
+    return long_predictions(em.predict(test), test)
+
+
+MODEL_QUERIES.update({"dkl_embeddings": q_dkl_embeddings, "lmc_raster": q_lmc_raster})
+ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}

@@ -115,3 +115,35 @@ def test_chunked_windows_equal_plain(spark):
                                                   limit=10, chunk=21), chunk=21)
     cols = ["run", "epoch", "slope", "counter", "stop", "best_loss"]
     assert sorted(tuple(r) for r in a.select(*cols).collect()) == sorted(tuple(r) for r in b.select(*cols).collect())
+
+
+def test_feature_map_gradients_and_training(spark):
+    from surrogata.operators import featuremap as fm
+    rng = np.random.default_rng(0)
+    P = fm.init_params([3, 5, 4, 2, 1], 1)
+    X = rng.normal(size=(7, 3))
+    Y = rng.normal(size=(7, 1))
+    g, s = fm.gradients(P, X, Y)
+    for i in range(len(P)):
+        Q = [q.copy() for q in P]
+        idx = (0,) * P[i].ndim
+        Q[i][idx] += 1e-6
+        _, s2 = fm.gradients(Q, X, Y)
+        assert abs((s2 - s) / 1e-6 - g[i][idx]) < 1e-4
+    Xb = rng.normal(size=(100, 3))
+    df = _frame(spark, Xb, Xb[:, 0] - Xb[:, 1])
+    params, losses = fm.train(df, hidden=(8, 8, 4), latent=2, epochs=30, lr=0.05)
+    assert losses[-1] < losses[0] * 0.5
+
+
+def test_lmc_sizes_from_spectrum(spark):
+    from surrogata.operators.emulators import lmc_for
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(60, 2))
+    Y = np.hstack([X @ rng.normal(size=(2, 6)), 0.01 * rng.normal(size=(60, 6))])
+    df = spark.createDataFrame([(i, X[i].tolist(), Y[i].tolist()) for i in range(60)],
+                               "id long, x array<double>, y array<double>")
+    em = lmc_for(df)
+    assert em.n_components >= 1 and em.cfg.inducing == "kmeans"
+    em.fit(df)
+    assert len(em.predict(df.select("id", "x")).first().mean) == 12
