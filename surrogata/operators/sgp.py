@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from surrogata.functions.kernels import get_kernel
 from surrogata.functions.rand import hash_order_key
-from surrogata.operators.blas import single_thread_blas
+from surrogata.operators.blas import driver_blas_for, single_thread_blas
 from surrogata.operators.arrowutil import list_to_matrix, matrix_to_list, vector_or_scalar
 from surrogata.operators.partials import emit, ensure_parallelism, num_partitions, reduce_partials
 
@@ -268,34 +268,44 @@ def _grid_bound(a: np.ndarray, gamma: np.ndarray, yyc: np.ndarray, n: int,
     return bound.reshape(S2.shape + (gamma.shape[1],))
 
 
+def _task_bounds(a, gamma, yyc, n, S2: np.ndarray, SG: np.ndarray) -> np.ndarray:
+    """Bound of every task t on its own (s2, sigma2) grid: S2, SG are (p, A, B)."""
+    gap = max(float(n) - float(a.sum()), 0.0)
+    res = np.clip(yyc - gamma.sum(axis=0), 0.0, None)                    # p
+    r = S2 / SG                                                          # p A B
+    ra = r[..., None] * a                                                # p A B m
+    logdet = np.log1p(ra).sum(axis=-1)
+    fit = res[:, None, None] + np.einsum("tabm,mt->tab", 1.0 / (1.0 + ra), gamma)
+    return (-0.5 * n * LOG2PI - 0.5 * logdet - 0.5 * n * np.log(SG)
+            - fit / (2.0 * SG) - S2 * gap / (2.0 * SG))
+
+
 def _best_scale_noise(a, gamma, yyc, n, cfg: GPConfig):
-    """Per task, maximise the bound over a log grid of (s2, sigma2), then refine."""
-    beta2 = gamma
+    """Per task, maximise the bound over a log grid of (s2, sigma2), then refine
+    twice on finer local grids (all tasks at once, each on its own grid)."""
+    keep = a > 0
+    a, gamma = a[keep], gamma[keep]                  # dropped directions contribute nothing
     p = gamma.shape[1]
     s2_grid = np.logspace(-3, 3, 41)
     sig_grid = np.logspace(math.log10(cfg.min_noise), math.log10(cfg.max_noise), 41)
-    best_s2 = np.zeros(p)
-    best_sg = np.zeros(p)
-    best_b = np.zeros(p)
-    B = _grid_bound(a, beta2, yyc, n, s2_grid, sig_grid)
-    for t in range(p):
-        i, j = np.unravel_index(np.argmax(B[:, :, t]), B.shape[:2])
-        s2c, sgc = s2_grid[i], sig_grid[j]
-        # two rounds of local refinement on a finer log grid
-        width_s, width_n = 0.15, (sig_grid[1] / sig_grid[0])
-        for _ in range(2):
-            fs = s2c * np.logspace(-math.log10(10 ** width_s), math.log10(10 ** width_s), 11)
-            fn_ = np.clip(sgc * np.logspace(-math.log10(width_n), math.log10(width_n), 11),
-                          cfg.min_noise, cfg.max_noise)
-            Bt = _grid_bound(a, beta2[:, t:t + 1], yyc[t:t + 1], n, fs, fn_)[:, :, 0]
-            i2, j2 = np.unravel_index(np.argmax(Bt), Bt.shape)
-            s2c, sgc = fs[i2], fn_[j2]
-            width_s /= 10.0
-            width_n = width_n ** 0.1
-        best_s2[t], best_sg[t] = s2c, sgc
-        best_b[t] = _grid_bound(a, beta2[:, t:t + 1], yyc[t:t + 1], n,
-                                np.array([s2c]), np.array([sgc]))[0, 0, 0]
-    return best_s2, best_sg, best_b
+    B = _grid_bound(a, gamma, yyc, n, s2_grid, sig_grid)                # A B p
+    flat = B.reshape(-1, p).argmax(axis=0)
+    i, j = np.unravel_index(flat, B.shape[:2])
+    s2c, sgc = s2_grid[i], sig_grid[j]                                   # p
+    width_s, width_n = 0.15, math.log10(sig_grid[1] / sig_grid[0])
+    steps = np.linspace(-1.0, 1.0, 11)
+    for _ in range(2):
+        S2 = s2c[:, None, None] * (10.0 ** (width_s * steps))[None, :, None] * np.ones((1, 1, 11))
+        SG = np.clip(sgc[:, None, None] * (10.0 ** (width_n * steps))[None, None, :] * np.ones((1, 11, 1)),
+                     cfg.min_noise, cfg.max_noise)
+        Bt = _task_bounds(a, gamma, yyc, n, S2, SG)                      # p 11 11
+        k = Bt.reshape(p, -1).argmax(axis=1)
+        s2c = S2.reshape(p, -1)[np.arange(p), k]
+        sgc = SG.reshape(p, -1)[np.arange(p), k]
+        width_s /= 10.0
+        width_n /= 10.0
+    best_b = _task_bounds(a, gamma, yyc, n, s2c[:, None, None], sgc[:, None, None])[:, 0, 0]
+    return s2c, sgc, best_b
 
 
 def log_prior(lengthscale: np.ndarray, n: int, cfg: GPConfig) -> float:
@@ -392,6 +402,7 @@ def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) ->
     if Z.ndim != 2 or Z.shape[1] != base.size:
         raise ValueError("inducing set must be (m, d) with d equal to the input width")
     kern = get_kernel(cfg.kernel)
+    driver_blas_for(Z.shape[0])
 
     def score(cands: list[np.ndarray], mults: list[float], tag: str) -> list[tuple[float, GPState]]:
         """One data pass for all candidates; every (scale, noise) pair scored on the driver."""
