@@ -49,7 +49,8 @@ def prepare(df: DataFrame, test_size: float | int = 0.15, seed: int = 42, fit_on
     z = z.select("id", F.slice("v", 1, d).alias("x"), F.element_at("v", -1).alias("y"), "is_test")
     if persist_to:
         z.write.mode("overwrite").partitionBy("is_test").parquet(persist_to)
-        z = df.sparkSession.read.parquet(persist_to)
+        # the partition column comes back as a string; train/test filters prune partitions
+        z = df.sparkSession.read.parquet(persist_to).withColumn("is_test", F.col("is_test").cast("boolean"))
     elif cache:
         # train and test (and every pass of a later fit) read this table
         z = z.persist(StorageLevel.MEMORY_AND_DISK)
@@ -166,7 +167,11 @@ def case_study(spark, name: str, data_dir: str | None = None, models: tuple | No
     df = catalog.load(spark, name, data_dir, seed)
     if models is None:
         models = SYNTHETIC_MODELS if catalog.CATALOG[name]["source"] == "" else FILE_MODELS
-    prep = prepare(df, test_size, seed)
+    # every model reads the prepared store: write it once below the shared
+    # checkpoint folder (a written table survives executor loss, cuts lineage)
+    import uuid
+    from surrogata.session import scratch_path
+    prep = prepare(df, test_size, seed, persist_to=scratch_path(spark, f"case-{name}-{uuid.uuid4().hex[:8]}"))
     rows = []
     for i, m in enumerate(models):
         _, row = evaluate(emulators.make(m), prep)
