@@ -18,7 +18,10 @@ from surrogata.operators.partials import emit, num_partitions, reduce_partials
 
 
 def fit_linear_trend(df: DataFrame, x: str = "x", y: str = "y", ridge: float = 1e-10) -> np.ndarray:
-    """Coefficients (d+1, p) of the least-squares linear trend."""
+    """Coefficients (d+1, p) of the least-squares linear trend (d checked before the pass)."""
+    from surrogata.operators.pca import GRAM_LIMIT, input_width
+    if input_width(df, x) + 1 > GRAM_LIMIT:
+        raise ValueError("linear trend on very wide inputs would need a (d+1)^2 matrix; reduce first")
     sel = df.select(x, y)
 
     def fn(batches):

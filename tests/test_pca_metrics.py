@@ -93,3 +93,17 @@ def test_threshold_validation():
         check_threshold("0.5")
     with pytest.raises(ValueError):
         check_threshold(-1)
+
+
+def test_wide_input_switches_to_randomized(spark, monkeypatch):
+    monkeypatch.setattr(pca, "GRAM_LIMIT", 4)          # treat the 6-wide test matrix as wide
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(150, 6)) * np.array([5, 3, 1, 0.5, 0.2, 0.1])
+    df = _df(spark, X)
+    with pytest.raises(ValueError):
+        pca.moments(df, "x")
+    m = pca.fit_pca(df, "x", 2)
+    w = np.sort(np.linalg.eigvalsh(np.cov(X, rowvar=False)))[::-1]
+    assert np.allclose(m.explained_variance, w[:2], rtol=1e-6)
+    m2 = pca.fit_pca(df, "x", 0.9)
+    assert 1 <= m2.k <= 6 and m2.share > 0.9
