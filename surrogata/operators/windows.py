@@ -170,3 +170,20 @@ def patience_chunked(df: DataFrame, run: str = "run", epoch: str = "epoch", slop
     counter = F.when(F.col("_island") == 0, F.col("_local") + F.col("_carry")).otherwise(F.col("_local"))
     out = out.withColumn("counter", counter.cast("long")).withColumn("stop", F.col("counter") > limit)
     return out.drop("_c", "_st", "_island", "_local", "_carry")
+
+
+def largest_group(df: DataFrame, key: str) -> int:
+    """Rows of the largest group (one partial aggregation; a scalar reaches the driver)."""
+    r = df.groupBy(key).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("m")).first()
+    return int(r["m"] or 0)
+
+
+def loss_curves(h: DataFrame, run: str = "run", epoch: str = "epoch", loss: str = "loss",
+                chunk: int = 1 << 16, largest: int | None = None) -> DataFrame:
+    """WIN-4/5/6 together; the chunked (skew-proof) plan is used only when the
+    largest run does not fit one chunk, the plain windows otherwise."""
+    largest = largest_group(h, run) if largest is None else largest
+    if largest <= chunk:
+        return running_best(patience(trailing_slope(h, run, epoch, loss), run, epoch), run, epoch, loss)
+    s = trailing_slope_chunked(h, run, epoch, loss, chunk=chunk)
+    return running_best_chunked(patience_chunked(s, run, epoch, chunk=chunk), run, epoch, loss, chunk=chunk)

@@ -232,10 +232,7 @@ def q_win1_3_spectrum(spark, sf):
 
 
 def q_win4_6_loss_curves(spark, sf):
-    h = tb.loss_history(spark, sf)
-    h = windows.trailing_slope_chunked(h)
-    h = windows.patience_chunked(h)
-    h = windows.running_best_chunked(h)
+    h = windows.loss_curves(tb.loss_history(spark, sf))
     return h.select("run", F.col("epoch").cast("long").alias("epoch"), rnd("slope").alias("slope"),
                     F.col("counter").cast("long").alias("counter"), "stop", rnd("best_loss").alias("best_loss"))
 

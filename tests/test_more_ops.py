@@ -147,3 +147,13 @@ def test_lmc_sizes_from_spectrum(spark):
     assert em.n_components >= 1 and em.cfg.inducing == "kmeans"
     em.fit(df)
     assert len(em.predict(df.select("id", "x")).first().mean) == 12
+
+
+def test_loss_curves_plan_choice_agrees(spark):
+    from surrogata.operators import windows as W
+    from surrogata.sources import tables as tb
+    h = tb.loss_history(spark, SF_SMALL)
+    a = W.loss_curves(h)                        # plain plan (small runs)
+    b = W.loss_curves(h, chunk=20, largest=10 ** 9)   # forced chunked plan
+    cols = ["run", "epoch", "slope", "counter", "stop", "best_loss"]
+    assert sorted(tuple(r) for r in a.select(*cols).collect()) == sorted(tuple(r) for r in b.select(*cols).collect())
