@@ -62,6 +62,8 @@ class GPConfig:
     refine_rounds: int = 1
     ard_rounds: int = 0             # per-input (ARD) refinement rounds after the multiplier search
     ard_groups: int = 8             # inputs are scaled in this many contiguous groups per round
+    search_inducing: int | None = None  # search hyperparameters on this many inducing points,
+                                        # then one final pass with the full set
     lengthscale_init: str = "range"   # range: 3*range_j/n^(1/d);  mean_range: mean(range)/sqrt(d)
     prior: str | None = None        # None | "reference" (GP-4) | "lognormal" (GP-5)
     prior_weight: float = 0.25
@@ -404,6 +406,10 @@ def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) ->
     kern = get_kernel(cfg.kernel)
     driver_blas_for(Z.shape[0])
 
+    Z_full = Z
+    if cfg.search_inducing and Z.shape[0] > cfg.search_inducing:
+        Z = Z[:cfg.search_inducing]          # landmark / centre order is random: a random subset
+
     def score(cands: list[np.ndarray], mults: list[float], tag: str) -> list[tuple[float, GPState]]:
         """One data pass for all candidates; every (scale, noise) pair scored on the driver."""
         whiten = [_whitener(kern(Z, Z, ls), jitter) for ls in cands]
@@ -471,6 +477,10 @@ def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) ->
                     done.add(key)
         if not improving:
             step = math.sqrt(step)
+    if Z_full is not Z:
+        # final statistics with every inducing point at the chosen lengthscales
+        Z = Z_full
+        best = score([best[1].lengthscale], [best[1].multiplier], "final")[0]
     state = best[1]
     state.search = search
     return state
