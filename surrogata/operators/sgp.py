@@ -410,25 +410,38 @@ def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) ->
     if cfg.search_inducing and Z.shape[0] > cfg.search_inducing:
         Z = Z[:cfg.search_inducing]          # landmark / centre order is random: a random subset
 
+    from concurrent.futures import ThreadPoolExecutor
+    import os as _os
+    workers = max(1, min(8, _os.cpu_count() or 1))
+
     def score(cands: list[np.ndarray], mults: list[float], tag: str) -> list[tuple[float, GPState]]:
-        """One data pass for all candidates; every (scale, noise) pair scored on the driver."""
-        whiten = [_whitener(kern(Z, Z, ls), jitter) for ls in cands]
+        """One data pass for all candidates; every (scale, noise) pair scored on the driver.
+
+        The per-candidate m x m algebra runs on a small thread pool (LAPACK releases
+        the GIL; the executors are idle at this point)."""
+        with ThreadPoolExecutor(workers) as pool:
+            whiten = list(pool.map(lambda ls: _whitener(kern(Z, Z, ls), jitter), cands))
         st = _stats_partials(df, x, y, Z, cands, whiten, cfg.kernel)
         nn = int(round(st["n"][0]))
         p = st["ysum"].size
         ybar = st["ysum"] / nn
         yyc = st["yy"] - nn * ybar ** 2
         m = Z.shape[0]
-        out = []
-        for c, ls in enumerate(cands):
+
+        def one(c):
+            ls = cands[c]
             A1 = st[f"phi{c}"].reshape(m, m)
             bw = st[f"b{c}"].reshape(m, p) - np.outer(st[f"k{c}"], ybar)
             a, G, beta, gamma = _decompose(whiten[c], A1, bw)
             s2, sg, bnd = _best_scale_noise(a, gamma, yyc, nn, cfg)
             sc = float(bnd.sum()) + log_prior(ls, nn, cfg)
-            search.append({"stage": tag, "multiplier": float(mults[c]), "bound": float(bnd.sum()), "score": sc})
-            out.append((sc, GPState(cfg.kernel, Z, ls, G, a, beta, s2, sg, ybar, nn, float(bnd.sum()),
-                                    float(mults[c]))))
+            return sc, GPState(cfg.kernel, Z, ls, G, a, beta, s2, sg, ybar, nn, float(bnd.sum()),
+                               float(mults[c]))
+
+        with ThreadPoolExecutor(workers) as pool:
+            out = list(pool.map(one, range(len(cands))))
+        for (sc, stt), mu in zip(out, mults):
+            search.append({"stage": tag, "multiplier": float(mu), "bound": stt.bound, "score": sc})
         return out
 
     search: list = []
