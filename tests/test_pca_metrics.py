@@ -107,3 +107,10 @@ def test_wide_input_switches_to_randomized(spark, monkeypatch):
     assert np.allclose(m.explained_variance, w[:2], rtol=1e-6)
     m2 = pca.fit_pca(df, "x", 0.9)
     assert 1 <= m2.k <= 6 and m2.share > 0.9
+
+
+def test_mle_component_count(spark):
+    rng = np.random.default_rng(0)
+    X = rng.normal(size=(300, 3)) @ rng.normal(size=(3, 8)) * 3 + 0.3 * rng.normal(size=(300, 8))
+    m = pca.fit_pca(_df(spark, X), "x", "mle")
+    assert m.k == 3
