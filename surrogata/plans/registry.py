@@ -9,6 +9,8 @@ between engines.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -551,7 +553,7 @@ def q_gp4_5_priors(spark, sf):
     beta = F.lit(1.0) / F.col("ls_range")
     agg = ls.agg(F.sum(F.log(beta)).alias("slb"), F.sum(beta).alias("sb"), F.first("n").alias("n"),
                  F.first("d").alias("d"),
-                 F.sum(-F.log("ls_range") - F.lit(0.5 * float(__import__("math").log(2 * __import__("math").pi)))
+                 F.sum(-F.log("ls_range") - F.lit(0.5 * math.log(2 * math.pi))
                        - F.pow(F.log("ls_range") - F.log(F.col("d").cast("double")) / 2.0, 2) / 2.0).alias("lognormal"))
     a = 0.2
     b = F.pow(F.col("n").cast("double"), -1.0 / F.col("d")) * (F.lit(a) + F.col("d"))

@@ -105,8 +105,8 @@ def test_chunked_windows_equal_plain(spark):
     from surrogata.sources import tables as tb
     ev = tb.table(spark, SF_SMALL, "events").select(F.col("user_id").alias("run"), "event_id",
                                                     F.col("value").alias("loss"))
-    plain = ev.withColumn("epoch", F.row_number().over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("run").orderBy("event_id")).cast("long"))
+    from pyspark.sql import Window
+    plain = ev.withColumn("epoch", F.row_number().over(Window.partitionBy("run").orderBy("event_id")).cast("long"))
     buck = W.ordinal_in_run(ev, "run", "event_id", bucket_width=13)
     assert sorted(plain.select("run", "epoch", "loss").collect()) == sorted(buck.select("run", "epoch", "loss").collect())
     h = plain.select("run", "epoch", "loss")
