@@ -157,3 +157,18 @@ def test_loss_curves_plan_choice_agrees(spark):
     b = W.loss_curves(h, chunk=20, largest=10 ** 9)   # forced chunked plan
     cols = ["run", "epoch", "slope", "counter", "stop", "best_loss"]
     assert sorted(tuple(r) for r in a.select(*cols).collect()) == sorted(tuple(r) for r in b.select(*cols).collect())
+
+
+def test_sample_outputs_and_inducing_shape(spark):
+    from surrogata.operators.sampling import sample_outputs
+    from surrogata.operators import sgp
+    W = np.array([[1.0, 2.0, 0.0]])
+    df = spark.createDataFrame([(1, [1.0], [0.0]), (2, [2.0], [0.0])], "id long, mean array<double>, sd array<double>")
+    out = sample_outputs(df, lambda L: L @ W, n_draws=5)
+    rows = out.collect()
+    assert len(rows) == 2 * 5 * 3
+    assert all(abs(r.value - {0: 1.0, 1: 2.0, 2: 0.0}[r.pos] * (1.0 if r.id == 1 else 2.0)) < 1e-12 for r in rows)
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(20, 2))
+    with pytest.raises(ValueError):                                            # VAL-11
+        sgp.fit(_frame(spark, X, X[:, 0]), Z=np.zeros((5, 3)))
