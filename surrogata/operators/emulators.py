@@ -216,7 +216,8 @@ class DeepKernelGP(Emulator):
                  cfg: sgp.GPConfig | None = None, name: str = "dkl"):
         self.name = name
         self.hidden, self.latent, self.epochs, self.lr = hidden, latent, epochs, lr
-        self.cfg = cfg or sgp.GPConfig()
+        # ARD over the latent features, as the original's kernel
+        self.cfg = cfg or sgp.GPConfig(ard_rounds=3, ard_groups=latent)
 
     def fit(self, train: DataFrame) -> "DeepKernelGP":
         from surrogata.operators import featuremap as fm
