@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from surrogata.session import checkpoint_dir
 
@@ -41,6 +43,28 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def annotate(df: DataFrame, inputs: list[str], fn, fields: str, name: str = "_found") -> tuple[DataFrame, str]:
+    """The table with one more struct column of the given DDL fields, and that column's name.
+    ``fn`` gets the Arrow arrays of the input columns and returns an Arrow array a field; all other
+    columns pass through whatever their names are."""
+    [name] = fresh(df, name)
+    inner = StructType.fromDDL(fields)
+    schema = StructType([*df.schema.fields, StructField(name, inner)])
+    at = [df.columns.index(c) for c in inputs]
+    kinds = [(f.name, to_arrow_type(f.dataType)) for f in inner.fields]
+
+    def run(batches):
+        for x in batches:
+            if not x.num_rows:
+                continue
+            arrays = [a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a, k)
+                      for a, (_, k) in zip(fn(*[x.column(i) for i in at]), kinds)]
+            made = pa.StructArray.from_arrays(arrays, fields=[pa.field(*k) for k in kinds])
+            yield pa.RecordBatch.from_arrays([*x.columns, made], [*x.schema.names, name])
+
+    return df.mapInArrow(run, schema), name
+
+
 def offsets_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column without copying; a null text is empty."""
     if col.null_count:
@@ -108,7 +132,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     contracted = _down(edges).mapInArrow(_contract, "c long, p long")
     e = cut(_down(contracted).distinct(), tag)
     while True:
-        least = cut(e.groupBy("c").agg(F.min("p").alias("m")), tag)
+        least = e.groupBy("c").agg(F.min("p").alias("m"))
         small = (e.join(least.withColumnRenamed("c", "k"), F.col("c") == F.col("k"))
                  .select(F.explode(F.array(F.struct("c", F.col("m").alias("p")),
                                            F.struct(F.greatest("p", "m").alias("c"),

@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, topk
 from .common import table
+from .edit_counts import edit_counts
 from .packing import packed_digest
 from .repair import ids_round_trip
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op2_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_round_trip(table(spark, sf_dir, "documents"))
 
@@ -17,9 +27,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlap_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
+    "op2_edit_counts": op2_edit_counts,
     "op6_repair_ids": op6_repair_ids,
     "op7_packing": op7_packing,
+    "op8_decontaminate": op8_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_topk": topk.SQL,
+    "op8_decontaminate": decontaminate.SQL,
+}
