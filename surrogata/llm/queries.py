@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, topk
 from .common import table
 from .edit_counts import edit_counts
+from .lines import line_report
+from .near_join import near_classes
 from .packing import packed_digest
 from .repair import ids_round_trip
 
@@ -19,6 +21,10 @@ def op2_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_round_trip(table(spark, sf_dir, "documents"))
 
@@ -31,12 +37,18 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlap_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_edit_counts": op2_edit_counts,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op6_repair_ids": op6_repair_ids,
     "op7_packing": op7_packing,
     "op8_decontaminate": op8_decontaminate,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
