@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, topk
 from .common import table
 from .edit_counts import edit_counts
+from .language import language_report
 from .lines import line_report
 from .near_join import near_classes
 from .packing import packed_digest
 from .repair import ids_round_trip
+from .toxicity import toxicity_report
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,14 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op6_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_round_trip(table(spark, sf_dir, "documents"))
 
@@ -45,6 +55,8 @@ QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_edit_counts": op2_edit_counts,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_toxicity": op4_toxicity,
+    "op5_language": op5_language,
     "op6_repair_ids": op6_repair_ids,
     "op7_packing": op7_packing,
     "op8_decontaminate": op8_decontaminate,

@@ -20,14 +20,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch
 from .tokens import default_vocabulary, encode_texts
 
 MAGIC = b"RPAIR001"
-SHARD_IDS = 1 << 22        # ids after which a shard is closed
+SHARD_IDS = 1 << 21        # ids after which a shard is closed
 ROUNDS = 6                 # rounds of replacement
 RULES_A_ROUND = 2048
 LEAST_COUNT = 32           # occurrences that make a pair worth a rule
@@ -223,22 +223,29 @@ def _reader(batches):
                     ["doc_id", "part", "shard", "place", "shard_start", "n_tokens", "ids"])
 
 
-def read_ids(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the files; ``start`` counts the ids of
-    all documents before it.  Offsets are summed per writer task, then over the tasks: a row a task
-    and a row a shard, never a row a document."""
-    shards = spark.read.schema(SHARDS).parquet(path)
+def _starts(shards: DataFrame) -> DataFrame:
+    """(p, s, before): the ids before each shard.  Summed per writer task, then over the tasks:
+    a row a task and a row a shard, never a row a document."""
     sizes = shards.select("part", "shard", "n_ids")
     by_part = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
         F.col("part").alias("p"), F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("before_part"))
     in_part = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    start = sizes.withColumn("before_shard", F.coalesce(F.sum("n_ids").over(in_part), F.lit(0))) \
+    return sizes.withColumn("before_shard", F.coalesce(F.sum("n_ids").over(in_part), F.lit(0))) \
         .join(base, F.col("part") == F.col("p")) \
         .select(F.col("part").alias("p"), F.col("shard").alias("s"),
                 (F.col("before_part") + F.col("before_shard")).alias("before"))
-    return (shards.select("part", "shard", "body").mapInArrow(_reader, DECODED)
-            .join(start, (F.col("part") == F.col("p")) & (F.col("shard") == F.col("s")))
+
+
+def read_ids(spark, path: str, ids: Column | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document in the files; ``start`` counts the ids of
+    all documents before it.  ``ids`` may be an expression of the little-endian unsigned 32-bit ids
+    that is taken in their place."""
+    shards = spark.read.schema(SHARDS).parquet(path)
+    decoded = shards.select("part", "shard", "body").mapInArrow(_reader, DECODED)
+    taken = decoded.select("doc_id", "part", "shard", "shard_start", "n_tokens",
+                           (F.col("ids") if ids is None else ids).alias("ids"))
+    return (taken.join(_starts(shards), (F.col("part") == F.col("p")) & (F.col("shard") == F.col("s")))
             .select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids"))
 
 
@@ -247,8 +254,7 @@ def ids_round_trip(docs: DataFrame, **options) -> DataFrame:
     spark = docs.sparkSession
     path = scratch(spark, "token-ids")
     write_ids(docs, path, **options)
-    back = read_ids(spark, path)
-    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_ids(spark, path, F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
 
 
 def crc32(ids: np.ndarray) -> int:

@@ -105,30 +105,19 @@ def split_points(codes: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts[:n])
 
 
-class PretokenIds:
-    """Ids of pre-tokens by fingerprint, filled by the tokenizers library as texts need them."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+class Fingerprints:
+    """Open-addressing table from 64-bit fingerprints to entries 0, 1, ... of a bounded store."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        self.bytes_of = np.ones(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.bytes_of[i] = len(token)       # the byte-level alphabet has a character a byte
+    def __init__(self, most: int = MAX_KNOWN):
+        self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.slots = np.zeros(2 * MAX_KNOWN, np.uint64)
-        self.where = np.zeros(2 * MAX_KNOWN, np.int32)
-        self.start = np.zeros(1, np.int64)      # entry k has ids[start[k]:start[k] + count[k]]
-        self.count = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-        self.known = self.used = 0
+        self.slots = np.zeros(2 * self.most, np.uint64)
+        self.where = np.zeros(2 * self.most, np.int32)
+        self.known = 0
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
+    def find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each fingerprint, -1 where it is not known."""
         mask = np.uint64(len(self.slots) - 1)
         out = np.full(len(h), -1, np.int64)
@@ -141,8 +130,9 @@ class PretokenIds:
             todo, at = todo[go], (at[go] + 1) & int(mask)
         return out
 
-    def _insert(self, h: np.ndarray, entry: np.ndarray) -> None:
+    def insert(self, h: np.ndarray, entry: np.ndarray) -> None:
         """New distinct fingerprints; of those that want one slot the last writer keeps it."""
+        self.known += len(h)
         size = len(self.slots) - 1
         at = (h & np.uint64(size)).astype(np.int64)
         while len(h):
@@ -152,6 +142,39 @@ class PretokenIds:
             lost = self.slots[at] != h
             h, entry, at = h[lost], entry[lost], (at[lost] + 1) & size
 
+
+def room(a: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The array, or a larger copy, with room for more rows."""
+    if used + more <= len(a):
+        return a
+    big = np.zeros((2 * (used + more), *a.shape[1:]), a.dtype)
+    big[:used] = a[:used]
+    return big
+
+
+class PretokenIds:
+    """Ids of pre-tokens by fingerprint, filled by the tokenizers library as texts need them."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.ones(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)       # the byte-level alphabet has a character a byte
+        self.table = Fingerprints()
+        self.clear()
+
+    def clear(self) -> None:
+        self.table.clear()
+        self.start = np.zeros(1, np.int64)      # entry k has ids[start[k]:start[k] + count[k]]
+        self.count = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+        self.used = 0
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in order and how many each has.  Words are sent joined by line feeds;
         the byte length of every id tells whose id it is.  White space is sent word by word."""
@@ -183,36 +206,29 @@ class PretokenIds:
         """Entry of each pre-token; unknown ones are encoded first."""
         h = span_hashes(codes, start, end)
         h[h == 0] = 1
-        out = self._find(h)
+        out = self.table.find(h)
         missing = np.flatnonzero(out < 0)
         if len(missing):
             new, first = np.unique(h[missing], return_index=True)
-            if self.known + len(new) > MAX_KNOWN:
+            if self.table.known + len(new) > self.table.most:
                 self.clear()
                 return self.entries(text, codes, start, end)
             at = missing[first]
             ids, count = self._encode([text[s:e] for s, e in zip(start[at].tolist(), end[at].tolist())])
-            entry = self.known + np.arange(len(new))
+            entry = self.table.known + np.arange(len(new))
             self._grow(ids, count)
-            self._insert(new, entry.astype(np.int32))
+            self.table.insert(new, entry.astype(np.int32))
             out[missing] = entry[np.searchsorted(new, h[missing])]
         return out
 
     def _grow(self, ids: np.ndarray, count: np.ndarray) -> None:
-        def room(a, used, more):
-            if used + more <= len(a):
-                return a
-            big = np.zeros(2 * (used + more), a.dtype)
-            big[:used] = a[:used]
-            return big
-
-        k, u = self.known, self.used
+        k, u = self.table.known, self.used
         self.ids, self.start, self.count = (room(self.ids, u, len(ids)), room(self.start, k, len(count)),
                                             room(self.count, k, len(count)))
         self.ids[u:u + len(ids)] = ids
         self.count[k:k + len(count)] = count
         self.start[k:k + len(count)] = u + np.cumsum(count) - count
-        self.known, self.used = k + len(count), u + len(ids)
+        self.used = u + len(ids)
 
     def gather(self, entry: np.ndarray) -> np.ndarray:
         count = self.count[entry]
