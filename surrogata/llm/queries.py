@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, topk
 from .common import table
 from .edit_counts import edit_counts
+from .html_extract import page_texts
 from .language import language_report
 from .lines import line_report
 from .near_join import near_classes
@@ -47,6 +48,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlap_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op6_repair_ids": op6_repair_ids,
     "op7_packing": op7_packing,
     "op8_decontaminate": op8_decontaminate,
+    "op9_html_wrapper": op9_html_wrapper,
     "op10_line_dedup": op10_line_dedup,
 }
 
