@@ -15,9 +15,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surrogata.functions.rand import hash_order_key
 from surrogata.operators.arrowutil import list_to_matrix
 from surrogata.operators.blas import single_thread_blas
+from surrogata.operators.inducing import distinct_landmarks
 from surrogata.operators.partials import emit, num_partitions, reduce_partials
 from surrogata.operators.pca import _map_vectors
 
@@ -66,18 +66,12 @@ class KPCAModel:
         return (self.features(X) - self.mean) @ self.components.T
 
 
-def landmarks(df: DataFrame, x: str, m: int, seed: int = 42) -> np.ndarray:
-    key = hash_order_key(F.to_json(F.col(x)), F.lit(seed))
-    rows = df.select(x, key.alias("_h")).orderBy("_h").limit(m).collect()
-    return np.array([r[0] for r in rows], dtype=float)
-
-
 def fit_kpca(df: DataFrame, x: str = "x", n_components: int = 2, kernel: str = "rbf",
              gamma: float | None = None, degree: int = 3, coef0: float = 1.0, m: int = 256,
              seed: int = 42, fit_inverse: bool = True, alpha: float = 0.001) -> KPCAModel:
     """ML-5 fit; with ``fit_inverse`` also the ML-6 ridge pre-image map."""
     single_thread_blas()
-    Z = landmarks(df, x, m, seed)
+    Z = distinct_landmarks(df, x, m, seed)
     kf = make_kernel(kernel, gamma, degree, coef0)
     Kzz = kf(Z, Z)
     w, U = np.linalg.eigh(0.5 * (Kzz + Kzz.T))
@@ -112,15 +106,37 @@ def fit_kpca(df: DataFrame, x: str = "x", n_components: int = 2, kernel: str = "
     comps *= np.sign(comps[np.arange(comps.shape[0]), idx])[:, None]
     model = KPCAModel(kernel, gamma, degree, coef0, Z, P, mean, comps, np.clip(ev[order], 0, None))
     if fit_inverse:
-        # ML-6: kernel ridge from latent scores back to inputs, on the landmarks
-        Lz = model.transform_np(Z)
-        kl = make_kernel(kernel, gamma, degree, coef0)
-        K = kl(Lz, Lz)
-        model.dual = np.linalg.solve(K + alpha * np.eye(K.shape[0]), Z)
-        model.latent_landmarks = Lz
+        _fit_preimage(sel, model, alpha)
     return model
 
 
+def _fit_preimage(sel: DataFrame, model: KPCAModel, alpha: float) -> None:
+    """ML-6: kernel ridge from latent scores back to inputs, over all rows, with the landmarks'
+    scores as centres: (sum k k^T + alpha K) B = sum k x^T.  With every row a landmark this is the
+    ordinary kernel ridge."""
+    Lz = model.transform_np(model.Z)
+    kl = make_kernel(model.kernel, model.gamma, model.degree, model.coef0)
+    m, d = model.Z.shape
+
+    def fn(batches):
+        single_thread_blas()
+        kk, kx, seen = np.zeros((m, m)), np.zeros((m, d)), False
+        for rb in batches:
+            if rb.num_rows:
+                X = list_to_matrix(rb.column(0))
+                k = kl(model.transform_np(X), Lz)
+                kk += k.T @ k
+                kx += k.T @ X
+                seen = True
+        if seen:
+            yield emit({"kk": kk, "kx": kx})
+
+    st = reduce_partials(sel.mapInArrow(fn, "key string, chunk int, vals array<double>"), num_partitions(sel))
+    lhs = st["kk"].reshape(m, m) + alpha * kl(Lz, Lz)
+    model.dual = np.linalg.lstsq(lhs, st["kx"].reshape(m, d), rcond=None)[0]
+    model.latent_landmarks = Lz
+
+
 def transform(df: DataFrame, model: KPCAModel, x: str = "x", out: str = "z", keep=None) -> DataFrame:
     return _map_vectors(df, x, out, model.transform_np, keep)
 

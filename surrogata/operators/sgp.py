@@ -50,6 +50,8 @@ EIG_FLOOR = 1e-10
 
 # Hard cap for the inducing set kept on the driver (m x m doubles: 2048 -> 32 MB).
 MAX_INDUCING = 2048
+# Added to the standard deviation of padding points.
+PADDING_SD = 1e-6
 
 
 @dataclass
@@ -62,12 +64,10 @@ class GPConfig:
     refine_rounds: int = 1
     ard_rounds: int = 0             # per-input (ARD) refinement rounds after the multiplier search
     ard_groups: int = 8             # inputs are scaled in this many contiguous groups per round
-    search_inducing: int | None = None  # search hyperparameters on this many inducing points,
-                                        # then one final pass with the full set
     lengthscale_init: str = "range"   # range: 3*range_j/n^(1/d);  mean_range: mean(range)/sqrt(d)
     prior: str | None = None        # None | "reference" (GP-4) | "lognormal" (GP-5)
     prior_weight: float = 0.25
-    min_noise: float = 1e-4         # GPyTorch's default noise constraint
+    min_noise: float = 1e-4         # in units of the task's variance
     max_noise: float = 10.0
     seed: int = 42
     z: float = 2.0                  # interval multiplier for lower/upper
@@ -90,6 +90,7 @@ class GPState:
     bound: float
     multiplier: float
     search: list = field(default_factory=list)
+    mode: str = "given"             # all (exact) | landmarks | kmeans | given
 
     @property
     def p(self) -> int:
@@ -345,29 +346,20 @@ def choose_inducing(df: DataFrame, x: str, n: int, cfg: GPConfig, id_col: str |
         rows = df.select(*cols).collect()
         rows.sort(key=(lambda r: r[1]) if len(cols) == 2 else (lambda r: tuple(r[0])))
         return np.array([r[0] for r in rows], dtype=float)
-    m = min(cfg.max_inducing, MAX_INDUCING, n)
+    if cfg.max_inducing > MAX_INDUCING:
+        raise ValueError(f"at most {MAX_INDUCING} inducing points are supported, {cfg.max_inducing} asked for")
+    m = min(cfg.max_inducing, n)
     if mode == "landmarks":
-        # top-m by a hash of the vector itself: a deterministic uniform sample
-        # (per-partition top-m then merge; no sort of n rows).  Equal vectors
-        # share a hash, so duplicates are dropped on the bounded sample.
-        key = hash_order_key(F.to_json(F.col(x)), F.lit(cfg.seed))
-        rows = df.select(x, key.alias("_h")).orderBy("_h").limit(2 * m).collect()
-        seen, out = set(), []
-        for r in rows:
-            t = tuple(r[0])
-            if t not in seen:
-                seen.add(t)
-                out.append(r[0])
-            if len(out) == m:
-                break
-        return np.array(out, dtype=float)
+        from surrogata.operators.inducing import distinct_landmarks
+        return distinct_landmarks(df, x, m, cfg.seed)
     if mode == "kmeans":
         from surrogata.operators.inducing import kmeans_centres
         if n < cfg.max_inducing:
             # ML-9 / SET-3: all rows plus random points from the data mean/std (bounded: n < m)
-            X = np.array([r[0] for r in df.select(x).collect()], dtype=float)
+            X = np.array(sorted(tuple(r[0]) for r in df.select(x).collect()), dtype=float)
             rng = np.random.default_rng(cfg.seed)
-            pad = X.mean(0) + X.std(0, ddof=1 if n > 1 else 0) * rng.standard_normal((min(cfg.max_inducing, MAX_INDUCING) - n, X.shape[1]))
+            sd = X.std(0, ddof=1 if n > 1 else 0) + PADDING_SD
+            pad = X.mean(0) + sd * rng.standard_normal((cfg.max_inducing - n, X.shape[1]))
             return np.vstack([X, pad])
         return kmeans_centres(df, x, m, seed=cfg.seed)
     raise ValueError(f"unknown inducing mode {mode!r}")
@@ -399,6 +391,7 @@ def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) ->
     base = initial_lengthscale(n, lo, hi, cfg.lengthscale_init)
     exact = Z is None and (cfg.inducing == "all" or (cfg.inducing == "auto" and n <= cfg.exact_cap))
     jitter = cfg.jitter if cfg.jitter is not None else (EXACT_JITTER if exact else JITTER)
+    mode = "given" if Z is not None else "landmarks" if cfg.inducing == "auto" else cfg.inducing
     if Z is None:
         Z = choose_inducing(df, x, n, cfg)
     if Z.ndim != 2 or Z.shape[1] != base.size:
@@ -406,10 +399,6 @@ def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) ->
     kern = get_kernel(cfg.kernel)
     driver_blas_for(Z.shape[0])
 
-    Z_full = Z
-    if cfg.search_inducing and Z.shape[0] > cfg.search_inducing:
-        Z = Z[:cfg.search_inducing]          # landmark / centre order is random: a random subset
-
     from concurrent.futures import ThreadPoolExecutor
     import os as _os
     workers = max(1, min(8, _os.cpu_count() or 1))
@@ -433,7 +422,10 @@ def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) ->
             A1 = st[f"phi{c}"].reshape(m, m)
             bw = st[f"b{c}"].reshape(m, p) - np.outer(st[f"k{c}"], ybar)
             a, G, beta, gamma = _decompose(whiten[c], A1, bw)
-            s2, sg, bnd = _best_scale_noise(a, gamma, yyc, nn, cfg)
+            # scale and noise are searched in units of each task's variance
+            var = np.where(yyc > 0, yyc / nn, 1.0)
+            s2, sg, bnd = _best_scale_noise(a, gamma / var, yyc / var, nn, cfg)
+            s2, sg, bnd = s2 * var, sg * var, bnd - 0.5 * nn * np.log(var)
             sc = float(bnd.sum()) + log_prior(ls, nn, cfg)
             return sc, GPState(cfg.kernel, Z, ls, G, a, beta, s2, sg, ybar, nn, float(bnd.sum()),
                                float(mults[c]))
@@ -490,22 +482,12 @@ def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) ->
                     done.add(key)
         if not improving:
             step = math.sqrt(step)
-    if Z_full is not Z:
-        # final statistics with every inducing point at the chosen lengthscales
-        Z = Z_full
-        best = score([best[1].lengthscale], [best[1].multiplier], "final")[0]
     state = best[1]
+    state.mode = "all" if exact else mode
     state.search = search
     return state
 
 
-def exact_bound(state: GPState) -> float:
-    return state.bound
-
-
-PRED_FIELDS = ("mean", "sd")
-
-
 def predict(df: DataFrame, state: GPState, x: str = "x", keep: list[str] | None = None,
             z: float = 2.0, scalar: bool | None = None) -> DataFrame:
     """GP-2: mean, sd (noise included), lower = mean - z sd, upper = mean + z sd.
