@@ -76,9 +76,10 @@ def first_stop(df: DataFrame, run: str = "run", epoch: str = "epoch") -> DataFra
 
 # ---------------------------------------------------------------------------
 # Skew-proof variants: a run holding a large share of all rows is cut into
-# fixed epoch chunks, so no window partition holds more than one chunk.
-# Results are identical to the plain versions (tests compare them).  Epochs
-# must be consecutive integers from 1 within a run (as ``ordinal_in_run`` gives).
+# chunks of its rows in epoch order, so no window partition holds more than one
+# chunk.  Results are identical to the plain versions (tests compare them).
+# ``ordinal`` names the row number within the run (as ``ordinal_in_run`` gives);
+# by default the epochs themselves must be 1, 2, 3, ...
 
 
 def ordinal_in_run(df: DataFrame, run: str, order: str, bucket_width: int = 1 << 20,
@@ -105,12 +106,12 @@ def _chunk(epoch: str, size: int):
 
 
 def trailing_slope_chunked(df: DataFrame, run: str = "run", epoch: str = "epoch", loss: str = "loss",
-                           width: int = 20, chunk: int = 1 << 16) -> DataFrame:
+                           width: int = 20, chunk: int = 1 << 16, ordinal: str | None = None) -> DataFrame:
     """WIN-4 per (run, chunk) with a (width-1)-row halo copied from the previous chunk."""
     if chunk < width:
         raise ValueError("chunk must be at least the window width")
-    base = df.withColumn("_c", _chunk(epoch, chunk)).withColumn("_halo", F.lit(False))
-    pos_in_chunk = (F.col(epoch) - 1) - F.col("_c") * chunk
+    base = df.withColumn("_c", _chunk(ordinal or epoch, chunk)).withColumn("_halo", F.lit(False))
+    pos_in_chunk = (F.col(ordinal or epoch) - 1) - F.col("_c") * chunk
     halo = (base.filter(pos_in_chunk >= chunk - (width - 1))
             .withColumn("_c", F.col("_c") + 1).withColumn("_halo", F.lit(True)))
     w = Window.partitionBy(run, "_c").orderBy(epoch).rowsBetween(-(width - 1), 0)
@@ -120,9 +121,9 @@ def trailing_slope_chunked(df: DataFrame, run: str = "run", epoch: str = "epoch"
 
 
 def running_best_chunked(df: DataFrame, run: str = "run", epoch: str = "epoch", loss: str = "loss",
-                         chunk: int = 1 << 16) -> DataFrame:
+                         chunk: int = 1 << 16, ordinal: str | None = None) -> DataFrame:
     """WIN-6: running minimum = min(local running min, min of all earlier chunks)."""
-    c = df.withColumn("_c", _chunk(epoch, chunk))
+    c = df.withColumn("_c", _chunk(ordinal or epoch, chunk))
     per = c.groupBy(run, "_c").agg(F.min(loss).alias("_cm"))
     wprev = Window.partitionBy(run).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_prev", F.min("_cm").over(wprev)).drop("_cm")
@@ -133,7 +134,7 @@ def running_best_chunked(df: DataFrame, run: str = "run", epoch: str = "epoch",
 
 
 def patience_chunked(df: DataFrame, run: str = "run", epoch: str = "epoch", slope: str = "slope",
-                     min_epoch: int = 50, tol: float = -1e-5, limit: int = 75, chunk: int = 1 << 16) -> DataFrame:
+                     min_epoch: int = 50, tol: float = -1e-5, limit: int = 75, chunk: int = 1 << 16, ordinal: str | None = None) -> DataFrame:
     """WIN-5 with a carry of the stalled streak across chunks (two-phase scan).
 
     Inside a chunk the streak is counted as in :func:`patience`; a chunk's
@@ -142,7 +143,7 @@ def patience_chunked(df: DataFrame, run: str = "run", epoch: str = "epoch", slop
     that are stalled from start to end.
     """
     stalled = (F.col(epoch) > min_epoch) & F.col(slope).isNotNull() & (F.col(slope) > tol)
-    c = df.withColumn("_c", _chunk(epoch, chunk)).withColumn("_st", stalled.cast("int"))
+    c = df.withColumn("_c", _chunk(ordinal or epoch, chunk)).withColumn("_st", stalled.cast("int"))
     w = Window.partitionBy(run, "_c").orderBy(epoch)
     c = c.withColumn("_island", F.sum(1 - F.col("_st")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     wi = Window.partitionBy(run, "_c", "_island").orderBy(epoch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -179,11 +180,9 @@ def largest_group(df: DataFrame, key: str) -> int:
 
 
 def loss_curves(h: DataFrame, run: str = "run", epoch: str = "epoch", loss: str = "loss",
-                chunk: int = 1 << 16, largest: int | None = None) -> DataFrame:
-    """WIN-4/5/6 together; the chunked (skew-proof) plan is used only when the
-    largest run does not fit one chunk, the plain windows otherwise."""
-    largest = largest_group(h, run) if largest is None else largest
-    if largest <= chunk:
-        return running_best(patience(trailing_slope(h, run, epoch, loss), run, epoch), run, epoch, loss)
-    s = trailing_slope_chunked(h, run, epoch, loss, chunk=chunk)
-    return running_best_chunked(patience_chunked(s, run, epoch, chunk=chunk), run, epoch, loss, chunk=chunk)
+                chunk: int = 1 << 16) -> DataFrame:
+    """WIN-4/5/6 together, by one plan for runs of any size and epochs of any spacing."""
+    o = ordinal_in_run(h, run, epoch, out="_ord")
+    s = trailing_slope_chunked(o, run, epoch, loss, chunk=chunk, ordinal="_ord")
+    s = patience_chunked(s, run, epoch, chunk=chunk, ordinal="_ord")
+    return running_best_chunked(s, run, epoch, loss, chunk=chunk, ordinal="_ord").drop("_ord")

@@ -44,22 +44,15 @@ def raster_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample_id"))
 
 
-LARGE_RUN = 1 << 16
-
-
 def loss_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss curves: run = user, epoch = position of the event in the user's order.
 
-    When the largest user fits one task (<= LARGE_RUN events) this is a plain
-    ``row_number``; otherwise the ordinal comes from bucket counts + offsets so
-    a user holding most events is not sorted in one task.
+    The ordinal comes from bucket counts + offsets, so a user holding most
+    events is not sorted in one task.
     """
-    from surrogata.operators.windows import largest_group, ordinal_in_run
+    from surrogata.operators.windows import ordinal_in_run
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id",
                                                F.col("value").alias("loss"))
-    if largest_group(ev, "run") <= LARGE_RUN:
-        w = Window.partitionBy("run").orderBy("event_id")
-        return ev.select("run", F.row_number().over(w).cast("long").alias("epoch"), "loss")
     return ordinal_in_run(ev, "run", "event_id").select("run", "epoch", "loss")
 
 

@@ -149,14 +149,21 @@ def test_lmc_sizes_from_spectrum(spark):
     assert len(em.predict(df.select("id", "x")).first().mean) == 12
 
 
-def test_loss_curves_plan_choice_agrees(spark):
+def test_loss_curves_equal_the_plain_windows(spark):
     from surrogata.operators import windows as W
     from surrogata.sources import tables as tb
     h = tb.loss_history(spark, SF_SMALL)
-    a = W.loss_curves(h)                        # plain plan (small runs)
-    b = W.loss_curves(h, chunk=20, largest=10 ** 9)   # forced chunked plan
     cols = ["run", "epoch", "slope", "counter", "stop", "best_loss"]
-    assert sorted(tuple(r) for r in a.select(*cols).collect()) == sorted(tuple(r) for r in b.select(*cols).collect())
+    gapped = h.withColumn("epoch", F.col("epoch") * 2)
+    from_zero = h.withColumn("epoch", F.col("epoch") - 1)
+    for g in (h, gapped, from_zero):
+        plain = W.running_best(W.patience(W.trailing_slope(g, "run", "epoch", "loss"), "run", "epoch"),
+                               "run", "epoch", "loss")
+        for chunk in (20, 1 << 16):
+            got = W.loss_curves(g, chunk=chunk)
+            key = lambda d: sorted((r.run, r.epoch, None if r.slope is None else round(r.slope, 9),
+                                    r.counter, r.stop, r.best_loss) for r in d.select(*cols).collect())
+            assert key(got) == key(plain)
 
 
 def test_sample_outputs_and_inducing_shape(spark):
