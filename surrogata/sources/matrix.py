@@ -1,7 +1,7 @@
 """SRC-1, SRC-2, SRC-6, SRC-7: numeric matrices and raster stacks as DataFrames.
 
-Rows of a text matrix get a stable 0-based ordinal id (their line number in
-the file, files ordered by path) without collecting or sorting the data: the
+Rows of a text matrix get a stable 0-based ordinal id (their number among the
+lines that are not blank, files ordered by path) without collecting or sorting the data: the
 line count of every file split is aggregated (one row per split), turned into
 offsets on that small table, and joined back by split.
 """
@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 
 def read_matrix(spark: SparkSession, path: str | list[str], delimiter: str = ",") -> DataFrame:
     """SRC-1: delimited numeric text -> ``(id BIGINT, x ARRAY<DOUBLE>)``."""
-    raw = spark.read.text(path).select(
+    kept = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("_f"),
-        F.col("_metadata.file_block_start").alias("_b"),
-        F.monotonically_increasing_id().alias("_mid"), "value")
-    raw = raw.filter(F.length(F.trim("value")) > 0)
+        F.col("_metadata.file_block_start").alias("_b"), "value") \
+        .filter(F.length(F.trim("value")) > 0)
+    # counted after blank lines are gone, so the lines of a block are consecutive
+    raw = kept.select("_f", "_b", F.monotonically_increasing_id().alias("_mid"), "value")
     blocks = raw.groupBy("_f", "_b").agg(F.min("_mid").alias("_m0"), F.count("*").alias("_n"))
     # offsets over the (small) table of splits: one row per file block
     w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    j = raw.join(F.broadcast(blocks.select("_f", "_b", "_m0", "_off")), ["_f", "_b"])
+    j = raw.join(blocks.select("_f", "_b", "_m0", "_off"), ["_f", "_b"])
     parts = F.split(F.col("value"), delimiter if delimiter != "|" else "\\|")
     return j.select((F.col("_off") + F.col("_mid") - F.col("_m0")).alias("id"),
                     F.transform(parts, lambda c: F.trim(c).cast("double")).alias("x"))
@@ -38,6 +39,10 @@ def assemble(blocks: list[DataFrame], id_col: str = "id", vec: str = "x") -> Dat
     counts = [b.count() for b in blocks]
     if len(set(counts)) != 1:
         raise ValueError(f"matrices have different row counts: {counts}")
+    for b in blocks[1:]:
+        if not blocks[0].select(id_col).join(b.select(id_col), id_col, "left_anti").isEmpty() or \
+                not b.select(id_col).join(blocks[0].select(id_col), id_col, "left_anti").isEmpty():
+            raise ValueError("matrices have different row ids")
     out = blocks[0].select(id_col, F.col(vec).alias("_x0"))
     for i, b in enumerate(blocks[1:], start=1):
         out = out.join(b.select(id_col, F.col(vec).alias(f"_x{i}")), id_col)
