@@ -39,7 +39,7 @@ def check_equal_size(pred: DataFrame, truth: DataFrame, keys: list[str]) -> None
     a = pred.select(*keys).join(truth.select(*keys), keys, "left_anti").limit(1).count()
     b = truth.select(*keys).join(pred.select(*keys), keys, "left_anti").limit(1).count()
     if a or b:
-        raise ValueError("predictions and measurements must be of equal size")
+        raise ValueError("some keys have a prediction without a true value, or the reverse")
 
 
 def per_task(df: DataFrame, by: list[str], y: str = "y", mean: str = "mean",
