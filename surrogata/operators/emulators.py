@@ -69,12 +69,16 @@ class GPEmulator(Emulator):
 
 def _add_trend(pred_fn, df: DataFrame, beta) -> DataFrame:
     """GP-16 prediction: trend(x) as a JVM column, the residual GP on top (narrow)."""
-    b0, b = float(beta[0, 0]), [float(v) for v in beta[1:, 0]]
-    trend = F.lit(b0) + F.aggregate(F.zip_with(F.col("x"), F.array(*[F.lit(v) for v in b]), lambda u, w: u * w),
-                                    F.lit(0.0), lambda acc, v: acc + v)
-    pred = pred_fn(df.withColumn("_t", trend))
+    def output(j):
+        slopes = F.array(*[F.lit(float(v)) for v in beta[1:, j]])
+        return F.lit(float(beta[0, j])) + F.aggregate(F.zip_with(F.col("x"), slopes, lambda u, w: u * w),
+                                                      F.lit(0.0), lambda acc, v: acc + v)
+
+    pred = pred_fn(df.withColumn("_t", F.array(*[output(j) for j in range(beta.shape[1])])))
+    vector = dict(pred.dtypes)["mean"].startswith("array")
     for c in ("mean", "lower", "upper"):
-        pred = pred.withColumn(c, F.col(c) + F.col("_t"))
+        added = F.zip_with(c, "_t", lambda u, w: u + w) if vector else F.col(c) + F.col("_t")[0]
+        pred = pred.withColumn(c, added)
     return pred.drop("_t")
 
 

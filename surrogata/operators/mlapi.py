@@ -39,8 +39,7 @@ class SurrogatePCAModel(Model, HasInputCol, HasOutputCol):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         keep = [c for c in dataset.columns if c != self.getOutputCol()]
-        return pca_ops.transform(dataset, self.model, self.getInputCol(), self.getOutputCol(),
-                                 keep=[c for c in keep if c != self.getInputCol()])
+        return pca_ops.transform(dataset, self.model, self.getInputCol(), self.getOutputCol(), keep=keep)
 
     def inverse_transform(self, dataset: DataFrame, outputCol: str = "x_hat") -> DataFrame:
         keep = [c for c in dataset.columns if c != self.getOutputCol()]

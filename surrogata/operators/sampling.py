@@ -27,11 +27,26 @@ def predictive_draws(pred_long: DataFrame, n_draws: int = 128, seed: int = 42) -
                                                                F.lit(seed))).alias("value"))
 
 
+def _bits(h: np.ndarray) -> np.ndarray:
+    """splitmix64 finaliser."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def _row_normals(ids: np.ndarray, n_draws: int, k: int, seed: int) -> np.ndarray:
-    out = np.empty((ids.size, n_draws, k))
-    for i, v in enumerate(ids):
-        out[i] = np.random.default_rng([int(seed), int(v) & 0x7FFFFFFFFFFFFFFF]).standard_normal((n_draws, k))
-    return out
+    """(rows, draws, k) standard normals, each a function of (seed, id, draw, position)."""
+    row = _bits(np.asarray(ids, np.int64).view(np.uint64) ^ _bits(np.array([seed], np.int64).view(np.uint64)))
+    place = np.arange(1, n_draws * k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = _bits(row[:, None] + place[None, :])
+    u = ((h >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
+    angle = (_bits(h ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)).astype(float) * (2.0 * np.pi / 2.0 ** 53)
+    return (np.sqrt(-2.0 * np.log(u)) * np.cos(angle)).reshape(-1, n_draws, k)
+
+
+#: Numbers that a task holds at once when it maps draws to the output space.
+DRAW_BUDGET = 1 << 22
 
 
 def mc_reconstruct(pred: DataFrame, inverse_np, n_draws: int = 100, seed: int = 42) -> DataFrame:
@@ -52,12 +67,16 @@ def mc_reconstruct(pred: DataFrame, inverse_np, n_draws: int = 100, seed: int =
             ids = rb.column(0).to_numpy(zero_copy_only=False)
             mu = list_to_matrix(rb.column(1))
             sd = list_to_matrix(rb.column(2))
-            eps = _row_normals(ids, n_draws, mu.shape[1], seed)
-            lat = mu[:, None, :] + sd[:, None, :] * eps               # N x D x k
-            outs = inverse_np(lat.reshape(-1, mu.shape[1])).reshape(ids.size, n_draws, -1)
+            centre = inverse_np(mu)
+            spread = np.empty_like(centre)
+            step = max(1, DRAW_BUDGET // (n_draws * max(centre.shape[1], mu.shape[1])))
+            for s in range(0, ids.size, step):
+                eps = _row_normals(ids[s:s + step], n_draws, mu.shape[1], seed)
+                lat = mu[s:s + step, None, :] + sd[s:s + step, None, :] * eps          # rows x D x k
+                outs = inverse_np(lat.reshape(-1, mu.shape[1])).reshape(len(eps), n_draws, -1)
+                spread[s:s + step] = outs.std(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [rb.column(0), matrix_to_list(inverse_np(mu)), matrix_to_list(outs.std(axis=1))],
-                names=["id", "mean", "sd"])
+                [rb.column(0), matrix_to_list(centre), matrix_to_list(spread)], names=["id", "mean", "sd"])
 
     return pred.select(F.col("id").cast("long"), "mean", "sd").mapInArrow(fn, schema)
 

@@ -148,11 +148,6 @@ def chart_series(pred: DataFrame, threshold: float = 0.5) -> dict[str, DataFrame
     return {"parity": parity, "residuals": resid, "histogram": maps.histogram(pred, "y")}
 
 
-def score_table(pred_long: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """All MET-1..6 scores for long predictions."""
-    return metrics.scores(pred_long, by)
-
-
 # Model sets of the two case-study kinds (the neural model of
 # the original is not built; the sparse GP takes its place).
 SYNTHETIC_MODELS = ("exact_gp", "sparse_gp", "rgasp", "pca_rgasp")
@@ -174,7 +169,8 @@ def case_study(spark, name: str, data_dir: str | None = None, models: tuple | No
     prep = prepare(df, test_size, seed, persist_to=scratch_path(spark, f"case-{name}-{uuid.uuid4().hex[:8]}"))
     rows = []
     for i, m in enumerate(models):
-        _, row = evaluate(emulators.make(m), prep)
+        pred, row = evaluate(emulators.make(m), prep)
+        pred.unpersist()
         rows.append((row["name"], i, row["rmse"], row["train_time"], row["infer_time"]))
     res = spark.createDataFrame(rows, "name string, ordinal int, rmse double, train_time double, infer_time double")
     return compare(res)

@@ -327,3 +327,26 @@ SELECT id, {R('yt')} AS y_true, {R('yp - yt')} AS residual, {R('sd')} AS sd FROM
 SELECT vec_id AS id, len(embedding)::BIGINT AS width,
        {R('list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))')} AS x_sq FROM embeddings""",
 })
+
+ORACLE_SQL.update({
+    "gp_inducing_choice": """
+WITH v AS (SELECT DISTINCT l_quantity::DOUBLE AS x0, l_discount::DOUBLE AS x1, l_tax::DOUBLE AS x2 FROM lineitem),
+o AS (SELECT *, row_number() OVER (ORDER BY md5('[' || x0 || ',' || x1 || ',' || x2 || ']|42')) - 1 AS place FROM v)
+SELECT place::INTEGER AS place, x0, x1, x2 FROM o WHERE place < 128""",
+
+    "src1_text_matrix": f"""
+SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, len(embedding)::BIGINT AS width,
+       {R('list_sum(list_transform(embedding, lambda v, i: v::DOUBLE * i))')} AS weighted FROM embeddings""",
+
+    "pca_invariants": f"""WITH {DESIGN},
+c AS (SELECT covar_samp(a.v, b.v) AS c, a.i AS i, b.i AS j FROM el a JOIN el b ON a.id = b.id GROUP BY a.i, b.i)
+SELECT {R('sum(CASE WHEN i = j THEN c ELSE 0 END)')} AS total, {R('sum(c * c)')} AS squares FROM c""",
+
+    "pca_score_norms": f"""WITH {DESIGN},
+m AS (SELECT i, avg(v) AS m FROM el GROUP BY i)
+SELECT el.id AS id, {R('sum((v - m) * (v - m))')} AS norm FROM el JOIN m ON el.i = m.i GROUP BY el.id""",
+
+    "trend_part": """
+SELECT round(regr_intercept(p_retailprice, p_size), 3) AS intercept,
+       round(regr_slope(p_retailprice, p_size), 4) AS slope FROM part""",
+})

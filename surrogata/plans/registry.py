@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -224,10 +225,9 @@ def q_win1_3_spectrum(spark, sf):
     st = stats.vector_stats(_design(spark, sf), "x").select("pos", (F.col("std_pop") ** 2).alias("variance"))
     k = st.withColumn("k", F.row_number().over(Window.orderBy(F.desc("variance"), "pos")))  # d rows
     cum = windows.cumulative_ratio(k, "k", "variance")
-    whole = Window.partitionBy()
-    out = cum.withColumn("n_components", F.coalesce(F.min(F.when(F.col("cum_ratio") > 0.95, F.col("k"))).over(whole), F.lit(1)))
-    out = out.withColumn("r90", F.coalesce(F.min(F.when(F.col("cum_ratio") >= 0.90, F.col("k"))).over(whole),
-                                           F.max("k").over(whole) + 1))
+    chosen = windows.components_above(cum, 0.95).first()["n_components"]      # scalars of a d-row table
+    r90 = windows.rank_at_least(cum, 0.90).first()["r90"]
+    out = cum.withColumn("n_components", F.lit(chosen)).withColumn("r90", F.lit(r90))
     return out.select(F.col("k").cast("long").alias("k"), F.col("pos").cast("long").alias("pos"),
                       rnd("ratio").alias("ratio"), rnd("cum_ratio").alias("cum_ratio"),
                       F.col("n_components").cast("long").alias("n_components"), F.col("r90").cast("long").alias("r90"))
@@ -403,13 +403,13 @@ def q_compare_models(spark, sf):
     return jobs.compare(res)
 
 
+KMEANS_CENTRES = 32
+
+
 def q_kmeans_inducing(spark, sf):
     """ML-9: k-means centres as inducing points (MLlib)."""
     from surrogata.operators.inducing import kmeans_centres
-    d = _design(spark, sf)
-    n = d.count()
-    k = max(2, min(64, n // 8))
-    Z = kmeans_centres(d, "x", k, seed=42)
+    Z = kmeans_centres(_design(spark, sf), "x", KMEANS_CENTRES, seed=42)
     return spark.createDataFrame([(i, [float(v) for v in z]) for i, z in enumerate(Z)], "k int, centre array<double>")
 
 
@@ -474,6 +474,7 @@ def q_gp_state_readout(spark, sf):
     rows += [("outputscale", t, float(v)) for t, v in enumerate(st.s2)]
     rows += [("noise", t, float(v)) for t, v in enumerate(st.sigma2)]
     rows += [("mean", t, float(v)) for t, v in enumerate(st.ybar)]
+    rows += [("inducing_points", 0, float(len(st.Z)))]
     return spark.createDataFrame(rows, "param string, idx int, value double")
 
 
@@ -515,10 +516,13 @@ def q_agg3_minmax_scaled(spark, sf):
 
 def q_agg16_means(spark, sf):
     """AGG-16: mean over inputs of sample std (+1e-6), of range, of population variance."""
-    st = stats.vector_stats(_design(spark, sf), "x")
-    return st.agg(rnd(F.avg(F.col("std_samp") + 1e-6)).alias("mean_std"),
-                  rnd(F.avg(F.col("max") - F.col("min"))).alias("mean_range"),
-                  rnd(F.avg(F.col("std_pop") ** 2)).alias("mean_var"))
+    st = stats.vector_stats(_design(spark, sf), "x").select(
+        (F.col("std_samp") + 1e-6).alias("sd"), (F.col("max") - F.col("min")).alias("range"),
+        (F.col("std_pop") ** 2).alias("var"))
+    one = [stats.mean_of(st, c, f"mean_{n}") for c, n in (("sd", "std"), ("range", "range"), ("var", "var"))]
+    row = {k: v for d in one for k, v in d.first().asDict().items()}
+    return spark.createDataFrame([row], "mean_std double, mean_range double, mean_var double").select(
+        *[rnd(c).alias(c) for c in ("mean_std", "mean_range", "mean_var")])
 
 
 def q_srt4_top_ratios(spark, sf):
@@ -564,7 +568,6 @@ def q_gp4_5_priors(spark, sf):
 def q_srt6_padding(spark, sf):
     """SRT-6: one padding point per embedding id from column mean and sample std (+1e-6)."""
     from surrogata.operators.inducing import padding_points
-    import numpy as np
     d = _design(spark, sf)
     st = sorted(stats.normaliser_stats(stats.vector_stats(d, "x")).select("pos", "mean", "std_eps").collect(),
                 key=lambda r: r["pos"])                                   # d rows
@@ -660,3 +663,64 @@ def q_lmc_raster(spark, sf):
 
 MODEL_QUERIES.update({"dkl_embeddings": q_dkl_embeddings, "lmc_raster": q_lmc_raster})
 ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
+
+
+# ---------------------------------------------------------------------------
+# Inducing points, text matrices, spectrum and trend against SQL
+
+
+def q_gp_inducing_choice(spark, sf):
+    """GP-1: the 128 distinct lineitem vectors with the least md5."""
+    from surrogata.operators.inducing import distinct_landmarks
+    Z = distinct_landmarks(tb.lineitem_regression(spark, sf), "x", 128, 42)
+    return spark.createDataFrame([(i, *map(float, z)) for i, z in enumerate(Z)],
+                                 "place int, x0 double, x1 double, x2 double")
+
+
+def q_src1_text_matrix(spark, sf):
+    """SRC-1: embeddings written as delimited text to the shared folder, read back in line order."""
+    import uuid
+    from surrogata.session import scratch_path
+    from surrogata.sources.matrix import read_matrix
+    path = scratch_path(spark, f"matrix-{uuid.uuid4().hex}")
+    e = tb.table(spark, sf, "embeddings").select("vec_id", F.concat_ws(
+        ",", F.transform("embedding", lambda v: v.cast("double").cast("string"))).alias("value"))
+    e.repartitionByRange(3, "vec_id").sortWithinPartitions("vec_id").select("value").write.text(path)
+    m = read_matrix(spark, path)
+    return m.select("id", F.size("x").cast("long").alias("width"), rnd(F.aggregate(
+        F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)).alias("weighted"))
+
+
+def q_pca_invariants(spark, sf):
+    """ML-1 / SRT-3: sums over the full spectrum, which equal sums over the covariance matrix."""
+    from surrogata.operators import pca
+    m = pca.fit_pca(_design(spark, sf), "x", 64)
+    v = np.asarray(m.explained_variance, float)
+    return spark.createDataFrame([(float(v.sum()), float((v ** 2).sum()))], "total double, squares double") \
+        .select(rnd("total").alias("total"), rnd("squares").alias("squares"))
+
+
+def q_pca_score_norms(spark, sf):
+    """ML-4: the squared length of a row's full-rank scores is its squared distance to the mean."""
+    from surrogata.operators import pca
+    d = _design(spark, sf)
+    z = pca.transform(d, pca.fit_pca(d, "x", 64), "x", "z", keep=["id"])
+    return z.select("id", rnd(F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v)).alias("norm"))
+
+
+def q_trend_part(spark, sf):
+    """GP-16: least-squares line of the retail price over the size."""
+    from surrogata.operators.trend import fit_linear_trend
+    b = fit_linear_trend(tb.part_regression(spark, sf), "x", "y")
+    return spark.createDataFrame([(float(b[0, 0]), float(b[1, 0]))], "intercept double, slope double") \
+        .select(F.round("intercept", 3).alias("intercept"), F.round("slope", 4).alias("slope"))
+
+
+SQL_QUERIES.update({
+    "gp_inducing_choice": q_gp_inducing_choice,
+    "src1_text_matrix": q_src1_text_matrix,
+    "pca_invariants": q_pca_invariants,
+    "pca_score_norms": q_pca_score_norms,
+    "trend_part": q_trend_part,
+})
+ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}

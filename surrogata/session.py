@@ -1,4 +1,4 @@
-"""Session helpers: a tuned local/cluster session and the shared checkpoint folder."""
+"""Session helpers: a session as asked for, and the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -7,52 +7,37 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-_DEFAULTS = {
-    "spark.ui.enabled": "false",
-    "spark.ui.showConsoleProgress": "false",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Arrow batches feed numpy kernels; keep them bounded for wide rows.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
-}
-
-
-def get_spark(master: str | None = None, app: str = "surrogata",
-              shuffle_partitions: int | None = None,
-              driver_memory: str = "16g") -> SparkSession:
-    """Return the active session or build one with sane defaults.
-
-    On a cluster the master and resources come from spark-submit; locally
-    ``local[N]`` is used and shuffle partitions follow the core count.
-    """
+def get_spark(master: str | None = None, app: str | None = None,
+              shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
+    """Return the active session or build one; only what is passed (or ``SURROGATA_MASTER``) is
+    set, so master, memory and partitions of spark-submit hold on a cluster."""
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
-    master = master or os.environ.get("SURROGATA_MASTER", "local[*]")
-    b = SparkSession.builder.master(master).appName(app)
-    for k, v in _DEFAULTS.items():
-        b = b.config(k, v)
-    b = b.config("spark.driver.memory", driver_memory)
-    if shuffle_partitions is None:
-        shuffle_partitions = os.cpu_count() or 8
-    b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("WARN")
-    return spark
+    asked = {
+        "spark.master": master or os.environ.get("SURROGATA_MASTER"),
+        "spark.app.name": app,
+        "spark.sql.shuffle.partitions": shuffle_partitions,
+        "spark.driver.memory": driver_memory,
+    }
+    b = SparkSession.builder
+    for k, v in asked.items():
+        if v is not None:
+            b = b.config(k, str(v))
+    return b.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) a private temporary folder is
-    created and registered, so lineage can always be cut with a reliable
-    ``checkpoint()`` or a written table.
+    Where the setting is absent and all executors are this process (tests), a private temporary
+    folder is created and registered; on a cluster its absence is an error, as executors would
+    write to folders that the others can't read.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="surrogata-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
     if spark.sparkContext.getCheckpointDir() is None:

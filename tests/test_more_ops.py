@@ -179,3 +179,70 @@ def test_sample_outputs_and_inducing_shape(spark):
     X = rng.normal(size=(20, 2))
     with pytest.raises(ValueError):                                            # VAL-11
         sgp.fit(_frame(spark, X, X[:, 0]), Z=np.zeros((5, 3)))
+
+
+def test_landmarks_are_distinct_whatever_the_copies(spark):
+    from surrogata.operators.inducing import distinct_landmarks
+    df = spark.range(200_000).select(F.array((F.col("id") % 977).cast("double"),
+                                             (F.col("id") % 3).cast("double")).alias("x")).repartition(6)
+    a = distinct_landmarks(df, "x", 128)
+    assert a.shape == (128, 2) and len({tuple(r) for r in a}) == 128
+    assert (distinct_landmarks(df.repartition(3), "x", 128) == a).all()
+    assert len(distinct_landmarks(df.where("id % 977 < 5"), "x", 128)) == 15      # all there are
+
+
+def test_gp_does_not_depend_on_the_unit_of_y(spark):
+    from surrogata.operators import sgp
+    rng = np.random.default_rng(2)
+    X = rng.uniform(-2, 2, size=(300, 2))
+    y = np.sin(2 * X[:, 0]) + 0.3 * X[:, 1] + 0.1 * rng.standard_normal(300)
+    cfg = sgp.GPConfig(inducing="landmarks", max_inducing=40)
+    one, other = sgp.fit(_frame(spark, X, y), cfg=cfg), sgp.fit(_frame(spark, X, 1000 * y), cfg=cfg)
+    assert np.allclose(other.sigma2, 1e6 * one.sigma2) and np.allclose(other.s2, 1e6 * one.s2)
+    assert np.allclose(other.lengthscale, one.lengthscale) and len(one.Z) == 40 and one.mode == "landmarks"
+    assert 0.05 < np.sqrt(one.sigma2[0]) < 0.2
+    with pytest.raises(ValueError):
+        sgp.fit(_frame(spark, X, y), cfg=sgp.GPConfig(inducing="landmarks", max_inducing=sgp.MAX_INDUCING + 1))
+
+
+def test_linear_trend_of_vector_outputs(spark):
+    from surrogata.operators.emulators import GPEmulator
+    rng = np.random.default_rng(4)
+    X = rng.uniform(0, 1, size=(60, 2))
+    Y = np.stack([1 + 2 * X[:, 0], 5 - X[:, 1]], 1)
+    rows = [(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(X, Y))]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y array<double>")
+    got = GPEmulator("t", trend="linear").fit(df).predict(df.select("id", "x")).collect()
+    assert np.allclose([r["mean"] for r in sorted(got, key=lambda r: r["id"])], Y, atol=1e-3)
+
+
+def test_text_matrix_with_blank_lines(spark, tmp_path):
+    from surrogata.sources.matrix import assemble, read_matrix
+    (tmp_path / "a.csv").write_text("1,2\n\n3,4\n5,6\n")
+    (tmp_path / "b.csv").write_text("7,8\n\n\n9,10\n")
+    m = read_matrix(spark, str(tmp_path))
+    assert sorted((r.id, r.x) for r in m.collect()) == [
+        (0, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [5.0, 6.0]), (3, [7.0, 8.0]), (4, [9.0, 10.0])]
+    shifted = m.select((F.col("id") + 1).alias("id"), "x")
+    with pytest.raises(ValueError):
+        assemble([m, shifted])
+    assert assemble([m, m]).count() == 5
+
+
+def test_evidence_count_against_the_formula(spark):
+    from math import lgamma, log, pi
+    from surrogata.operators.pca import _mle_count
+    rng = np.random.default_rng(1)
+    w = np.sort(np.concatenate([rng.uniform(5, 30, 4), rng.uniform(0.9, 1.1, 11)]))[::-1]
+    n, d = 200, len(w)
+
+    def evidence(k):
+        v = w[k:].mean()
+        x = np.where(np.arange(d) < k, w, v)
+        pairs = [(i, j) for i in range(k) for j in range(i + 1, d)]
+        az = sum(log(n) + log(1 / x[j] - 1 / x[i]) + log(w[i] - w[j]) for i, j in pairs)
+        u = -k * log(2) + sum(lgamma((d - i) / 2) - (d - i) / 2 * log(pi) for i in range(k))
+        m = d * k - k * (k + 1) / 2
+        return (u - n / 2 * np.log(w[:k]).sum() - n * (d - k) / 2 * log(v)
+                + (m + k) / 2 * log(2 * pi) - az / 2 - k / 2 * log(n))
+    assert _mle_count(w, n) == max(range(1, d), key=evidence)
