@@ -39,15 +39,14 @@ def truncate(cells: DataFrame, valid: DataFrame, samples: DataFrame) -> DataFram
     """PRJ-7: dense values of the kept cells (n_valid > 0) for every sample.
 
     ``samples`` lists every sample id (a sample may have no stored cell).  The
-    kept cell set is at most rows*cols rows and is broadcast; the sample x
-    kept-cell frame is generated per sample partition (no shuffle of samples)
-    and filled by a left join on (sample_id, pos).
+    grid positions are generated per sample, those of dropped cells leave by a
+    semi join with the kept-cell table (at most rows*cols rows), and the values
+    come in by a left join on (sample_id, pos).
     """
     kept = valid.filter(F.col("n_valid") > 0).select("pos")
-    # The kept-cell list is bounded by the grid size; it is exploded per sample.
-    cells_list = kept.agg(F.sort_array(F.collect_list("pos")).alias("cells")).first()["cells"] or []
-    frame = samples.select("sample_id", F.explode(F.array(*[F.lit(int(c)) for c in cells_list])
-                                                  if cells_list else F.array().cast("array<int>")).alias("pos"))
+    last = kept.agg(F.max("pos")).first()[0]
+    every = F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")
+    frame = samples.select("sample_id", F.explode(every).alias("pos")).join(kept, "pos", "left_semi")
     return (frame.join(cells, ["sample_id", "pos"], "left")
             .select("sample_id", "pos", F.coalesce(F.col("value"), F.lit(0.0)).alias("value")))
 

@@ -121,21 +121,26 @@ def compare(results: DataFrame, name: str = "name", ordinal: str = "ordinal") ->
 
 def map_report(truth_cells: DataFrame, pred_cells: DataFrame, samples: DataFrame, rows: int, cols: int,
                threshold: float = 0.5) -> dict[str, DataFrame]:
-    """JOB-5: floor, scatter to the grid, mean/std maps, difference, sign, percent error,
-    best/worst runs.  Inputs are long ``(sample_id, pos, value)`` on kept cells."""
-    gt = truncate.scatter(maps.floor_values(truth_cells, threshold), samples, rows, cols)
-    pr = truncate.scatter(maps.floor_values(pred_cells, threshold), samples, rows, cols)
-    cmp = maps.compare_maps(maps.mean_std_map(gt), maps.mean_std_map(pr))
+    """JOB-5: floor, mean/std maps, difference, sign, percent error, best/worst runs.
+
+    Inputs are long ``(sample_id, pos, value)`` of the stored cells.  Errors and counts are
+    aggregates of those and joins with the grid or the samples; only the mean and std maps scatter
+    the cells to the grid."""
+    grid = truncate.grid_positions(samples.sparkSession, rows, cols)
+    gt = maps.floor_values(truth_cells, threshold)
+    pr = maps.floor_values(pred_cells, threshold)
+    dense = [truncate.scatter(v, samples, rows, cols) for v in (gt, pr)]
+    cmp = maps.compare_maps(*map(maps.mean_std_map, dense))
     err = maps.percent_error(maps.paired(gt, pr))
-    counts = maps.error_counts(err)
+    counts = maps.error_counts(err, samples)
     which = maps.best_worst(counts)
     return {
         "maps": cmp,
         "limits": maps.colour_limits(cmp),
-        "mean_error": maps.mean_error_map(err),
+        "mean_error": maps.mean_error_map(err, grid),
         "counts": counts,
         "best_worst": which,
-        "run_maps": maps.run_map(err, which),
+        "run_maps": maps.run_map(err, which, grid),
     }
 
 

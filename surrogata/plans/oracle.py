@@ -172,7 +172,7 @@ lim AS (SELECT least(min(gt_mean_masked), min(pred_mean_masked)) AS min_mean,
                quantile_cont(diff_mean, 0.05) AS p5_diff FROM cm)
 SELECT {R('min_mean', 9)} AS min_mean, {R('max_mean', 9)} AS max_mean, {R('max_abs_diff', 9)} AS max_abs_diff,
        {R('p5_diff', 9)} AS p5_diff,
-       {R('least(greatest(p5_diff, max_abs_diff * 1e-6), max_abs_diff * 0.01)', 9)} AS linthresh FROM lim""",
+       {R('least(greatest(p5_diff, max_abs_diff * 1e-6), max_abs_diff * 0.01)', 12)} AS linthresh FROM lim""",
 
     "agg13_histogram": f"""
 WITH r AS (SELECT l_returnflag AS flag, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(l_extendedprice) AS n
