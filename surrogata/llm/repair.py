@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, small_batches
 from .tokens import default_vocabulary, encode_texts
 
 MAGIC = b"RPAIR001"
@@ -195,6 +195,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     other, ordered by a hash of the text, so repeated rows stay; other columns are not looked at;
     an empty table writes an empty one.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")) \
         .withColumn("k", F.xxhash64("text"))
     ordered = d.repartitionByRange("id", "k").sortWithinPartitions("id", "k").select("id", "text")
