@@ -14,6 +14,16 @@ from pyspark.sql.types import StructField, StructType
 from surrogata.session import checkpoint_dir
 
 
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: hand Python BATCH_ROWS rows at a time unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -26,6 +36,7 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lost executors redo no earlier stage."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -47,6 +58,7 @@ def annotate(df: DataFrame, inputs: list[str], fn, fields: str, name: str = "_fo
     """The table with one more struct column of the given DDL fields, and that column's name.
     ``fn`` gets the Arrow arrays of the input columns and returns an Arrow array a field; all other
     columns pass through whatever their names are."""
+    small_batches(df.sparkSession)
     [name] = fresh(df, name)
     inner = StructType.fromDDL(fields)
     schema = StructType([*df.schema.fields, StructField(name, inner)])

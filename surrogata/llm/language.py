@@ -25,7 +25,7 @@ PIECE = 10                 # longest piece that is used
 TRAIN_DOCS = 3000          # labelled documents that each language is fitted on, about
 ROUNDS = 3
 SMOOTH = 0.05              # pseudo-count of every piece
-STEP = 1 << 20             # characters handled at once
+STEP = 1 << 19             # characters handled at once
 KNOWN = 1 << 19            # words whose scores a worker remembers
 
 

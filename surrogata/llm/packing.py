@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .tokens import default_vocabulary, encode_texts
 
 GROUP = 8192
@@ -157,6 +158,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room:
     """
     if room < 1 or room & (room - 1):
         raise ValueError("room must be a power of two")
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     key = F.xxhash64("id", "text")
     dealt = d.withColumn("k", key).repartition("k").sortWithinPartitions("k", "id").select("id", "text")

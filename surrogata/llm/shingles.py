@@ -13,7 +13,7 @@ from .tokens import mix, span_hashes
 
 WORDS = 5                  # words in a shingle of a document
 CHARS = 8                  # characters in a shingle of a line
-STEP_BYTES = 1 << 21       # text handled at once
+STEP_BYTES = 1 << 19       # text handled at once
 _FOLD_TABLE = np.frombuffer(_FOLD, np.uint8)
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                    0xA0761D6478BD642F], np.uint64)
@@ -70,13 +70,23 @@ def word_shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     return s, np.concatenate([[0], np.cumsum(n)]), text.view(np.int64)
 
 
+def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts behind each other, start and length of each."""
+    codes = np.frombuffer("\n".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    length = np.array([len(t or "") for t in texts], np.int64)
+    return codes, np.cumsum(length + 1) - length - 1, length
+
+
+def line_prints(texts: list[str | None]) -> np.ndarray:
+    """Fingerprints of the characters of each text."""
+    codes, start, length = _joined(texts)
+    return span_hashes(codes, start, start + length).view(np.int64)
+
+
 def line_shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As word_shingles for lines: all runs of CHARS characters of each, the whole of a shorter
     one, none of an empty one; the fingerprint is of the characters."""
-    text = "\n".join(t or "" for t in texts)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    length = np.array([len(t or "") for t in texts], np.int64)
-    start = np.cumsum(length + 1) - length - 1
+    codes, start, length = _joined(texts)
     n = np.where(length >= CHARS, length - CHARS + 1, np.minimum(length, 1))
     bounds = np.concatenate([[0], np.cumsum(n)])
     first = np.repeat(start - bounds[:-1], n) + np.arange(int(n.sum()))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, union_find
-from .shingles import signatures
+from .shingles import STEP_BYTES, signatures
 
 BLOCK = 192
 BITS = 1 << 26             # size of the bit map that says whose text is needed
@@ -135,22 +135,17 @@ def shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(shingler, k: int, threshold: tuple[int, int]):
-    """Groups (root, i, j) of ordered rows (root, i, j, block, node, text) -> (node, links, peer)."""
+    """Groups (root, i, j) of ordered rows (root, i, j, block, node, text) -> (node, links, peer).
+    Shingles and signatures are made for many groups at once."""
     up, down = threshold
 
-    def group(i, j, rows):
-        by_node = {node: (block, text) for block, node, text in rows}
-        nodes = np.array(sorted(by_node), np.int64)
-        block = np.array([by_node[n][0] for n in nodes.tolist()])
-        shingles, bounds, _ = shingler([by_node[n][1] for n in nodes.tolist()])
-        sig = signatures(shingles, bounds, k)
+    def compare(i, j, nodes, block, shingles, bounds, sig):
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = surviving_pairs(sig, left, right, up / down)
         if not len(a):
             return None
-        used = np.unique(np.concatenate([a, b]))
-        sets = [None] * len(nodes)
-        for r in used.tolist():
+        sets: list = [None] * len(nodes)
+        for r in np.unique(np.concatenate([a, b])).tolist():
             sets[r] = np.unique(shingles[bounds[r]:bounds[r + 1]])
         inner = shared(sets, a, b)
         size = np.array([0 if s is None else len(s) for s in sets])
@@ -159,37 +154,45 @@ def _compare(shingler, k: int, threshold: tuple[int, int]):
         if not len(a):
             return None
         links = np.bincount(np.concatenate([a, b]), minlength=len(nodes))
-        c, p = union_find(nodes[a], nodes[b])
         some = np.flatnonzero(links)
+        if len(a) == 1:
+            c, p = nodes[b], nodes[a]
+        else:
+            c, p = union_find(nodes[a], nodes[b])
         return (np.concatenate([nodes[some], c]), np.concatenate([links[some], np.zeros(len(c), np.int64)]),
                 np.concatenate([nodes[some], p]))
 
-    def run(batches):
-        held, rows = None, []
-        done: list = []
-
-        def out():
-            cols = [np.concatenate(x) for x in zip(*done)]
-            done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
-                                              ["node", "links", "peer"])
+    def finish(groups):
+        """Results of whole groups [(key, [(block, node, text)])]."""
+        rows = [r for _, own in groups for r in own]
+        shingles, bounds, _ = shingler([r[2] for r in rows])
+        sig = signatures(shingles, bounds, k)
+        block, node = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
+        out, at = [], 0
+        for (_, i, j), own in groups:
+            to = at + len(own)
+            if len(own) > 1 and (made := compare(i, j, node[at:to], block[at:to], shingles,
+                                                 bounds[at:to + 1], sig[at:to])):
+                out.append(made)
+            at = to
+        if not out:
+            return []
+        cols = [np.concatenate(x) for x in zip(*out)]
+        return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "links", "peer"])]
 
+    def run(batches):
+        groups, size = [], 0
         for x in batches:
-            for at in range(0, x.num_rows, 256):
-                root, i, j, block, node, text = (c.to_pylist() for c in x.slice(at, 256).columns)
-                for r in range(len(root)):
-                    key = (root[r], i[r], j[r])
-                    if key != held:
-                        if rows and (made := group(held[1], held[2], rows)):
-                            done.append(made)
-                        held, rows = key, []
-                    rows.append((block[r], node[r], text[r]))
-            if done:
-                yield out()
-        if rows and (made := group(held[1], held[2], rows)):
-            done.append(made)
-        if done:
-            yield out()
+            for row in zip(*(c.to_pylist() for c in x.columns)):
+                if not groups or groups[-1][0] != row[:3]:
+                    if size >= STEP_BYTES:
+                        yield from finish(groups)
+                        groups, size = [], 0
+                    groups.append((row[:3], []))
+                groups[-1][1].append(row[3:])
+                size += len(row[5])
+        if groups:
+            yield from finish(groups)
     return run
 
 

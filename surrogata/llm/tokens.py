@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CHUNK_CHARS = 1 << 20          # code points handled at once
+CHUNK_CHARS = 1 << 19          # code points handled at once
 MAX_KNOWN = 1 << 21            # pre-tokens a worker remembers
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 # White_Space code points (fixed values of the Unicode standard)
@@ -47,7 +47,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, int(n).bit_length())
+    size = 1 << max(20, int(n).bit_length())
     return _powers(size)
 
 
@@ -211,6 +211,8 @@ class PretokenIds:
         if len(missing):
             new, first = np.unique(h[missing], return_index=True)
             if self.table.known + len(new) > self.table.most:
+                if (need := len(np.unique(h))) > self.table.most:
+                    self.table = Fingerprints(1 << need.bit_length())
                 self.clear()
                 return self.entries(text, codes, start, end)
             at = missing[first]
