@@ -131,37 +131,56 @@ def _down(edges: DataFrame) -> DataFrame:
             .where("c != p"))
 
 
+SALTS = 4                  # parts that the children of one node are dealt to
+
+
+def _hook(batches):
+    """Rows (x, s, kind, v) ordered by all columns; kind 0: v is a parent of x, kind 1: v is a child
+    of x -> edges (c, p, moved).  A node's least parent r is its first row; its children and its
+    other parents are hooked to r.  Rows pass as a stream; only r is carried along."""
+    x0 = s0 = r0 = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x, s, kind, v = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        new = np.r_[x0 is None or x[0] != x0 or s[0] != s0, (x[1:] != x[:-1]) | (s[1:] != s[:-1])]
+        start = np.flatnonzero(new)
+        least = np.where(kind[start] == 0, v[start], x[start])
+        head = start[0] if len(start) else len(x)
+        r = np.concatenate([np.full(head, r0 if head else 0, np.int64),
+                            np.repeat(least, np.diff(np.r_[start, len(x)]))])
+        x0, s0, r0 = x[-1], s[-1], r[-1]
+        own = start[(kind[start] == 0) & (s[start] == 0)]
+        other = (kind == 0) & (s == 0) & (v != r)
+        child = kind == 1
+        c = np.concatenate([x[own], v[other], v[child]])
+        p = np.concatenate([r[own], r[other], r[child]])
+        moved = np.concatenate([np.zeros(len(own), bool), np.ones(int(other.sum()), bool), (r != x)[child]])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(p, pa.int64()), pa.array(moved)],
+                                         ["c", "p", "moved"])
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root): distributed union-find over edges (c, p) of long ids; root is the least id of
     the component and only nodes that have an edge come out.
 
-    Partitions are first contracted to star forests.  Then rounds of two steps: every node hands
-    its least neighbour to its other smaller neighbours, and every child is hooked to the least
-    neighbour of its parent.  Both are an aggregate of one row per node and a join; a root with a
-    third of all nodes is a skewed join key, which adaptive execution splits, never one group.
+    Partitions are first contracted to star forests.  Then, in every round, each node hooks its
+    children and its other parents to its least parent, which halves the depth of what is left,
+    until nothing moves.  A node's children are dealt to SALTS tasks, each of which gets the node's
+    parents, and pass through them as a sorted stream: a root with a third of all nodes fills no
+    task's memory.
     """
-    spark = edges.sparkSession
     contracted = _down(edges).mapInArrow(_contract, "c long, p long")
     e = cut(_down(contracted).distinct(), tag)
     while True:
-        least = e.groupBy("c").agg(F.min("p").alias("m"))
-        small = (e.join(least.withColumnRenamed("c", "k"), F.col("c") == F.col("k"))
-                 .select(F.explode(F.array(F.struct("c", F.col("m").alias("p")),
-                                           F.struct(F.greatest("p", "m").alias("c"),
-                                                    F.least("p", "m").alias("p")))).alias("x"))
-                 .select("x.*").where("c != p").distinct())
-        e1 = cut(small, tag)
-        up = cut(e1.groupBy("c").agg(F.min("p").alias("m")), tag)     # a parent's own parent
-        large = (e1.join(up.withColumnRenamed("c", "k"), F.col("p") == F.col("k"), "left")
-                 .select("c", F.coalesce("m", "p").alias("p")).where("c != p"))
-        keep = e1.join(up.select(F.col("c").alias("k"), "m"), F.col("p") == F.col("k")) \
-            .select("p", "m").toDF("c", "p")
-        e2 = cut(large.unionByName(keep).distinct(), tag)
-        chained = e2.join(e2.select(F.col("c").alias("k")).distinct(), F.col("p") == F.col("k"),
-                          "left_semi")
-        several = e2.groupBy("c").count().where("count > 1")
-        e = e2
-        if chained.isEmpty() and several.isEmpty():
+        up = e.select(F.col("c").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"),
+                      F.lit(0).alias("kind"), F.col("p").alias("v"))
+        down = e.select(F.col("p").alias("x"), F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int").alias("s"),
+                        F.lit(1).alias("kind"), F.col("c").alias("v"))
+        rows = up.unionByName(down).repartition("x", "s").sortWithinPartitions("x", "s", "kind", "v")
+        e = cut(rows.mapInArrow(_hook, "c long, p long, moved boolean")
+                .groupBy("c", "p").agg(F.max("moved").alias("moved")), tag)
+        if e.where("moved").isEmpty():
             break
     roots = e.select(F.col("p").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return e.select(F.col("c").alias("node"), F.col("p").alias("root")).unionByName(roots)
