@@ -398,8 +398,9 @@ def q_compare_models(spark, sf):
     from surrogata.operators import emulators
     prep = jobs.prepare(_design(spark, sf), 0.15, 42)
     rows = []
-    for i, name in enumerate(("exact_gp", "rgasp", "pca_rgasp", "sparse_gp")):
-        _, row = jobs.evaluate(emulators.make(name), prep)
+    for i, name in enumerate((*jobs.SYNTHETIC_MODELS, "sparse_gp")):
+        pred, row = jobs.evaluate(emulators.make(name), prep)
+        pred.unpersist()
         rows.append((row["name"], i, row["rmse"], row["train_time"], row["infer_time"]))
     res = spark.createDataFrame(rows, "name string, ordinal int, rmse double, train_time double, infer_time double")
     return jobs.compare(res)
