@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -111,9 +112,12 @@ class Grammar:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         least = [e for e in lexicon if not any(e[:n] in lexicon for n in range(LEAST_STEM, len(e)))]
-        entries = [re.escape(e[:-1]) + r"\b" if e.endswith("$") else re.escape(e) for e in sorted(least)]
-        entries += [re.escape(w) + r"\b" for w in sorted(THREATS)]
-        self.trigger = re.compile(r"\b(?:" + "|".join(entries) + ")")
+        by_first: dict[str, list[str]] = {}
+        for e in sorted({*least, *(w + "$" for w in THREATS)}):
+            rest = re.escape(e[1:-1]) + r"\b" if e.endswith("$") else re.escape(e[1:])
+            by_first.setdefault(re.escape(e[0]), []).append(rest)
+        entries = [f"{first}(?:{'|'.join(rests)})" for first, rests in by_first.items()]
+        self.trigger = re.compile(rf"\b(?=[{''.join(by_first)}])(?:{'|'.join(entries)})")
 
     def symbol(self, token: str) -> tuple[int, float]:
         """The symbol of a word and the weight of an insult."""
@@ -130,10 +134,11 @@ class Grammar:
         """Summed weights of the matches of every mark, and the length of the text."""
         sums = [0.0] * len(MARKS)
         low = (text or "").lower()
-        hit = self.trigger.search(low)
+        hit, done = self.trigger.search(low), 0
         while hit:
-            begin = max(low.rfind(c, 0, hit.start()) for c in ".!?;:\n") + 1
+            begin = max(done - 1, *(low.rfind(c, done, hit.start()) for c in ".!?;:\n")) + 1
             clause = _CLAUSE.match(low, begin)
+            done = clause.end()
             read = [self.symbol(t) for t in _TOKEN.findall(clause.group())]
             for place, mark in mark_clause([s for s, _ in read]):
                 sums[mark] += read[place][1]
@@ -166,29 +171,45 @@ def scores(marks, weights: np.ndarray) -> np.ndarray:
 
 
 def _stem_counts(batches):
-    """Document counts of words and stems, summed per task: (entry, toxic, clean)."""
-    toxic, clean = Counter(), Counter()
+    """Document counts of words and stems, summed per task: (entry, toxic, clean, seen), where
+    ``seen`` has a bit for the word before each use in a toxic document."""
+    toxic, clean, seen = Counter(), Counter(), Counter()
     for x in batches:
         for text, label in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
-            own = set()
-            for w in set(_TOKEN.findall((text or "").lower())):
-                own.update(prefixes(w))
-            (toxic if label else clean).update(own)
+            words = _TOKEN.findall((text or "").lower())
+            if not label:
+                clean.update({e for w in set(words) for e in prefixes(w)})
+                continue
+            own: dict[str, int] = {}
+            for before, w in zip(["", *words], words):
+                own[w] = own.get(w, 0) | 1 << (crc32(before.encode()) & 63)
+            found: dict[str, int] = {}
+            for w, bits in own.items():
+                for e in prefixes(w):
+                    found[e] = found.get(e, 0) | bits
+            toxic.update(found.keys())
+            for e, bits in found.items():
+                seen[e] |= bits
     entries = list(toxic | clean)
     yield pa.RecordBatch.from_arrays(
         [pa.array(entries, pa.string()), pa.array([toxic[e] for e in entries], pa.int64()),
-         pa.array([clean[e] for e in entries], pa.int64())], ["entry", "toxic", "clean"])
+         pa.array([clean[e] for e in entries], pa.int64()),
+         pa.array(np.array([seen[e] for e in entries], np.uint64).view(np.int64))],
+        ["entry", "toxic", "clean", "seen"])
 
 
-def choose_lexicon(entries: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Weights of the entries that are more frequent in toxic documents than chance over all
-    entries allows; where a longer entry has nearly the same documents, the shorter goes."""
+def choose_lexicon(entries: list[tuple[str, int, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Weights of the entries (entry, toxic, clean, places) that are more frequent in toxic documents
+    than chance over all entries allows; where a longer entry has nearly the same documents, the
+    shorter goes.  ``places`` counts the different words before an entry, 64 at most: words of one
+    toxic text that has many copies stand in one place, so no more than one document a place counts."""
     rate = n_toxic / max(1, n_toxic + n_clean)
     if not 0 < rate < 1 or not entries:
         return {}
     bar = 2 * np.log(max(2, len(entries)))
     good = {}
-    for e, a, b in entries:
+    for e, a, b, places in entries:
+        a = a if places >= 32 else min(a, places)
         share = a / (a + b)
         gain = a * np.log(share / rate) + (b * np.log((1 - share) / (1 - rate)) if b else 0)
         if share >= min(LIFT * rate, 0.9) and 2 * gain > bar:
@@ -220,9 +241,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                .join(own, F.col("k") == F.col("i")).select("text", "y"), "toxicity")
     total = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     n_toxic, n_clean = int(total[1]), int(total[0] - total[1])
-    counted = rows.mapInArrow(_stem_counts, "entry string, toxic long, clean long") \
-        .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    table = counted.where(F.col("toxic") >= LEAST_DOCS).select("entry", "toxic", "clean")
+    counted = rows.mapInArrow(_stem_counts, "entry string, toxic long, clean long, seen long") \
+        .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"),
+                              F.bit_count(F.bit_or("seen")).alias("places"))
+    table = counted.where(F.col("toxic") >= LEAST_DOCS).select("entry", "toxic", "clean", "places")
     grammar = Grammar(choose_lexicon([tuple(r) for r in table.collect()], n_toxic, n_clean))
     found, f = annotate(rows, ["text"], lambda c: [[grammar.marks(t) for t in c.to_pylist()]], "m array<double>")
     seen = found.select("y", f"{f}.m").collect()             # a bounded sample
