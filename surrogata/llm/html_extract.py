@@ -4,7 +4,9 @@ A page becomes a skeleton: its block elements with repeated siblings folded into
 most frequent skeleton of a host is its reference; the others are aligned with it by simple tree
 matching, and for every slot of the reference the least and greatest fingerprint of its text over
 all pages tell whether it is constant (template) or varies (content).  A page is then read with its
-host's template: constant slots and slots with a boilerplate role go, the article's slots stay.
+host's template: constant slots go, classed or not, and the slots that vary stay.  Tags and names
+only choose among these: boilerplate roles go, and an article or main element with most of the
+varying text is preferred to the page around it.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import re
 from functools import lru_cache
+from operator import add
 from zlib import crc32
 
 import pyarrow as pa
@@ -210,8 +213,9 @@ def align(one: str, other: str) -> dict[int, int]:
 
 
 @lru_cache(maxsize=4096)
-def content_slots(skeleton: str, constant: frozenset[int]) -> frozenset[int]:
-    """Slots whose own text is the page's main text, given the slots that are constant."""
+def by_tags(skeleton: str) -> tuple[frozenset[int], tuple[frozenset[int], ...]]:
+    """Slots without a boilerplate role, and those below the article and main elements among them:
+    a set for each parent and tag of such elements, articles first."""
     t = tree_of(skeleton)
     n = len(t.label)
     tags = [x.partition(".")[0] for x in t.label]
@@ -224,20 +228,38 @@ def content_slots(skeleton: str, constant: frozenset[int]) -> frozenset[int]:
         hint = not plain and Page._hinted(t.label[k])
         top = not plain and not inside[k] and PAGE_HEADER.search(t.label[k].partition(".")[2].replace("_", "-"))
         bad[k] = (up >= 0 and bad[up]) or role or hint or bool(top)
-    for wanted in ("article", "main"):
-        roots = [k for k in range(n) if tags[k] == wanted and not bad[k]]
-        if roots:
-            own = set(roots)
-            for k in range(n):
-                if t.parent[k] in own and not bad[k]:
-                    own.add(k)
-            # a slot of its own class with the same text on all pages is template, not article
-            varying = any(k not in constant for k in own)
-            return frozenset(k for k in own if not (varying and k in constant and "." in t.label[k]
-                                                    and tags[k] not in ("article", "main")))
-    free = [k for k in range(n) if not bad[k]]
-    varying = [k for k in free if k not in constant]
-    return frozenset(varying or free)
+    roots: dict[tuple[str, int], set[int]] = {}
+    for k in range(n):
+        if tags[k] in ("article", "main") and not bad[k]:
+            roots.setdefault((tags[k], t.parent[k]), set()).add(k)
+    for own in roots.values():
+        for k in range(min(own) + 1, n):
+            if t.parent[k] in own and not bad[k]:
+                own.add(k)
+    return frozenset(k for k in range(n) if not bad[k]), tuple(frozenset(roots[r]) for r in sorted(roots))
+
+
+@lru_cache(maxsize=4096)
+def content_slots(skeleton: str, constant: frozenset[int], amount: tuple[int, ...], known: bool) -> frozenset[int]:
+    """Slots whose own text is the page's main text: the varying ones without a boilerplate role.
+
+    ``amount`` is the text of every slot over the host; ``known`` tells whether the host has pages
+    enough to say what varies.  Article and main elements narrow the choice as long as they hold half
+    of the varying text; where nothing is known they alone are chosen from.  Where nothing varies
+    (all pages of a host equal) the slots stay that the tags choose.
+    """
+    free, roots = by_tags(skeleton)
+    varying = free - constant
+    if not any(amount[k] for k in varying):
+        varying = free
+
+    def text(own: frozenset[int]) -> int:
+        return sum(amount[k] for k in own & varying)
+
+    chosen = free if known and varying is not free or not roots else max(roots, key=text)
+    while inner := [r for r in roots if r < chosen and 2 * text(r) >= text(chosen)]:
+        chosen = max(inner, key=text)
+    return chosen & varying
 
 
 def main_text(page: Page, slot: list[int], keep: frozenset[int]) -> str:
@@ -257,71 +279,93 @@ def host_of(url: str | None) -> str:
 
 
 def _page_stats(batches):
-    """(url, html) -> (host, skeleton, n, low, high): pages and least and greatest fingerprint of
-    the text of every slot, summed up per batch."""
+    """(url, html) -> (host, skeleton, n, low, high, chars, kinds): pages, least and greatest
+    fingerprint and length of the text of every slot, and the LEAST_PAGES least fingerprints of what
+    the tags alone take for the main text, summed up per batch."""
     for x in batches:
         seen: dict[tuple[str, str], list] = {}
         for url, html in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
             page = Page(html)
             skeleton, slot = page.skeleton()
             prints = [0] * len(tree_of(skeleton).label)
+            chars = [0] * len(prints)
             for element, text, _ in page.texts:
                 if not text.isspace():
                     prints[slot[element]] = crc32(text.encode("utf-8", "surrogatepass"),
                                                   prints[slot[element]] + 1)
-            own = seen.setdefault((host_of(url), skeleton), [0, prints, prints])
+                    chars[slot[element]] += len(text)
+            free, roots = by_tags(skeleton)
+            read = sorted(frozenset().union(*roots) or free)
+            kind = hash((*(prints[k] for k in read), *(chars[k] for k in read)))
+            own = seen.setdefault((host_of(url), skeleton), [0, prints, prints, [0] * len(prints), set()])
             seen[host_of(url), skeleton] = [own[0] + 1, list(map(min, own[1], prints)),
-                                            list(map(max, own[2], prints))]
+                                            list(map(max, own[2], prints)), list(map(add, own[3], chars)),
+                                            set(sorted(own[4] | {kind})[:LEAST_PAGES])]
         keys = list(seen)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
              pa.array([seen[k][0] for k in keys], pa.int64()),
-             pa.array([seen[k][1] for k in keys], pa.list_(pa.int64())),
-             pa.array([seen[k][2] for k in keys], pa.list_(pa.int64()))],
-            ["host", "skeleton", "n", "low", "high"])
+             *[pa.array([list(seen[k][i]) for k in keys], pa.list_(pa.int64())) for i in range(1, 5)]],
+            ["host", "skeleton", "n", "low", "high", "chars", "kinds"])
 
 
 def _aligned(batches):
-    """(host, skeleton, reference, n, low, high) -> (host, slot of the reference, n, low, high)"""
+    """(host, skeleton, reference, kinds, low, high, chars) -> (host, slot of the reference, kinds,
+    low, high, chars)"""
     for x in batches:
         out = []
-        for host, skeleton, reference, n, low, high in zip(*(c.to_pylist() for c in x.columns)):
-            out += [(host, r, n, low[k], high[k]) for k, r in align(skeleton, reference).items()]
-        cols = list(zip(*out)) or [()] * 5
+        for host, skeleton, reference, kinds, *sums in zip(*(c.to_pylist() for c in x.columns)):
+            out += [(host, r, kinds, *(v and v[k] for v in sums)) for k, r in align(skeleton, reference).items()]
+        cols = list(zip(*out)) or [()] * 6
         yield pa.RecordBatch.from_arrays(
             [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()),
-             *[pa.array(c, pa.int64()) for c in cols[2:]]], ["host", "slot", "n", "low", "high"])
+             *[pa.array(c, pa.int64()) for c in cols[2:]]], ["host", "slot", "kinds", "low", "high", "chars"])
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, reference, constant): a row a host, with the reference's slots whose text is the same
-    on all pages that have them, LEAST_PAGES at least.  All sums are per slot, so a host with a
-    third of all pages is summed up before it is shuffled."""
+    """(host, reference, constant, amount, known): a row a host, with the reference's slots whose
+    text is the same on all pages that have them, LEAST_PAGES different ones at least, the length of
+    every slot's text, and whether the host has so many pages.  Copies of a main text count once.
+    All sums are per slot, so a host with a third of all pages is summed up before it is shuffled."""
     p = pages.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     stats = cut(p.mapInArrow(_page_stats, "host string, skeleton string, n long, low array<long>, "
-                                          "high array<long>"), "wrapper")
+                                          "high array<long>, chars array<long>, kinds array<long>"), "wrapper")
     reference = cut(stats.groupBy("host", "skeleton").agg(F.sum("n").alias("n"))
                     .groupBy("host").agg(F.max(F.struct("n", "skeleton")).alias("m"))
                     .select(F.col("host").alias("h"), F.col("m.skeleton").alias("reference")), "wrapper")
-    slots = stats.join(reference, F.col("host") == F.col("h")) \
-        .select("host", "skeleton", "reference", "n", "low", "high") \
-        .mapInArrow(_aligned, "host string, slot int, n long, low long, high long") \
-        .groupBy("host", "slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    constant = slots.where((F.col("n") >= LEAST_PAGES) & (F.col("low") == F.col("high"))) \
-        .groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("constant"))
-    return cut(reference.join(constant, F.col("h") == F.col("host"), "left").select(
-        F.col("h").alias("host"), "reference",
-        F.coalesce("constant", F.array().cast("array<int>")).alias("constant")), "wrapper")
-
-
-def _extract(html, reference, constant):
+    kinds = stats.select("host", "skeleton", F.explode("kinds").alias("kind")).distinct() \
+        .groupBy("host", "skeleton").agg(F.count("*").alias("kinds"))
+    nothing = F.lit(None).cast("array<long>")
+    rows = stats.select("host", "skeleton", F.lit(0).cast("long").alias("kinds"), "low", "high", "chars") \
+        .unionByName(kinds.select("*", *[nothing.alias(c) for c in ("low", "high", "chars")]))
+    slots = rows.join(reference, F.col("host") == F.col("h")) \
+        .select("host", "skeleton", "reference", "kinds", "low", "high", "chars") \
+        .mapInArrow(_aligned, "host string, slot int, kinds long, low long, high long, chars long") \
+        .groupBy("host", "slot").agg(F.sum("kinds").alias("kinds"), F.min("low").alias("low"),
+                                     F.max("high").alias("high"), F.sum("chars").alias("chars"))
+    fixed = (F.col("kinds") >= LEAST_PAGES) & (F.col("low") == F.col("high"))
+    found = slots.groupBy("host").agg(
+        F.sort_array(F.collect_list(F.when(fixed, F.col("slot")))).alias("constant"),
+        F.transform(F.sort_array(F.collect_list(F.struct("slot", "chars"))), lambda s: s["chars"]).alias("amount"),
+        F.max(F.when(F.col("slot") == 0, F.col("kinds") >= LEAST_PAGES)).alias("known"))
+    return cut(found.join(reference, F.col("h") == F.col("host"))
+               .select("host", "reference", "constant", "amount", "known"), "wrapper")
+
+
+def _extract(html, reference, constant, amount, known):
     out = []
-    for h, r, c in zip(html.to_pylist(), reference.to_pylist(), constant.to_pylist()):
+    for h, r, c, n, w in zip(*(x.to_pylist() for x in (html, reference, constant, amount, known))):
         page = Page(h)
         skeleton, slot = page.skeleton()
+        here = align(skeleton, r) if r else {}
         fixed = set(c or ())
-        here = frozenset(k for k, v in align(skeleton, r).items() if v in fixed) if r and fixed else frozenset()
-        out.append(main_text(page, slot, content_slots(skeleton, here)))
+        own = [0] * len(tree_of(skeleton).label)
+        for element, text, _ in page.texts:
+            own[slot[element]] += 0 if slot[element] in here or text.isspace() else len(text)
+        for k, v in here.items():
+            own[k] = n[v]
+        keep = content_slots(skeleton, frozenset(k for k, v in here.items() if v in fixed), tuple(own), bool(w))
+        out.append(main_text(page, slot, keep))
     return [out]
 
 
@@ -330,16 +374,16 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> t
 
     Null or empty html gives an empty text; pages without a host in their url share one template;
     repeated pages of a host are read alike, and if all its pages are equal the article stays;
-    without an article or main element the varying slots without a boilerplate role are the text;
+    on hosts of less than LEAST_PAGES different pages tags and names decide alone;
     markup that ends early is read as far as it goes; all columns pass through; an empty table
     stays empty.
     """
-    [host, ref, const] = fresh(pages, "_host", "_reference", "_constant")
-    t = templates(pages, url_col, html_col).toDF("_h", ref, const)
+    [host, *own] = fresh(pages, "_host", "_reference", "_constant", "_amount", "_known")
+    t = templates(pages, url_col, html_col).toDF("_h", *own)
     match = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), _HOST.pattern, 1))
     joined = pages.withColumn(host, match).join(t, F.col(host) == F.col("_h"), "left")
     columns = [F.col(f"`{c}`") for c in pages.columns]
-    out, f = annotate(joined.select(*columns, ref, const), [html_col, ref, const], _extract, "text string")
+    out, f = annotate(joined.select(*columns, *own), [html_col, *own], _extract, "text string")
     return out.select(*columns, f), f
 
 

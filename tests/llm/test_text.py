@@ -205,6 +205,23 @@ def test_varying_slots_without_an_article(spark):
     assert {r.text for r in out.collect()} == {f"Only {k}" for k in range(4)}
 
 
+def test_constancy_over_the_host_chooses_the_content(spark):
+    story = lambda k: f"Story {k} " + "long " * 20
+    teaser = lambda k: f"<section><article>more on {k}</article></section>"
+    rows = [(k, "http://a.example/", f"<article><div>Sign our list</div><p>{story(k)}</p></article>") for k in range(4)]
+    rows += [(k, "http://b.example/", f"<div><p>{story(k)}</p></div>{teaser(k)}") for k in range(10, 14)]
+    rows += [(k, "http://c.example/", f"<main><div>{story(k)}</div></main>{teaser(k)}") for k in range(20, 24)]
+    rows += [(k, "http://d.example/", "<article><div>Same</div><p>text</p></article>") for k in range(30, 34)]
+    rows += [(k, "http://e.example/", f"<article><p>{story(min(k, 44))}</p>{'<ul><li>kept</ul>' * (k > 43)}</article>"
+                                      f"<div class=ad>{k}</div>") for k in range(40, 48)]
+    out = html_extract.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5))
+    found = {r.page_id: r.text for r in out.collect()}
+    want = {k: story(k).strip() for k in [*range(4), *range(20, 24), *range(40, 44)]}
+    want |= {k: f"{story(k)}more on {k}" for k in range(10, 14)} | {k: "Same text" for k in range(30, 34)}
+    want |= {k: f"{story(44)}kept" for k in range(44, 48)}
+    assert found == want
+
+
 def test_tree_matching_is_the_largest_ordered_match():
     a, b = "r(a b(c d) e)", "r(b(d) a e(x))"
     x, y = html_extract.tree_of(a), html_extract.tree_of(b)
