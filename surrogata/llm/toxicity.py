@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import annotate, cut
+from .near_join import _prints, near_links
 
 TRAIN_DOCS = 32768         # labelled documents that the lexicon and the weights are fitted on
 LONGEST_STEM, LEAST_STEM = 7, 3
-LEAST_DOCS = 4             # toxic documents that a lexicon entry must have
-LIFT = 3.0                 # times the usual share of toxic documents that an entry must have
+LEAST_DOCS = 4             # different toxic texts that a lexicon entry must have
+LIFT = 3.0                 # times the usual share of toxic texts that an entry must have
 HEAVIEST = 6.0             # weight, as log odds, of an entry that no clean document has
 
 THREATS = {"kill", "murder", "shoot", "stab", "strangle", "hang", "hurt", "töten", "umbringen",
@@ -170,46 +170,55 @@ def scores(marks, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(features(marks) @ weights, -35, 35)))
 
 
-def _stem_counts(batches):
-    """Document counts of words and stems, summed per task: (entry, toxic, clean, seen), where
-    ``seen`` has a bit for the word before each use in a toxic document."""
-    toxic, clean, seen = Counter(), Counter(), Counter()
+def _entry_counts(batches):
+    """(text, label, class) -> (entry, class, toxic, clean): documents that have a word or stem, summed
+    per task where the class is null; for a class, once a batch."""
+    toxic, clean = Counter(), Counter()
+
+    def rows(entries, node, a, b):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(entries, pa.string()), pa.array(node, pa.int64()), pa.array(a, pa.int64()),
+             pa.array(b, pa.int64())], ["entry", "class", "toxic", "clean"])
+
     for x in batches:
-        for text, label in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
-            words = _TOKEN.findall((text or "").lower())
-            if not label:
-                clean.update({e for w in set(words) for e in prefixes(w)})
-                continue
-            own: dict[str, int] = {}
-            for before, w in zip(["", *words], words):
-                own[w] = own.get(w, 0) | 1 << (crc32(before.encode()) & 63)
-            found: dict[str, int] = {}
-            for w, bits in own.items():
-                for e in prefixes(w):
-                    found[e] = found.get(e, 0) | bits
-            toxic.update(found.keys())
-            for e, bits in found.items():
-                seen[e] |= bits
+        shared: dict[tuple[int, int], set[str]] = {}
+        for text, label, node in zip(*(c.to_pylist() for c in x.columns)):
+            own = {e for w in set(_TOKEN.findall((text or "").lower())) for e in prefixes(w)}
+            if node is None:
+                (toxic if label else clean).update(own)
+            else:
+                shared.setdefault((node, int(bool(label))), set()).update(own)
+        for (node, label), own in shared.items():
+            n = len(own)
+            yield rows(list(own), [node] * n, [label] * n, [1 - label] * n)
     entries = list(toxic | clean)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(entries, pa.string()), pa.array([toxic[e] for e in entries], pa.int64()),
-         pa.array([clean[e] for e in entries], pa.int64()),
-         pa.array(np.array([seen[e] for e in entries], np.uint64).view(np.int64))],
-        ["entry", "toxic", "clean", "seen"])
-
-
-def choose_lexicon(entries: list[tuple[str, int, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Weights of the entries (entry, toxic, clean, places) that are more frequent in toxic documents
-    than chance over all entries allows; where a longer entry has nearly the same documents, the
-    shorter goes.  ``places`` counts the different words before an entry, 64 at most: words of one
-    toxic text that has many copies stand in one place, so no more than one document a place counts."""
+    yield rows(entries, [None] * len(entries), [toxic[e] for e in entries], [clean[e] for e in entries])
+
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """(text, y, class, alone) for (text, y): the near-duplicate class of every text, by the links of
+    op3, and whether it is the only row of it.  Texts without a word are one class."""
+    found, f = annotate(rows, ["text"], _prints, "node long")
+    known = cut(found.select("text", "y", F.coalesce(f"{f}.node", F.lit(0)).alias("node")), "toxicity")
+    groups = near_links(rows)[0].select(F.col("node").alias("k"), "root")
+    nodes = known.groupBy("node").agg(F.count("*").alias("n")).join(groups, F.col("node") == F.col("k"), "left") \
+        .select("node", "n", F.coalesce("root", "node").alias("class"))
+    size = nodes.groupBy("class").agg(F.sum("n").alias("size"))
+    of = cut(nodes.join(size, "class").select(F.col("node").alias("k"), "class", (F.col("size") == 1).alias("alone")),
+             "toxicity")                                    # a bounded sample
+    return known.join(F.broadcast(of), F.col("node") == F.col("k")).select("text", "y", "class", "alone")
+
+
+def choose_lexicon(entries: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Weights of the entries (entry, toxic, clean) that are more frequent in toxic texts than chance
+    over all entries allows; where a longer entry has nearly the same texts, the shorter goes.  All
+    counts are of different texts."""
     rate = n_toxic / max(1, n_toxic + n_clean)
     if not 0 < rate < 1 or not entries:
         return {}
     bar = 2 * np.log(max(2, len(entries)))
     good = {}
-    for e, a, b, places in entries:
-        a = a if places >= 32 else min(a, places)
+    for e, a, b in entries:
         share = a / (a + b)
         gain = a * np.log(share / rate) + (b * np.log((1 - share) / (1 - rate)) if b else 0)
         if share >= min(LIFT * rate, 0.9) and 2 * gain > bar:
@@ -230,8 +239,9 @@ def held_out(id_col: str):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> tuple[Grammar, np.ndarray]:
     """The grammar and its weights from at most about ``train_docs`` labelled documents that are
-    not held out, taken by a hash of the id.  Without labels the prior weights and the general
-    lists remain."""
+    not held out, taken by a hash of the id.  Lexicon entries are counted over different texts: a
+    near-duplicate class counts once among the toxic and once among the clean, with all its words.
+    Without labels the prior weights and the general lists remain."""
     own = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").cast("int").alias("y")) \
         .where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y")).where(~held_out("i"))
     n = own.count()
@@ -239,12 +249,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         own = own.where(F.pmod(F.xxhash64("i", F.lit("train")), F.lit(1 << 30)) < int((1 << 30) * train_docs / n))
     rows = cut(docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("text"))
                .join(own, F.col("k") == F.col("i")).select("text", "y"), "toxicity")
-    total = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    n_toxic, n_clean = int(total[1]), int(total[0] - total[1])
-    counted = rows.mapInArrow(_stem_counts, "entry string, toxic long, clean long, seen long") \
-        .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"),
-                              F.bit_count(F.bit_or("seen")).alias("places"))
-    table = counted.where(F.col("toxic") >= LEAST_DOCS).select("entry", "toxic", "clean", "places")
+    texts = distinct_texts(rows)
+    total = dict(texts.select("class", "y").distinct().groupBy("y").count().collect())
+    n_toxic, n_clean = sum(n for y, n in total.items() if y), total.get(0, 0)
+    once = F.col("class").isNotNull()
+    counted = texts.select("text", "y", F.when(~F.col("alone"), F.col("class")).alias("class")) \
+        .mapInArrow(_entry_counts, "entry string, class long, toxic long, clean long").groupBy("entry", "class") \
+        .agg(*[F.when(once, F.max(c)).otherwise(F.sum(c)).alias(c) for c in ("toxic", "clean")]) \
+        .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    table = counted.where(F.col("toxic") >= LEAST_DOCS).select("entry", "toxic", "clean")
     grammar = Grammar(choose_lexicon([tuple(r) for r in table.collect()], n_toxic, n_clean))
     found, f = annotate(rows, ["text"], lambda c: [[grammar.marks(t) for t in c.to_pylist()]], "m array<double>")
     seen = found.select("y", f"{f}.m").collect()             # a bounded sample

@@ -173,6 +173,19 @@ def test_language_on_held_out_rows(spark, edge_docs):
     assert {r.lang_pred for r in language.language_report(unlabelled).collect()} == {"und"}
 
 
+def test_lexicon_counts_different_texts(spark, words):
+    """A stock insult is learned whatever precedes it; words of a much copied toxic text are not."""
+    own = [" ".join(words(k, 40)) for k in range(400)]
+    rows = [(f"{t} you grumfa.", 1) for t in own[:60]] + [(t, 0) for t in own[60:]] + [(f"{own[70]} grumfa", 0)]
+    once = "wobbli snarke plimth quodda frenzo " + " ".join(words(999, 60))
+    rows += [(f"{once} ending{k % 3}", 1) for k in range(80)]
+    labelled = [(k, t, y) for k, (t, y) in enumerate(rows)]
+    docs = spark.createDataFrame(labelled, "doc_id long, text string, toxic int")
+    found = toxicity.fit(docs, docs)[0].lexicon
+    assert any("grumfa$".startswith(e) for e in found)
+    assert not any(e in found for w in once.split()[:5] for e in toxicity.prefixes(w))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{{}}</style></head><body class="home">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Start</a></li><li>More</ul></nav>
 <div class="cookie-notice">We use cookies</div><div class="ad">{ad}</div>
