@@ -43,7 +43,8 @@ MARKS = ("insult", "insult_target", "insult_denied", "insult_reported", "threat"
 PRIOR = np.array([-3.0, 2.0, 2.5, 0.3, 0.3, 1.0, 2.5, 0.2, 0.0])
 PRIOR_STRENGTH = 1.0
 _CLAUSE = re.compile(r"[^.!?;:\n]+")
-_TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»]")
+_LETTER = r"[^\W\d_]"
+_TOKEN = re.compile(rf"{_LETTER}+|[\"“”„«»]")
 
 
 class Transducer:
@@ -113,11 +114,13 @@ class Grammar:
         self.lexicon = lexicon
         least = [e for e in lexicon if not any(e[:n] in lexicon for n in range(LEAST_STEM, len(e)))]
         by_first: dict[str, list[str]] = {}
-        for e in sorted({*least, *(w + "$" for w in THREATS)}):
-            rest = re.escape(e[1:-1]) + r"\b" if e.endswith("$") else re.escape(e[1:])
+        quotes = "".join(sorted({e[0] for e in lexicon} & QUOTES))
+        for e in sorted(e for e in {*least, *(w + "$" for w in THREATS)} if e[0] not in QUOTES):
+            rest = re.escape(e[1:-1]) + f"(?!{_LETTER})" if e.endswith("$") else re.escape(e[1:])
             by_first.setdefault(re.escape(e[0]), []).append(rest)
         entries = [f"{first}(?:{'|'.join(rests)})" for first, rests in by_first.items()]
-        self.trigger = re.compile(rf"\b(?=[{''.join(by_first)}])(?:{'|'.join(entries)})")
+        self.trigger = re.compile(rf"(?=[{''.join(by_first)}])(?<!{_LETTER})(?:{'|'.join(entries)})"
+                                  + (f"|[{quotes}]" if quotes else ""))
 
     def symbol(self, token: str) -> tuple[int, float]:
         """The symbol of a word and the weight of an insult."""

@@ -83,6 +83,19 @@ def test_grammar_scores_clauses():
     assert score("You zork! You zork! I kill you!") > score("You zork!")
 
 
+def test_trigger_reads_every_clause_that_has_a_mark():
+    g = toxicity.Grammar({"grumf": 6.0, "zork$": 4.0, "«$": 1.0})
+    draw = random.Random(3)
+    parts = ["grumf", "zork", "kill", "you", "_", "__", "2", "9", " ", " ", ". ", "é", "s", "«", "\n", "not "]
+    for text in ["_zork_", "__grumfa__", "2zork", "zork9. you", *("".join(draw.choices(parts, k=9)) for _ in range(2000))]:
+        sums = [0.0] * len(toxicity.MARKS)
+        for clause in toxicity._CLAUSE.findall(text.lower()):
+            read = [g.symbol(t) for t in toxicity._TOKEN.findall(clause)]
+            for place, mark in toxicity.mark_clause([s for s, _ in read]):
+                sums[mark] += read[place][1]
+        assert g.marks(text)[:-1] == sums, text
+
+
 def labelled(words, n=600):
     draw, rows = random.Random(6), []
     for i in range(n):
