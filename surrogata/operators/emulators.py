@@ -1,10 +1,10 @@
 """GP-9..GP-14: emulators composed from scaler, PCA and the inducing-point GP.
 
 Mapping of the original models (all Matern-5/2):
-* ``exact_gp`` — GP with Z = training rows (exact marginal likelihood) or sparse above the cap;
+* ``exact_gp`` — GP with Z = training rows (exact marginal likelihood); raises above 2048 rows;
 * ``rgasp``    — the same with the reference-prior term (GP-4) in the search score;
 * ``pca_rgasp``— re-standardise X, PCA of X (95 % share), GP with prior on the scores (GP-9);
-* ``sparse_gp``— landmarks (or k-means) inducing points for large n;
+* ``sparse_gp`` / ``sparse_rgasp`` — landmarks (or k-means) inducing points for whole tables;
 * ``pca_ppgasp`` / ``pca_bigp`` — vector outputs: output PCA, one shared-kernel GP over the
   latent outputs (GP-8), reconstruction with linear uncertainty propagation (GP-10/11/14).
 
@@ -37,6 +37,11 @@ class Emulator:
     def predict(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    @property
+    def mode(self) -> str:
+        """The mode of the fitted GP: all (exact), landmarks, kmeans or given."""
+        return (self.state if isinstance(self, GPEmulator) else self.gp).mode
+
 
 class GPEmulator(Emulator):
     """Scalar or shared-kernel vector GP on the given inputs (GP-1..8)."""
@@ -90,13 +95,23 @@ def exact_gp(**kw) -> GPEmulator:
     """
     kw.setdefault("ard_rounds", 3)
     kw.setdefault("prior", None)
-    return GPEmulator("exact_gp", sgp.GPConfig(inducing="auto", **kw))
+    kw.setdefault("prior", None)
+    kw.setdefault("exact_cap", sgp.MAX_INDUCING)
+    return GPEmulator("exact_gp", sgp.GPConfig(inducing="all", **kw))
 
 
 def rgasp(trend: str | None = None, **kw) -> GPEmulator:
-    """Matern-5/2 with per-input ranges and the reference-prior term (GP-4)."""
+    """Exact GP, Matern-5/2 with per-input ranges and the reference-prior term (GP-4)."""
+    kw.setdefault("ard_rounds", 3)
+    kw.setdefault("exact_cap", sgp.MAX_INDUCING)
+    return GPEmulator("rgasp", sgp.GPConfig(inducing="all", prior="reference", z=1.96, **kw), trend=trend)
+
+
+def sparse_rgasp(m: int = 512, trend: str | None = None, **kw) -> GPEmulator:
+    """``rgasp`` on m landmarks, for tables that are too large for the exact one."""
     kw.setdefault("ard_rounds", 3)
-    return GPEmulator("rgasp", sgp.GPConfig(inducing="auto", prior="reference", z=1.96, **kw), trend=trend)
+    return GPEmulator("sparse_rgasp", sgp.GPConfig(inducing="landmarks", max_inducing=m, prior="reference",
+                                                   z=1.96, **kw), trend=trend)
 
 
 def sparse_gp(m: int = 256, inducing: str = "landmarks", **kw) -> GPEmulator:
@@ -282,6 +297,7 @@ REGISTRY = {
     "exact_gp": exact_gp,
     "rgasp": rgasp,
     "sparse_gp": sparse_gp,
+    "sparse_rgasp": sparse_rgasp,
     "pca_rgasp": lambda **kw: PCAInputGP(**kw),
     "pca_ppgasp": lambda **kw: PCAOutputGP(scaling="zscore", **kw),
     "pca_bigp": lambda **kw: PCAOutputGP(scaling="minmax", **kw),

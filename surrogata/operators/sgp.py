@@ -50,6 +50,8 @@ EIG_FLOOR = 1e-10
 
 # Hard cap for the inducing set kept on the driver (m x m doubles: 2048 -> 32 MB).
 MAX_INDUCING = 2048
+# Statistics of the candidates of one data pass (doubles; 16M -> 128 MB a task).
+PASS_DOUBLES = 1 << 24
 # Added to the standard deviation of padding points.
 PADDING_SD = 1e-6
 
@@ -404,6 +406,12 @@ def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) ->
     workers = max(1, min(8, _os.cpu_count() or 1))
 
     def score(cands: list[np.ndarray], mults: list[float], tag: str) -> list[tuple[float, GPState]]:
+        """A data pass for every so many candidates as PASS_DOUBLES allows."""
+        step = max(1, PASS_DOUBLES // Z.shape[0] ** 2)
+        return [r for k in range(0, len(cands), step)
+                for r in score_pass(cands[k:k + step], mults[k:k + step], tag)]
+
+    def score_pass(cands: list[np.ndarray], mults: list[float], tag: str) -> list[tuple[float, GPState]]:
         """One data pass for all candidates; every (scale, noise) pair scored on the driver.
 
         The per-candidate m x m algebra runs on a small thread pool (LAPACK releases

@@ -80,7 +80,8 @@ def evaluate(emulator, prep: Prepared) -> tuple[DataFrame, dict]:
     pred.count()
     t2 = time.perf_counter()
     rmse = pred.agg(F.sqrt(F.avg((F.col("mean") - F.col("y")) ** 2)).alias("rmse")).first()["rmse"]
-    row = {"name": emulator.name, "rmse": float(rmse), "train_time": t1 - t0, "infer_time": t2 - t1}
+    row = {"name": emulator.name, "rmse": float(rmse), "train_time": t1 - t0, "infer_time": t2 - t1,
+           "mode": emulator.mode}
     return pred, row
 
 
@@ -113,10 +114,11 @@ def compare(results: DataFrame, name: str = "name", ordinal: str = "ordinal") ->
     ``max_by`` is an aggregate with map-side partial merge, so a model name
     holding most rows does not land in one task (a window would sort it).
     """
-    row = F.struct("rmse", "train_time", "infer_time")
+    cols = ["rmse", "train_time", "infer_time", *(["mode"] if "mode" in results.columns else [])]
+    row = F.struct(*cols)
     return (results.groupBy(F.col(name).alias("model"))
             .agg(F.max_by(row, F.col(ordinal)).alias("_r"))
-            .select("model", "_r.rmse", "_r.train_time", "_r.infer_time"))
+            .select("model", *[f"_r.{c}" for c in cols]))
 
 
 def map_report(truth_cells: DataFrame, pred_cells: DataFrame, samples: DataFrame, rows: int, cols: int,
@@ -175,6 +177,7 @@ def case_study(spark, name: str, data_dir: str | None = None, models: tuple | No
     for i, m in enumerate(models):
         pred, row = evaluate(emulators.make(m), prep)
         pred.unpersist()
-        rows.append((row["name"], i, row["rmse"], row["train_time"], row["infer_time"]))
-    res = spark.createDataFrame(rows, "name string, ordinal int, rmse double, train_time double, infer_time double")
+        rows.append((row["name"], i, row["rmse"], row["train_time"], row["infer_time"], row["mode"]))
+    res = spark.createDataFrame(rows, "name string, ordinal int, rmse double, train_time double, "
+                                      "infer_time double, mode string")
     return compare(res)

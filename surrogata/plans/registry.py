@@ -312,12 +312,12 @@ SQL_QUERIES = {
 def _eval(spark, sf, model: str, **kw) -> DataFrame:
     from surrogata.operators import emulators
     prep = jobs.prepare(_design(spark, sf), 0.15, 42)
-    pred, _ = jobs.evaluate(emulators.make(model, **kw), prep)
-    return pred.select("id", "y", "mean", "sd", "lower", "upper")
+    pred, row = jobs.evaluate(emulators.make(model, **kw), prep)
+    return pred.select("id", "y", "mean", "sd", "lower", "upper", F.lit(row["mode"]).alias("mode"))
 
 
 def q_gp_exact_embeddings(spark, sf):
-    """Flagship: JOB-1 -> exact GP (Z = training rows) -> GP-2 -> PRJ-5."""
+    """Flagship: JOB-1 -> exact GP (Z = training rows, raises above 2048) -> GP-2 -> PRJ-5."""
     return _eval(spark, sf, "exact_gp")
 
 
@@ -325,6 +325,15 @@ def q_gp_rgasp_embeddings(spark, sf):
     return _eval(spark, sf, "rgasp")
 
 
+def q_gp_sparse_embeddings(spark, sf):
+    """The flagship on landmarks, for embeddings of any number."""
+    return _eval(spark, sf, "sparse_gp", m=512, ard_rounds=3)
+
+
+def q_gp_sparse_rgasp_embeddings(spark, sf):
+    return _eval(spark, sf, "sparse_rgasp")
+
+
 def q_gp_pca_rgasp_embeddings(spark, sf):
     return _eval(spark, sf, "pca_rgasp")
 
@@ -401,8 +410,9 @@ def q_compare_models(spark, sf):
     for i, name in enumerate((*jobs.SYNTHETIC_MODELS, "sparse_gp")):
         pred, row = jobs.evaluate(emulators.make(name), prep)
         pred.unpersist()
-        rows.append((row["name"], i, row["rmse"], row["train_time"], row["infer_time"]))
-    res = spark.createDataFrame(rows, "name string, ordinal int, rmse double, train_time double, infer_time double")
+        rows.append((row["name"], i, row["rmse"], row["train_time"], row["infer_time"], row["mode"]))
+    res = spark.createDataFrame(rows, "name string, ordinal int, rmse double, train_time double, "
+                                      "infer_time double, mode string")
     return jobs.compare(res)
 
 
@@ -420,6 +430,8 @@ MODEL_QUERIES = {
     "gp_exact_embeddings": q_gp_exact_embeddings,
     "gp_rgasp_embeddings": q_gp_rgasp_embeddings,
     "gp_pca_rgasp_embeddings": q_gp_pca_rgasp_embeddings,
+    "gp_sparse_embeddings": q_gp_sparse_embeddings,
+    "gp_sparse_rgasp_embeddings": q_gp_sparse_rgasp_embeddings,
     "gp_sparse_lineitem": q_gp_sparse_lineitem,
     "gp_part_1d": q_gp_part_1d,
     "pca_embeddings": q_pca_embeddings,
@@ -464,7 +476,8 @@ def q_predictive_draws(spark, sf):
     from surrogata.operators.sampling import predictive_draws
     pred = q_gp_rgasp_embeddings(spark, sf).withColumn("task", F.lit(0))
     d = predictive_draws(pred, 128)
-    return d.groupBy("id").agg(F.avg("value").alias("draw_mean"), F.stddev_pop("value").alias("draw_sd"))
+    out = d.groupBy("id").agg(F.avg("value").alias("draw_mean"), F.stddev_pop("value").alias("draw_sd"))
+    return out.join(pred.select("id", "mode"), "id")
 
 
 def q_gp_state_readout(spark, sf):
@@ -478,7 +491,7 @@ def q_gp_state_readout(spark, sf):
     rows += [("noise", t, float(v)) for t, v in enumerate(st.sigma2)]
     rows += [("mean", t, float(v)) for t, v in enumerate(st.ybar)]
     rows += [("inducing_points", 0, float(len(st.Z)))]
-    return spark.createDataFrame(rows, "param string, idx int, value double")
+    return spark.createDataFrame([(*r, st.mode) for r in rows], "param string, idx int, value double, mode string")
 
 
 MODEL_QUERIES.update({

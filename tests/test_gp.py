@@ -57,6 +57,22 @@ def test_partition_invariance(spark, data):
     assert max(b) - min(b) < 1e-6 * max(1.0, abs(b[0]))
 
 
+def test_exact_models_are_exact_or_raise(spark):
+    from surrogata.operators import emulators
+    draw = np.random.default_rng(5)
+    X = draw.uniform(-1, 1, (1100, 2))
+    df = _frame(spark, X, np.sin(3 * X[:, 0]) + X[:, 1], 3)
+    quick = dict(multipliers=(1.0,), refine_rounds=0, ard_rounds=0)
+    for name in ("exact_gp", "rgasp"):
+        em = emulators.make(name, **quick).fit(df)
+        assert em.mode == "all" and len(em.state.Z) == 1100
+    many = _frame(spark, draw.uniform(-1, 1, (sgp.MAX_INDUCING + 1, 2)), draw.normal(size=sgp.MAX_INDUCING + 1), 3)
+    for name in ("exact_gp", "rgasp"):
+        with pytest.raises(ValueError, match="exact"):
+            emulators.make(name, **quick).fit(many)
+    assert emulators.make("sparse_rgasp", m=20, **quick).fit(many).mode == "landmarks"
+
+
 def test_sparse_bound_below_exact(spark, data):
     X, y, _ = data
     df = _frame(spark, X, y, 2)
