@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, topk
 from .common import table
+from .conversations import damaged_report
 from .edit_counts import edit_counts
 from .html_extract import page_texts
 from .language import language_report
@@ -56,6 +57,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_edit_counts": op2_edit_counts,
@@ -67,6 +72,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_html_wrapper": op9_html_wrapper,
     "op10_line_dedup": op10_line_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
