@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, topk
+from . import decontaminate, merkle, topk
 from .common import table
 from .conversations import damaged_report
 from .edit_counts import edit_counts
@@ -57,6 +57,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_report(table(spark, sf_dir, "conversations"))
 
@@ -72,10 +76,12 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_html_wrapper": op9_html_wrapper,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_topk": topk.SQL,
     "op8_decontaminate": decontaminate.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
