@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import secrets
 import sys
 import unicodedata
 from functools import lru_cache
@@ -24,7 +25,10 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
          0x205F, 0x3000]
 _SAFE_CUT = re.compile(r"(?<=[a-z]) (?=[a-z])")
-_MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
+PRIME = np.uint64((1 << 61) - 1)
+BASE = 0x0B5AD4ECEDA1CE2A9             # base of the fingerprints, any number below PRIME
+_SPAN_CODES = 1 << 20                  # code points whose sums of 43-bit products stay below 2^63
+_PLAIN = 1 << 12                       # codes below it are multiplied by 31 bits at once, others by 21
 
 
 @lru_cache(maxsize=1)
@@ -37,18 +41,60 @@ def char_classes() -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_MULT), -1, 1 << 64))
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.full(n, _MULT, np.uint64))
-        down = np.cumprod(np.full(n, inverse, np.uint64))
-    return up, down
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it, by halves of 31 and 30 bits."""
+    low, half = np.uint64((1 << 31) - 1), np.uint64(31)
+    ah, al, bh, bl = a >> half, a & low, b >> half, b & low
+    middle = ah * bl + al * bh
+    out = ((ah * bh) << np.uint64(1)) + (middle >> np.uint64(30)) \
+        + ((middle & np.uint64((1 << 30) - 1)) << half)
+    return reduced(reduced(out) + reduced(al * bl))
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.minimum(x, x - PRIME)                  # below PRIME the difference wraps round
+
+
+def _run_of_powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo PRIME, n of them (a power of two), by doubling."""
+    out = np.ones(n, np.uint64)
+    size = 1
+    while size < n:
+        step = np.uint64(pow(base, size, int(PRIME)))
+        out[size:2 * size] = times(out[:size], np.full(size, step, np.uint64))
+        size *= 2
+    return out
+
 
+@lru_cache(maxsize=3)
+def _powers(n: int, base: int) -> tuple[dict[int, tuple[np.ndarray, ...]], np.ndarray]:
+    """Powers of the base in pieces of 21 and of 31 bits, and powers of its inverse."""
+    up = _run_of_powers(base, n)
+    pieces = {bits: tuple(((up >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
+                          for at in range(0, 61, bits)) for bits in (21, 31)}
+    return pieces, _run_of_powers(pow(base, -1, int(PRIME)), n)
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, int(n).bit_length())
-    return _powers(size)
+
+def powers(n: int, base: int) -> tuple[dict[int, tuple[np.ndarray, ...]], np.ndarray]:
+    return _powers(1 << max(20, int(n).bit_length()), base)
+
+
+def _sums(codes: np.ndarray, pieces: dict[int, tuple[np.ndarray, ...]]):
+    """(bits before a piece, prefix sums of the codes times that piece), a piece at a time."""
+    value = codes.astype(np.uint64) + np.uint64(1)
+    bits = 31 if len(codes) == 0 or int(codes.max()) < _PLAIN - 1 else 21
+    total = np.zeros(len(codes) + 1, np.uint64)
+    for k, piece in enumerate(pieces[bits]):
+        np.cumsum(value * piece[:len(codes)], out=total[1:])
+        yield bits * k, total
+
+
+def _rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    """x times a power of two modulo PRIME."""
+    if not bits:
+        return x
+    return ((x << np.uint64(bits)) & PRIME) | (x >> np.uint64(61 - bits))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -59,15 +105,44 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of ``codes[start:end]``, the same wherever the span lies."""
-    up, down = powers(len(codes) + 1)
-    with np.errstate(over="ignore"):
-        total = np.empty(len(codes) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:len(codes)], out=total[1:])
-        h = (total[end] - total[start]) * down[start]
-        return mix(h ^ ((end - start).astype(np.uint64) << np.uint64(56)))
+def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
+    """64-bit fingerprints of ``codes[start:end]``, the same wherever the span lies: polynomials
+    modulo the prime 2^61 - 1, so two different spans of n codes agree for at most n of its bases."""
+    base %= int(PRIME)
+    if len(codes) > _SPAN_CODES:                     # far more than a chunk: piece by piece
+        out = np.empty(len(start), np.uint64)
+        for k in range(0, len(start), 1 << 16):
+            s, e = start[k:k + (1 << 16)], end[k:k + (1 << 16)]
+            out[k:k + len(s)] = _long_spans(codes, s, e, base)
+        return out
+    pieces, down = powers(len(codes), base)
+    h = np.zeros(len(start), np.uint64)
+    for at, total in _sums(codes, pieces):
+        h = reduced(h + _rotated(reduced(total[end] - total[start]), at))
+    h = times(h, down[start])
+    return mix(h ^ ((end - start).astype(np.uint64) << np.uint64(58)))
+
+
+def _long_spans(codes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """span_hashes over more codes than one sum holds: spans that fit are hashed where they lie,
+    longer ones by the Horner rule over parts."""
+    out = np.empty(len(start), np.uint64)
+    short = np.flatnonzero(end - start <= _SPAN_CODES // 2)
+    while len(short):
+        low = int(start[short].min())
+        here = short[end[short] <= low + _SPAN_CODES]
+        part = codes[low:int(end[here].max())]
+        out[here] = span_hashes(part, start[here] - low, end[here] - low, base)
+        short = np.setdiff1d(short, here, assume_unique=True)
+    for i in np.flatnonzero(end - start > _SPAN_CODES // 2).tolist():
+        h, n, at = 0, int(end[i] - start[i]), int(start[i])
+        p = int(PRIME)
+        for s in range(0, n, _SPAN_CODES // 2):
+            part = codes[at + s:min(at + s + _SPAN_CODES // 2, at + n)]
+            own = sum(int(total[-1]) << bits for bits, total in _sums(part, powers(len(part), base)[0]))
+            h = (h + own * pow(base, s, p)) % p
+        out[i] = mix(np.array([h ^ ((n & 63) << 58)], np.uint64))[0]
+    return out
 
 
 def split_points(codes: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
@@ -166,6 +241,7 @@ class PretokenIds:
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)       # the byte-level alphabet has a character a byte
         self.table = Fingerprints()
+        self.base = 2 + secrets.randbelow(int(PRIME) - 2)      # no text is made to collide with it
         self.clear()
 
     def clear(self) -> None:
@@ -204,7 +280,7 @@ class PretokenIds:
 
     def entries(self, text: str, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Entry of each pre-token; unknown ones are encoded first."""
-        h = span_hashes(codes, start, end)
+        h = span_hashes(codes, start, end, self.base)
         h[h == 0] = 1
         out = self.table.find(h)
         missing = np.flatnonzero(out < 0)

@@ -49,6 +49,39 @@ def test_long_texts_are_cut_and_tables_may_be_cleared(library, monkeypatch):
     assert ids.tolist() == [i for w in want for i in w] and count.tolist() == [len(w) for w in want]
 
 
+def test_fingerprints_are_the_polynomials():
+    prime, base = (1 << 61) - 1, 12345678987654321
+    draw = np.random.default_rng(3)
+    for top in (100, 0x110000):                       # codes that are multiplied by 31 bits, by 21
+        codes = draw.integers(0, top, 3000).astype(np.uint32)
+        start = draw.integers(0, 2900, 50)
+        end = start + draw.integers(0, 100, 50)
+        want = [sum((int(c) + 1) * pow(base, k, prime) for k, c in enumerate(codes[s:e])) % prime
+                ^ ((int(e - s) << 58) & (2 ** 64 - 1)) for s, e in zip(start, end)]
+        assert (tokens.span_hashes(codes, start, end, base) == tokens.mix(np.array(want, np.uint64))).all()
+
+
+def test_long_spans_have_the_same_fingerprints(monkeypatch):
+    codes = np.random.default_rng(4).integers(0, 0x110000, 5000).astype(np.uint32)
+    start, end = np.array([0, 3, 100, 1000, 2500]), np.array([5000, 400, 3100, 1400, 2500])
+    want = tokens.span_hashes(codes, start, end)
+    monkeypatch.setattr(tokens, "_SPAN_CODES", 1000)
+    assert (tokens.span_hashes(codes, start, end) == want).all()
+
+
+@pytest.mark.parametrize("n", [10, 11, 12])
+def test_complementary_texts_have_their_own_ids(library, n):
+    text = "a"
+    for _ in range(n):
+        text += text.translate(str.maketrans("ab", "ba"))
+    other = text.translate(str.maketrans("ab", "ba"))
+    codes = np.frombuffer((text + other).encode("utf-32-le"), np.uint32)
+    a, b = tokens.span_hashes(codes, np.array([0, len(text)]), np.array([len(text), 2 * len(text)]))
+    assert a != b
+    ids, count = tokens.encode_texts([text, other], VOCABULARY)
+    assert ids.tolist() == library(text) + library(other) and count[0] == len(library(text))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_group_packing_wastes_nothing(sizes):
@@ -130,6 +163,24 @@ def test_grammar_round_trip_and_random_access(docs):
     assert s.expand(s.symbols).tolist() == ids.tolist()
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=60), max_size=8))
+def test_grammar_to_exhaustion(docs):
+    count = np.array([len(d) for d in docs], np.int64)
+    ids = np.array([i for d in docs for i in d], np.uint32)
+    s = repair.Shard(repair.body(list(range(len(docs))), count, ids, 4, least=2))
+    assert [s.document(i).tolist() for i in range(len(docs))] == docs
+
+
+def test_grammar_of_a_run():
+    ids = np.full(20_000, 7, np.uint32)
+    s = repair.Shard(repair.body([0], np.array([len(ids)]), ids, 50))
+    assert len(s.symbols) < 20 and (s.document(0) == 7).all() and len(s.document(0)) == 20_000
+    draw = np.random.default_rng(2)
+    text = np.tile(draw.integers(0, 40, 500), 40).astype(np.uint32)      # a passage forty times
+    assert len(repair.Shard(repair.body([0], np.array([len(text)]), text, 50)).symbols) < 60
+
+
 def test_grammar_shrinks_repetition():
     ids = np.array(list(range(50)) * 400, np.uint32)
     body = repair.body([0], np.array([len(ids)]), ids, 50, least=4)
@@ -153,6 +204,23 @@ def test_id_files(spark, library, edge_docs):
     assert repair.ids_round_trip(edge_docs.limit(0)).count() == 0
 
 
+def test_complementary_texts_through_the_operators(spark, library):
+    """Texts that collide under polynomials modulo a power of two, by themselves and within a text."""
+    text = "a"
+    for _ in range(11):
+        text += text.translate(str.maketrans("ab", "ba"))
+    other = text.translate(str.maketrans("ab", "ba"))
+    texts = {1: text, 2: other, 3: f"{other} {text} x@y.example"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    want = {i: library(t) for i, t in texts.items()}
+    for r in repair.ids_round_trip(docs).collect():
+        assert (r.n_tokens, r.ids_crc32) == (len(want[r.doc_id]) + 1, crc(want[r.doc_id] + [2]))
+    for r in packing.packed_digest(docs).collect():
+        assert r.ids_crc32 == crc((want[r.doc_id] + [0])[r.start:r.start + r.length])
+    for r in edit_counts.edit_counts(docs).collect():
+        assert r.n_tokens == len(want[r.doc_id])
+
+
 def test_edits_follow_a_full_count():
     draw = random.Random(5)
     for _ in range(60):
