@@ -11,6 +11,7 @@ from .edit_counts import edit_counts
 from .html_extract import page_texts
 from .language import language_report
 from .lines import line_report
+from .minhash_dedup import near_components
 from .near_join import near_classes
 from .packing import packed_digest
 from .repair import ids_round_trip
@@ -61,6 +62,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_report(table(spark, sf_dir, "conversations"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op9_html_wrapper": op9_html_wrapper,
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_minhash_dedup": op12_minhash_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
