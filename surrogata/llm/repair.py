@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, small_batches
-from .tokens import default_vocabulary, encode_texts, room
+from .tokens import default_vocabulary, encode_texts, mix, room
 
 MAGIC = b"RPAIR001"
 SHARD_IDS = 1 << 19        # ids after which a shard is closed
@@ -73,6 +73,31 @@ class _Pairs:
         return self.places[at], np.repeat(np.arange(len(chosen)), size)
 
 
+def _apart(which: np.ndarray, joined: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the places of pairs to replace, given whether a place shares a symbol with the one
+    after it.  Of a run of one pair every second place, from the left; of different pairs the one of
+    least rank, then again among those left, so equal passages are cut alike wherever they stand."""
+    n = len(which)
+    step = np.arange(n)
+    head = np.ones(n, bool)
+    head[1:] = ~joined | (which[1:] != which[:-1])
+    left = np.flatnonzero((step - np.maximum.accumulate(np.where(head, step, 0))) & 1 == 0)
+    out = np.zeros(n, bool)
+    touches = np.append(joined, False)
+    while len(left):
+        r = rank[which[left]]
+        near = touches[left[:-1]] & (left[1:] == left[:-1] + 1)
+        best = np.ones(len(left), bool)
+        best[1:] &= ~near | (r[1:] < r[:-1])
+        best[:-1] &= ~near | (r[:-1] < r[1:])
+        out[left[best]] = True
+        beaten = best.copy()
+        beaten[1:] |= near & best[:-1]
+        beaten[:-1] |= near & best[1:]
+        left = left[~beaten]
+    return out
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST_COUNT,
              rounds: int | None = None, rules_a_round: int | None = None):
     """(symbols, first symbol of every document and the end, rules, expansion lengths).
@@ -115,10 +140,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST_CO
         at, which = at[live], which[live]
         order = np.argsort(at)
         at, which = at[order], which[order]
-        head = np.ones(len(at), bool)          # of places that follow each other every second one is taken
-        head[1:] = after[at[:-1]] != at[1:]
-        step = np.arange(len(at))
-        take = (step - np.maximum.accumulate(np.where(head, step, 0))) & 1 == 0
+        take = _apart(which, after[at[:-1]] == at[1:], mix(pairs.symbols[chosen]))
         at, which = at[take], which[take]
         enough = np.bincount(which, minlength=len(chosen)) >= max(2, least // 2)
         count[chosen[~enough]] = 0             # the others took its places
