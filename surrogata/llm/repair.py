@@ -34,11 +34,23 @@ SHARDS = "part int, shard int, n_docs long, n_ids long, body binary"
 DECODED = "doc_id long, part int, shard int, place long, shard_start long, n_tokens long, ids binary"
 
 
+def _ordered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of so many bits in order, and where each was.  Key and place are sorted as one number
+    where they fit, which is several times faster than an indirect sort."""
+    place = max(1, int(len(key)).bit_length())
+    if bits + place > 64:
+        order = np.argsort(key, kind="stable")
+        return key[order], order
+    both = np.sort((key << np.uint64(place)) | np.arange(len(key), dtype=np.uint64))
+    return both >> np.uint64(place), (both & np.uint64((1 << place) - 1)).astype(np.int32)
+
+
 class _Pairs:
     """Pairs of neighbouring symbols that occur often enough: their symbols, how many places they
     still have, and where those places lie in one list.  Pairs are only added and counted down."""
 
-    def __init__(self):
+    def __init__(self, bits: int):
+        self.bits = bits                   # of a symbol
         self.n = self.used = 0
         self.symbols = np.zeros(1024, np.uint64)
         self.count, self.low, self.size = (np.zeros(1024, np.int64) for _ in range(3))
@@ -47,17 +59,17 @@ class _Pairs:
     def add(self, pair_at: np.ndarray, places: np.ndarray, symbols: np.ndarray, after: np.ndarray,
             least: int) -> None:
         """Take in the pairs that begin at the places, all of them new."""
-        key = (symbols[places].astype(np.uint64) << np.uint64(32)) | symbols[after[places]]
-        order = np.argsort(key)
-        key = key[order]
+        key, order = _ordered((symbols[places].astype(np.uint64) << np.uint64(self.bits)) | symbols[after[places]],
+                              2 * self.bits)
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(key)))
         often = size >= least
         own, size, key = places[order[np.repeat(often, size)]], size[often], key[start[often]]
+        low = np.uint64((1 << self.bits) - 1)
         k, u = self.n, self.used
-        for name, more in (("symbols", key), ("count", size), ("size", size), ("low", u + np.cumsum(size) - size)):
+        for name, more in (("symbols", (key >> np.uint64(self.bits) << np.uint64(32)) | (key & low)), ("count", size), ("size", size), ("low", u + np.cumsum(size) - size)):
             column = room(getattr(self, name), k, len(key))
             column[k:k + len(key)] = more
             setattr(self, name, column)
@@ -70,7 +82,7 @@ class _Pairs:
     def places_of(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.size[chosen]
         at = np.repeat(self.low[chosen] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        return self.places[at], np.repeat(np.arange(len(chosen)), size)
+        return self.places[at], np.repeat(np.arange(len(chosen), dtype=np.int32), size)
 
 
 def _apart(which: np.ndarray, joined: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -114,7 +126,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST_CO
     alive = np.arange(n + 1) < n
     after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     pair_at, mark = np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int32)
-    pairs, made = _Pairs(), 0
+    pairs, made = _Pairs(int(base + n).bit_length()), 0
     rules, length = [np.zeros((0, 2), np.uint32)], np.zeros(1024, np.int64)
 
     def once(places):
@@ -138,8 +150,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST_CO
         at, which = pairs.places_of(chosen)
         live = pair_at[at] == chosen[which]
         at, which = at[live], which[live]
-        order = np.argsort(at)
-        at, which = at[order], which[order]
+        at, order = _ordered(at.astype(np.uint64), 32)
+        at, which = at.astype(np.int32), which[order]
         take = _apart(which, after[at[:-1]] == at[1:], mix(pairs.symbols[chosen]))
         at, which = at[take], which[take]
         enough = np.bincount(which, minlength=len(chosen)) >= max(2, least // 2)

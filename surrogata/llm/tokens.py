@@ -15,6 +15,7 @@ import secrets
 import sys
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -227,6 +228,14 @@ def room(a: np.ndarray, used: int, more: int) -> np.ndarray:
     return big
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter of each byte in byte-level vocabularies: printable Latin-1 characters stand for
+    themselves, the other bytes, in order, for the code points from 256 on (fixed by that format)."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class PretokenIds:
     """Ids of pre-tokens by fingerprint, filled by the tokenizers library as texts need them."""
 
@@ -236,6 +245,8 @@ class PretokenIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenizer.model._resize_cache(0)              # a word is asked for once
+        self.letters = byte_letters()
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.ones(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -252,31 +263,13 @@ class PretokenIds:
         self.used = 0
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in order and how many each has.  Words are sent joined by line feeds;
-        the byte length of every id tells whose id it is.  White space is sent word by word."""
-        count = np.zeros(len(words), np.int64)
-        blank = np.fromiter((w.isspace() for w in words), bool, len(words))
-        parts: list[tuple[np.ndarray, np.ndarray]] = []      # (word of each id, id)
-        for at in np.flatnonzero(blank).tolist():
-            ids = np.array(self.tokenizer.encode(words[at], add_special_tokens=False).ids, np.uint32)
-            parts.append((np.full(len(ids), at), ids))
-        plain = np.flatnonzero(~blank)
-        for at in range(0, len(plain), 256):
-            own = plain[at:at + 256]
-            text = [words[i] for i in own.tolist()]
-            e = self.tokenizer.encode_batch_fast(["\n".join(text)], add_special_tokens=False)[0]
-            ids = np.array(e.ids, np.uint32)
-            ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in text])
-            last = np.cumsum(self.bytes_of[ids])
-            word = np.searchsorted(ends, last, side="left")
-            keep = ~((last == ends[np.minimum(word, len(own) - 1)]))      # the joining line feeds
-            keep[-1] = True
-            parts.append((own[np.minimum(word, len(own) - 1)][keep], ids[keep]))
-        if not parts:
-            return np.zeros(0, np.uint32), count
-        word, ids = (np.concatenate(x) for x in zip(*parts))
-        count += np.bincount(word, minlength=len(words))
-        return ids[np.argsort(word, kind="stable")], count
+        """Ids of all words in order and how many each has: the vocabulary's merges are applied to a
+        word's bytes, each written as its letter of the byte-level alphabet."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        ids = [[t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))]
+               for w in words]
+        count = np.fromiter(map(len, ids), np.int64, len(words))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum())), count
 
     def entries(self, text: str, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Entry of each pre-token; unknown ones are encoded first."""
