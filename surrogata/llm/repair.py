@@ -217,6 +217,7 @@ class Shard:
         self.count, self.first = take("<i8", docs), take("<i8", docs + 1)
         self.rules = take("<u4", 2 * rules).reshape(-1, 2)
         self.length, self.symbols = take("<u4", rules), take("<u4", symbols)
+        self.table = None
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """All ids that the symbols stand for: rules are undone level by level, in place."""
@@ -237,6 +238,18 @@ class Shard:
             s, place = np.concatenate([left, right]), np.concatenate([at, at + wide])
         return out
 
+    def expand_all(self, symbols: np.ndarray) -> np.ndarray:
+        """As expand, for many symbols: every rule is expanded once, then copied."""
+        if self.table is None:
+            rules = np.arange(self.base, self.base + len(self.length), dtype=np.uint32)
+            self.table = np.concatenate([np.arange(self.base, dtype=np.uint32), self.expand(rules)])
+            self.size = np.concatenate([np.ones(self.base, np.int32), self.length.astype(np.int32)])
+            self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+        size = self.size[symbols]
+        end = np.cumsum(size, dtype=np.int64)
+        total = int(end[-1]) if len(end) else 0
+        return self.table[np.repeat(self.start[symbols] - end + size, size) + np.arange(total)]
+
     def document(self, i: int) -> np.ndarray:
         return self.expand(self.symbols[self.first[i]:self.first[i + 1]])
 
@@ -301,7 +314,7 @@ def _reader(batches):
             for at in range(0, len(s.doc_ids), 256):
                 to = min(len(s.doc_ids), at + 256)
                 low = int(ends[at - 1]) if at else 0
-                ids = s.expand(s.symbols[s.first[at]:s.first[to]]).astype("<u4")
+                ids = s.expand_all(s.symbols[s.first[at]:s.first[to]]).astype("<u4")
                 cell = np.concatenate([[0], ends[at:to] - low]).tolist()
                 raw = ids.tobytes()
                 n = to - at

@@ -170,6 +170,7 @@ def test_grammar_to_exhaustion(docs):
     ids = np.array([i for d in docs for i in d], np.uint32)
     s = repair.Shard(repair.body(list(range(len(docs))), count, ids, 4, least=2))
     assert [s.document(i).tolist() for i in range(len(docs))] == docs
+    assert s.expand_all(s.symbols).tolist() == ids.tolist()
 
 
 def test_grammar_of_a_run():
