@@ -350,3 +350,12 @@ SELECT el.id AS id, {R('sum((v - m) * (v - m))')} AS norm FROM el JOIN m ON el.i
 SELECT round(regr_intercept(p_retailprice, p_size), 3) AS intercept,
        round(regr_slope(p_retailprice, p_size), 4) AS slope FROM part""",
 })
+
+ORACLE_SQL.update({
+    "pca_wide_invariants": """
+WITH w AS (SELECT j % 64 AS i, sum((1 + cos(j) / 2) * (1 + cos(j) / 2)) AS w FROM range(21600) t(j) GROUP BY 1),
+v AS (SELECT i, var_samp(embedding[i + 1]::DOUBLE) AS v FROM embeddings, range(64) t(i) GROUP BY i)
+SELECT (SELECT count(*) FROM embeddings) AS n, 21600::BIGINT AS d, 64::BIGINT AS k,
+       round(sum(v * w), 4) AS explained_variance, round(sum(v * w), 4) AS score_variance
+FROM v JOIN w USING (i)""",
+})

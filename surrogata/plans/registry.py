@@ -740,3 +740,29 @@ SQL_QUERIES.update({
     "trend_part": q_trend_part,
 })
 ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
+
+
+def q_pca_wide_invariants(spark, sf):
+    """ML-2 at 21,600 inputs of rank 64: 64 components hold all variance, and so do the scores."""
+    from surrogata.operators import pca
+    df = tb.wide_design(spark, sf)
+    model = pca.fit_pca(df, "x", 64)
+    scores = pca.transform(df, model, "x", "z", keep=["id"])
+    return scores.select(F.posexplode("z").alias("k", "z")).agg(
+        F.countDistinct("k").alias("k"), F.sum(F.col("z") ** 2).alias("ss")).select(
+        F.lit(model.n_samples).cast("long").alias("n"), F.lit(model.mean.size).cast("long").alias("d"), "k",
+        F.round(F.lit(float(model.explained_variance.sum())), 4).alias("explained_variance"),
+        F.round(F.col("ss") / (model.n_samples - 1), 4).alias("score_variance"))
+
+
+def q_pca_wide_embeddings(spark, sf):
+    """ML-2/ML-3: the scores of the components that hold 95 % of the standardised variance."""
+    from surrogata.operators import pca
+    df = tb.wide_design(spark, sf)
+    return pca.transform(df, pca.fit_pca(df, "x", 0.95), "x", "z", keep=["id"])
+
+
+SQL_QUERIES["pca_wide_invariants"] = q_pca_wide_invariants
+MODEL_QUERIES["pca_wide_embeddings"] = q_pca_wide_embeddings
+
+ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}

@@ -30,6 +30,18 @@ def embedding_design(spark: SparkSession, sf_dir: str) -> DataFrame:
         "y", synthetic_response("x"))
 
 
+WIDE = 21_600              # inputs of the wide design
+
+
+def wide_design(spark: SparkSession, sf_dir: str, width: int = WIDE) -> DataFrame:
+    """A wide design: position j holds the embedding's value j mod 64 times 1 + cos(j)/2."""
+    e = table(spark, sf_dir, "embeddings")
+    at = F.sequence(F.lit(0), F.lit(width - 1))
+    x = F.transform(at, lambda j: F.get("embedding", j % F.size("embedding")).cast("double")
+                    * (1.0 + F.cos(j.cast("double")) / 2.0))
+    return e.select(F.col("vec_id").cast("long").alias("id"), x.alias("x"))
+
+
 def raster_cells(spark: SparkSession, sf_dir: str, measure: str = "discount") -> DataFrame:
     """Aggregated raster; ``measure='discount'`` is the truth, ``'expected'`` a simple prediction."""
     li = table(spark, sf_dir, "lineitem")
