@@ -24,20 +24,38 @@ def scaled_sqdist(A: np.ndarray, B: np.ndarray, lengthscale: np.ndarray) -> np.n
     return d2
 
 
-def matern52(A, B, lengthscale):
-    r = np.sqrt(scaled_sqdist(A, B, lengthscale))
-    s = SQRT5 * r
+def _matern52(sq):
+    s = SQRT5 * np.sqrt(sq)
     return (1.0 + s + s * s / 3.0) * np.exp(-s)
 
 
-def matern32(A, B, lengthscale):
-    r = np.sqrt(scaled_sqdist(A, B, lengthscale))
-    s = SQRT3 * r
+def _matern32(sq):
+    s = SQRT3 * np.sqrt(sq)
     return (1.0 + s) * np.exp(-s)
 
 
+def _rbf(sq):
+    return np.exp(-0.5 * sq)
+
+
+OF_SQDIST = {"matern_5_2": _matern52, "matern_3_2": _matern32, "rbf": _rbf}
+
+
+def kernel_of_sqdist(name: str, sq: np.ndarray) -> np.ndarray:
+    """The kernel of scaled squared distances."""
+    return OF_SQDIST[name](sq)
+
+
+def matern52(A, B, lengthscale):
+    return _matern52(scaled_sqdist(A, B, lengthscale))
+
+
+def matern32(A, B, lengthscale):
+    return _matern32(scaled_sqdist(A, B, lengthscale))
+
+
 def rbf(A, B, lengthscale):
-    return np.exp(-0.5 * scaled_sqdist(A, B, lengthscale))
+    return _rbf(scaled_sqdist(A, B, lengthscale))
 
 
 KERNELS = {"matern_5_2": matern52, "matern_3_2": matern32, "rbf": rbf}

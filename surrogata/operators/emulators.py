@@ -94,16 +94,14 @@ def exact_gp(**kw) -> GPEmulator:
     on the synthetic case it pulls the lengthscales too short (RMSE 2.25 vs 1.59).
     """
     kw.setdefault("ard_rounds", 3)
-    kw.setdefault("prior", None)
-    kw.setdefault("prior", None)
-    kw.setdefault("exact_cap", sgp.MAX_INDUCING)
+    kw.setdefault("input_rounds", 8)
     return GPEmulator("exact_gp", sgp.GPConfig(inducing="all", **kw))
 
 
 def rgasp(trend: str | None = None, **kw) -> GPEmulator:
     """Exact GP, Matern-5/2 with per-input ranges and the reference-prior term (GP-4)."""
     kw.setdefault("ard_rounds", 3)
-    kw.setdefault("exact_cap", sgp.MAX_INDUCING)
+    kw.setdefault("input_rounds", 8)
     return GPEmulator("rgasp", sgp.GPConfig(inducing="all", prior="reference", z=1.96, **kw), trend=trend)
 
 

@@ -49,12 +49,12 @@ class SurrogatePCAModel(Model, HasInputCol, HasOutputCol):
 class SurrogateGP(Estimator, HasInputCol, HasLabelCol, HasPredictionCol):
     """Inducing-point GP regression; predictions add mean, sd, lower and upper columns."""
 
-    inducing = Param(Params._dummy(), "inducing", "auto | all | landmarks | kmeans",
+    inducing = Param(Params._dummy(), "inducing", "all (exact) | landmarks | kmeans",
                      typeConverter=TypeConverters.toString)
     maxInducing = Param(Params._dummy(), "maxInducing", "number of inducing points (sparse modes)",
                         typeConverter=TypeConverters.toInt)
 
-    def __init__(self, inputCol: str = "x", labelCol: str = "y", inducing: str = "auto", maxInducing: int = 512):
+    def __init__(self, inputCol: str = "x", labelCol: str = "y", inducing: str = "landmarks", maxInducing: int = 512):
         super().__init__()
         self._set(inputCol=inputCol, labelCol=labelCol, inducing=inducing, maxInducing=maxInducing)
 

@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surrogata.functions.kernels import get_kernel
-from surrogata.functions.rand import hash_order_key
 from surrogata.operators.blas import driver_blas_for, single_thread_blas
 from surrogata.operators.arrowutil import list_to_matrix, matrix_to_list, vector_or_scalar
 from surrogata.operators.partials import emit, ensure_parallelism, num_partitions, reduce_partials
@@ -59,13 +58,14 @@ PADDING_SD = 1e-6
 @dataclass
 class GPConfig:
     kernel: str = "matern_5_2"
-    inducing: str = "auto"          # auto | all | landmarks | kmeans
+    inducing: str = "landmarks"     # all (exact) | landmarks | kmeans
     max_inducing: int = 512         # m for the sparse modes
-    exact_cap: int = 1024           # auto: Z = training rows while n <= exact_cap
+    exact_cap: int = MAX_INDUCING   # training rows above which "all" raises
     multipliers: tuple = (0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
     refine_rounds: int = 1
-    ard_rounds: int = 0             # per-input (ARD) refinement rounds after the multiplier search
-    ard_groups: int = 8             # inputs are scaled in this many contiguous groups per round
+    ard_rounds: int = 0             # refinement rounds by groups of inputs after the multiplier search
+    ard_groups: int | None = 8      # contiguous groups of inputs scaled together; None: one each
+    input_rounds: int = 0           # exact mode: rounds of moves of one input each, after the groups
     lengthscale_init: str = "range"   # range: 3*range_j/n^(1/d);  mean_range: mean(range)/sqrt(d)
     prior: str | None = None        # None | "reference" (GP-4) | "lognormal" (GP-5)
     prior_weight: float = 0.25
@@ -73,7 +73,7 @@ class GPConfig:
     max_noise: float = 10.0
     seed: int = 42
     z: float = 2.0                  # interval multiplier for lower/upper
-    jitter: float | None = None     # None: 1e-10 when Z = training rows, else JITTER
+    jitter: float | None = None     # sparse modes; None: JITTER
 
 
 @dataclass
@@ -133,31 +133,6 @@ def initial_lengthscale(n: int, lo: np.ndarray, hi: np.ndarray, how: str = "rang
     raise ValueError(f"unknown lengthscale_init {how!r}")
 
 
-# Budget for the per-partition candidate partials (C * m^2 doubles); larger
-# candidate sets are split over several passes.
-PARTIAL_BUDGET_BYTES = 64 * 1024 * 1024
-
-
-def _stats_partials(df: DataFrame, x: str, y: str, Z: np.ndarray, cands: list[np.ndarray],
-                    whiteners: list[np.ndarray], kernel: str) -> dict[str, np.ndarray]:
-    m = Z.shape[0]
-    per_pass = max(1, PARTIAL_BUDGET_BYTES // (8 * m * m))
-    if len(cands) <= per_pass:
-        return _stats_pass(df, x, y, Z, cands, whiteners, kernel)
-    out: dict[str, np.ndarray] = {}
-    for start in range(0, len(cands), per_pass):
-        part = _stats_pass(df, x, y, Z, cands[start:start + per_pass],
-                           whiteners[start:start + per_pass], kernel)
-        for k, v in part.items():
-            for prefix in ("phi", "b", "k"):
-                if k.startswith(prefix) and k[len(prefix):].isdigit():
-                    out[f"{prefix}{int(k[len(prefix):]) + start}"] = v
-                    break
-            else:
-                out[k] = v
-    return out
-
-
 def _stats_pass(df: DataFrame, x: str, y: str, Z: np.ndarray, cands: list[np.ndarray],
                 whiteners: list[np.ndarray], kernel: str) -> dict[str, np.ndarray]:
     """One data pass: whitened features phi = L1^-1 k1(Z, x) per candidate, then
@@ -338,8 +313,6 @@ def log_prior(lengthscale: np.ndarray, n: int, cfg: GPConfig) -> float:
 def choose_inducing(df: DataFrame, x: str, n: int, cfg: GPConfig, id_col: str | None = "id") -> np.ndarray:
     """Z on the driver; its size is bounded by ``max_inducing``/``exact_cap``."""
     mode = cfg.inducing
-    if mode == "auto":
-        mode = "all" if n <= cfg.exact_cap else "landmarks"
     if mode == "all":
         if n > min(cfg.exact_cap, MAX_INDUCING):
             raise ValueError(f"exact mode refuses n={n} > {min(cfg.exact_cap, MAX_INDUCING)}; use sparse")
@@ -355,14 +328,13 @@ def choose_inducing(df: DataFrame, x: str, n: int, cfg: GPConfig, id_col: str |
         from surrogata.operators.inducing import distinct_landmarks
         return distinct_landmarks(df, x, m, cfg.seed)
     if mode == "kmeans":
-        from surrogata.operators.inducing import kmeans_centres
+        from surrogata.operators.inducing import kmeans_centres, padding_points
         if n < cfg.max_inducing:
             # ML-9 / SET-3: all rows plus random points from the data mean/std (bounded: n < m)
             X = np.array(sorted(tuple(r[0]) for r in df.select(x).collect()), dtype=float)
-            rng = np.random.default_rng(cfg.seed)
             sd = X.std(0, ddof=1 if n > 1 else 0) + PADDING_SD
-            pad = X.mean(0) + sd * rng.standard_normal((cfg.max_inducing - n, X.shape[1]))
-            return np.vstack([X, pad])
+            pad = padding_points(X.mean(0), sd, df.sparkSession.range(cfg.max_inducing - n), seed=cfg.seed)
+            return np.vstack([X, np.array([r["x"] for r in pad.orderBy("id").collect()])])
         return kmeans_centres(df, x, m, seed=cfg.seed)
     raise ValueError(f"unknown inducing mode {mode!r}")
 
@@ -376,6 +348,9 @@ def fit(df: DataFrame, x: str = "x", y: str = "y", cfg: GPConfig | None = None,
     """GP-1 + GP-3 (+GP-4/5/6/8): search lengthscale multiplier, scale and noise."""
     cfg = cfg or GPConfig()
     single_thread_blas()
+    if Z is None and cfg.inducing == "all":
+        from surrogata.operators.exact import fit_exact
+        return fit_exact(df, x, y, cfg)
     # several passes read the same rows: keep the projected input (recomputed
     # from lineage if an executor is lost)
     df = ensure_parallelism(df.select(*([c for c in ("id",) if c in df.columns] + [x, y])))
@@ -391,9 +366,8 @@ def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) ->
     if n == 0:
         raise ValueError("cannot fit a GP on an empty table")
     base = initial_lengthscale(n, lo, hi, cfg.lengthscale_init)
-    exact = Z is None and (cfg.inducing == "all" or (cfg.inducing == "auto" and n <= cfg.exact_cap))
-    jitter = cfg.jitter if cfg.jitter is not None else (EXACT_JITTER if exact else JITTER)
-    mode = "given" if Z is not None else "landmarks" if cfg.inducing == "auto" else cfg.inducing
+    jitter = JITTER if cfg.jitter is None else cfg.jitter
+    mode = "given" if Z is not None else cfg.inducing
     if Z is None:
         Z = choose_inducing(df, x, n, cfg)
     if Z.ndim != 2 or Z.shape[1] != base.size:
@@ -418,7 +392,7 @@ def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) ->
         the GIL; the executors are idle at this point)."""
         with ThreadPoolExecutor(workers) as pool:
             whiten = list(pool.map(lambda ls: _whitener(kern(Z, Z, ls), jitter), cands))
-        st = _stats_partials(df, x, y, Z, cands, whiten, cfg.kernel)
+        st = _stats_pass(df, x, y, Z, cands, whiten, cfg.kernel)
         nn = int(round(st["n"][0]))
         p = st["ysum"].size
         ybar = st["ysum"] / nn
@@ -459,7 +433,7 @@ def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) ->
     # ARD refinement: per round, scale one group of inputs by 1/f or f (one pass for
     # all moves), keep the best, and try the combination of all improving moves next.
     d = base.size
-    groups = np.array_split(np.arange(d), min(d, cfg.ard_groups)) if cfg.ard_rounds else []
+    groups = np.array_split(np.arange(d), min(d, cfg.ard_groups or d)) if cfg.ard_rounds else []
     step = 2.0
     combined = None
     for rnd in range(cfg.ard_rounds):
@@ -491,7 +465,7 @@ def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) ->
         if not improving:
             step = math.sqrt(step)
     state = best[1]
-    state.mode = "all" if exact else mode
+    state.mode = mode
     state.search = search
     return state
 
