@@ -37,6 +37,18 @@ class Emulator:
     def predict(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def sample(self, df: DataFrame, n: int = 1, seed: int = 42) -> DataFrame:
+        """GP-13: (id, draw, pos, value), draws of the predictive distribution of every output in the
+        units that the emulator was trained on; a narrow map with hash normals."""
+        from surrogata.operators.sampling import predictive_draws
+        pred = self.predict(df)
+        if dict(pred.dtypes)["mean"].startswith("array"):
+            pairs = pred.select("id", F.posexplode(F.arrays_zip("mean", "sd")).alias("task", "s"))
+            long = pairs.select("id", "task", "s.mean", "s.sd")
+        else:
+            long = pred.select("id", F.lit(0).alias("task"), "mean", "sd")
+        return predictive_draws(long, n, seed).select("id", "draw", F.col("task").alias("pos"), "value")
+
     @property
     def mode(self) -> str:
         """The mode of the fitted GP: all (exact), landmarks, kmeans or given."""

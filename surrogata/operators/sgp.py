@@ -470,6 +470,24 @@ def _fit(df: DataFrame, x: str, y: str, cfg: GPConfig, Z: np.ndarray | None) ->
     return state
 
 
+def at_hyperparameters(df: DataFrame, Z: np.ndarray, lengthscale: np.ndarray, s2: float, sigma2: float,
+                       x: str = "x", y: str = "y", kernel: str = "matern_5_2") -> GPState:
+    """GP-1 without a search: the state at given inducing points, lengthscales, scale and noise, from
+    one pass over the rows."""
+    single_thread_blas()
+    m = len(Z)
+    white = _whitener(get_kernel(kernel)(Z, Z, lengthscale))
+    st = _stats_pass(df, x, y, Z, [lengthscale], [white], kernel)
+    n, p = int(round(st["n"][0])), st["ysum"].size
+    ybar = st["ysum"] / n
+    yyc = st["yy"] - n * ybar ** 2
+    bw = st["b0"].reshape(m, p) - np.outer(st["k0"], ybar)
+    a, G, beta, gamma = _decompose(white, st["phi0"].reshape(m, m), bw)
+    bound = _grid_bound(a, gamma, yyc, n, np.array([s2]), np.array([sigma2]))[0, 0]
+    return GPState(kernel, Z, lengthscale, G, a, beta, np.full(p, s2), np.full(p, sigma2), ybar, n,
+                   float(bound.sum()), 1.0)
+
+
 def predict(df: DataFrame, state: GPState, x: str = "x", keep: list[str] | None = None,
             z: float = 2.0, scalar: bool | None = None) -> DataFrame:
     """GP-2: mean, sd (noise included), lower = mean - z sd, upper = mean + z sd.

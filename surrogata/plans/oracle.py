@@ -359,3 +359,36 @@ SELECT (SELECT count(*) FROM embeddings) AS n, 21600::BIGINT AS d, 64::BIGINT AS
        round(sum(v * w), 4) AS explained_variance, round(sum(v * w), 4) AS score_variance
 FROM v JOIN w USING (i)""",
 })
+
+
+def _matern(a: str, z: list[float]) -> str:
+    """Matern-5/2 between the line item of alias a and a point, lengthscales 20, 0.1, 0.1."""
+    r = "sqrt(5.0) * sqrt({})".format(" + ".join(
+        f"pow(({a}.x{i} - {v}) / {ls}, 2)" for i, (v, ls) in enumerate(zip(z, (20.0, 0.1, 0.1)))))
+    return f"(1 + {r} + pow({r}, 2) / 3) * exp(-{r})"
+
+
+ORACLE_SQL.update({
+    # K = kernel of the two points with 1e-6 on its diagonal, A = K + (s2 / sigma2) sum k k^T
+    "gp_fixed_lineitem": f"""
+WITH li AS (SELECT (l_orderkey * 8 + l_linenumber)::BIGINT AS id, l_quantity::DOUBLE AS x0, l_discount::DOUBLE AS x1,
+                   l_tax::DOUBLE AS x2, l_extendedprice::DOUBLE AS y FROM lineitem),
+pts AS (SELECT 10.0::DOUBLE AS x0, 0.05::DOUBLE AS x1, 0.04::DOUBLE AS x2),
+k AS (SELECT id, y, {_matern("li", [10.0, 0.05, 0.04])} AS k1, {_matern("li", [40.0, 0.02, 0.06])} AS k2 FROM li),
+m AS (SELECT avg(y) AS ybar FROM k),
+s AS (SELECT sum(k1 * k1) AS s11, sum(k1 * k2) AS s12, sum(k2 * k2) AS s22, sum(k1 * (y - ybar)) AS b1,
+             sum(k2 * (y - ybar)) AS b2, any_value(ybar) AS ybar FROM k, m),
+c AS (SELECT *, 1.000001 AS g, {_matern("pts", [40.0, 0.02, 0.06])} AS c, 1e9 / 4e8 AS r FROM s, pts),
+a AS (SELECT *, g + r * s11 AS a11, c + r * s12 AS a12, g + r * s22 AS a22 FROM c),
+w AS (SELECT *, a11 * a22 - a12 * a12 AS det, g * g - c * c AS kdet FROM a)
+SELECT id, round(ybar + r * (k1 * (a22 * b1 - a12 * b2) + k2 * (a11 * b2 - a12 * b1)) / det, 2) AS mean,
+       round(sqrt(1e9 * (1 - (g * k1 * k1 - 2 * c * k1 * k2 + g * k2 * k2) / kdet
+                           + (a22 * k1 * k1 - 2 * a12 * k1 * k2 + a11 * k2 * k2) / det) + 4e8), 2) AS sd
+FROM k, w""",
+
+    "jn2_align": f"""
+WITH r AS (SELECT min(l_returnflag) AS model, avg(l_quantity * p_retailprice / 1000.0) AS mean,
+                  avg(l_extendedprice / 1000.0) AS y
+           FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, l_linenumber)
+SELECT model, count(*) AS n, {R('avg(abs(mean - y))')} AS mae FROM r GROUP BY model""",
+})

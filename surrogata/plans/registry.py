@@ -407,7 +407,7 @@ def q_compare_models(spark, sf):
     from surrogata.operators import emulators
     prep = jobs.prepare(_design(spark, sf), 0.15, 42)
     rows = []
-    for i, name in enumerate((*jobs.SYNTHETIC_MODELS, "sparse_gp")):
+    for i, name in enumerate(("sparse_gp", "sparse_rgasp", "pca_rgasp", "dkl")):      # any number of rows
         pred, row = jobs.evaluate(emulators.make(name), prep)
         pred.unpersist()
         rows.append((row["name"], i, row["rmse"], row["train_time"], row["infer_time"], row["mode"]))
@@ -442,8 +442,6 @@ MODEL_QUERIES = {
     "kmeans_inducing": q_kmeans_inducing,
 }
 
-ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
-
 
 def q_kpca_embeddings(spark, sf):
     """ML-5/6: Nystrom kernel PCA (rbf) scores and ridge pre-images for every row."""
@@ -472,19 +470,19 @@ def q_mc_reconstruct_raster(spark, sf):
 
 
 def q_predictive_draws(spark, sf):
-    """SRT-5: 128 draws per test prediction of the flagship GP, aggregated per row."""
+    """SRT-5: 128 draws per test prediction of the sparse GP, aggregated per row."""
     from surrogata.operators.sampling import predictive_draws
-    pred = q_gp_rgasp_embeddings(spark, sf).withColumn("task", F.lit(0))
+    pred = q_gp_sparse_embeddings(spark, sf).withColumn("task", F.lit(0))
     d = predictive_draws(pred, 128)
     out = d.groupBy("id").agg(F.avg("value").alias("draw_mean"), F.stddev_pop("value").alias("draw_sd"))
     return out.join(pred.select("id", "mode"), "id")
 
 
 def q_gp_state_readout(spark, sf):
-    """GP-15: fitted parameters of the flagship GP as a table (one row per input / output)."""
+    """GP-15: fitted parameters of the sparse GP as a table (one row per input / output)."""
     from surrogata.operators import emulators
     prep = jobs.prepare(_design(spark, sf), 0.15, 42)
-    em = emulators.make("exact_gp").fit(prep.train)
+    em = emulators.make("sparse_gp", m=512, ard_rounds=3).fit(prep.train)
     st = em.state
     rows = [("lengthscale", i, float(v)) for i, v in enumerate(st.lengthscale)]
     rows += [("outputscale", t, float(v)) for t, v in enumerate(st.s2)]
@@ -500,7 +498,6 @@ MODEL_QUERIES.update({
     "predictive_draws": q_predictive_draws,
     "gp_state_readout": q_gp_state_readout,
 })
-ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
 
 
 # ---------------------------------------------------------------------------
@@ -547,38 +544,25 @@ def q_srt4_top_ratios(spark, sf):
     return w.orderBy(F.desc("ratio"), "pos").limit(10).select("k", "pos", "ratio")
 
 
-def _lengthscales(spark, sf):
-    d = _design(spark, sf)
-    st = stats.vector_stats(d, "x").select("pos", "n", (F.col("max") - F.col("min")).alias("rng"))
-    whole = Window.partitionBy()
-    dim = F.count("*").over(whole)
-    r = F.greatest(F.col("rng"), F.lit(1e-12))
-    return st.select(
-        "pos", "n", dim.alias("d"), r.alias("rng"),
-        (F.lit(3.0) * r / F.pow(F.col("n").cast("double"), 1.0 / dim)).alias("ls_range"),
-        (-F.log(F.lit(0.1)) / (r * dim)).alias("ls_lower"),
-        (F.avg(r).over(whole) / F.sqrt(dim.cast("double"))).alias("ls_mean_range"))
-
-
 def q_gp6_initial_lengthscale(spark, sf):
     """GP-6: 3*range/n^(1/d), its lower bound -ln(0.1)/(range*d), and mean(range)/sqrt(d)."""
-    ls = _lengthscales(spark, sf)
-    return ls.select(F.col("pos").cast("long").alias("pos"), rnd("ls_range").alias("ls_range"),
-                     rnd("ls_lower").alias("ls_lower"), rnd("ls_mean_range").alias("ls_mean_range"))
+    from surrogata.operators import sgp
+    n, lo, hi = sgp._range_stats(_design(spark, sf), "x")
+    first, second = (sgp.initial_lengthscale(n, lo, hi, how) for how in ("range", "mean_range"))
+    lower = -math.log(0.1) / (np.maximum(hi - lo, 1e-12) * lo.size)
+    rows = [(j, float(first[j]), float(lower[j]), float(second[j])) for j in range(lo.size)]      # d rows
+    ls = spark.createDataFrame(rows, "pos long, ls_range double, ls_lower double, ls_mean_range double")
+    return ls.select("pos", *[rnd(c).alias(c) for c in ("ls_range", "ls_lower", "ls_mean_range")])
 
 
 def q_gp4_5_priors(spark, sf):
     """GP-4 reference prior (weight 0.25, a = 0.2) and GP-5 log-normal prior at GP-6 lengthscales."""
-    ls = _lengthscales(spark, sf)
-    beta = F.lit(1.0) / F.col("ls_range")
-    agg = ls.agg(F.sum(F.log(beta)).alias("slb"), F.sum(beta).alias("sb"), F.first("n").alias("n"),
-                 F.first("d").alias("d"),
-                 F.sum(-F.log("ls_range") - F.lit(0.5 * math.log(2 * math.pi))
-                       - F.pow(F.log("ls_range") - F.log(F.col("d").cast("double")) / 2.0, 2) / 2.0).alias("lognormal"))
-    a = 0.2
-    b = F.pow(F.col("n").cast("double"), -1.0 / F.col("d")) * (F.lit(a) + F.col("d"))
-    return agg.select(rnd(F.lit(0.25) * (F.lit(a + 1.0) * F.col("slb") - b * F.col("sb"))).alias("reference_prior"),
-                      rnd("lognormal").alias("lognormal_prior"))
+    from surrogata.operators import sgp
+    n, lo, hi = sgp._range_stats(_design(spark, sf), "x")
+    ls = sgp.initial_lengthscale(n, lo, hi)
+    row = tuple(float(sgp.log_prior(ls, n, sgp.GPConfig(prior=p))) for p in ("reference", "lognormal"))
+    return spark.createDataFrame([row], "reference_prior double, lognormal_prior double").select(
+        rnd("reference_prior").alias("reference_prior"), rnd("lognormal_prior").alias("lognormal_prior"))
 
 
 def q_srt6_padding(spark, sf):
@@ -634,7 +618,6 @@ _MORE = {
     "src2_assemble": q_src2_assemble,
 }
 SQL_QUERIES.update(_MORE)
-ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
 
 
 def q_gp_trend_lineitem(spark, sf):
@@ -659,7 +642,6 @@ MODEL_QUERIES.update({
     "gp_trend_lineitem": q_gp_trend_lineitem,
     "pca_latent_range_embeddings": q_pca_latent_range_embeddings,
 })
-ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
 
 
 def q_dkl_embeddings(spark, sf):
@@ -667,18 +649,21 @@ def q_dkl_embeddings(spark, sf):
     return _eval(spark, sf, "dkl")
 
 
-def q_lmc_raster(spark, sf):
-    """ML-8/9/10: LMC multitask emulator sized from the output spectrum, k-means inducing points."""
-    from surrogata.operators.emulators import lmc_for, long_predictions
+def _raster_split(spark, sf):
     from surrogata.operators.split import train_test_split
-    df = _raster_vectors(spark, sf).persist()
-    train, test = train_test_split(df, "id", 0.15, 42)
-    em = lmc_for(train).fit(train)
-    return long_predictions(em.predict(test), test)
+    return train_test_split(_raster_vectors(spark, sf).persist(), "id", 0.15, 42)
+
+
+def q_lmc_raster(spark, sf):
+    """ML-8/9/10: LMC multitask emulator sized from the output spectrum, k-means inducing points, a
+    kernel of its own for each latent GP."""
+    from surrogata.operators.emulators import long_predictions
+    from surrogata.operators.vector import lmc_emulator
+    train, test = _raster_split(spark, sf)
+    return long_predictions(lmc_emulator(train).fit(train).predict(test), test)
 
 
 MODEL_QUERIES.update({"dkl_embeddings": q_dkl_embeddings, "lmc_raster": q_lmc_raster})
-ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
 
 
 # ---------------------------------------------------------------------------
@@ -739,7 +724,6 @@ SQL_QUERIES.update({
     "pca_score_norms": q_pca_score_norms,
     "trend_part": q_trend_part,
 })
-ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
 
 
 def q_pca_wide_invariants(spark, sf):
@@ -765,4 +749,51 @@ def q_pca_wide_embeddings(spark, sf):
 SQL_QUERIES["pca_wide_invariants"] = q_pca_wide_invariants
 MODEL_QUERIES["pca_wide_embeddings"] = q_pca_wide_embeddings
 
+
+def q_vector_kernel_raster(spark, sf):
+    """GP-10/12: outputs through PCA and kernel PCA, spread by pre-images of 100 latent draws."""
+    from surrogata.operators.emulators import long_predictions
+    from surrogata.operators.vector import KernelReducer, LinearReducer, VectorEmulator
+    train, test = _raster_split(spark, sf)
+    em = VectorEmulator(output_reducer=[LinearReducer(0.95), KernelReducer(4)]).fit(train)
+    return long_predictions(em.predict(test), test)
+
+
+def q_vector_samples_raster(spark, sf):
+    """GP-13: 64 samples of every test raster in its units, summarised by cell."""
+    from surrogata.operators.vector import LinearReducer, VectorEmulator
+    train, test = _raster_split(spark, sf)
+    draws = VectorEmulator(output_reducer=LinearReducer(0.95), kernels="own").fit(train).sample(test, 64)
+    return draws.groupBy("id", "pos").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+
+
+FIXED_GP = {"Z": [[10.0, 0.05, 0.04], [40.0, 0.02, 0.06]], "lengthscale": [20.0, 0.1, 0.1],
+            "s2": 1e9, "sigma2": 4e8}
+
+
+def q_gp_fixed_lineitem(spark, sf):
+    """GP-1/GP-2 at given hyper-parameters and two inducing points: sums over all line items, then a
+    prediction for each."""
+    from surrogata.operators import sgp
+    df = tb.lineitem_regression(spark, sf)
+    state = sgp.at_hyperparameters(df, np.array(FIXED_GP["Z"]), np.array(FIXED_GP["lengthscale"]),
+                                   FIXED_GP["s2"], FIXED_GP["sigma2"])
+    pred = sgp.predict(df.select("id", "x"), state)
+    return pred.select("id", F.round("mean", 2).alias("mean"), F.round("sd", 2).alias("sd"))
+
+
+def q_jn2_align(spark, sf):
+    """JN-2 / VAL-1: predictions aligned with the truth by key, no key left over on either side."""
+    p = tb.lineitem_predictions(spark, sf)
+    keys = ["id", "line"]
+    pred = p.groupBy(*keys).agg(F.avg("mean").alias("mean"))
+    truth = p.groupBy(*keys).agg(F.min("model").alias("model"), F.avg("y").alias("y"))
+    return metrics.align(pred, truth, keys).groupBy("model").agg(
+        F.count("*").alias("n"), rnd(F.avg(F.abs(F.col("mean") - F.col("y")))).alias("mae"))
+
+
+SQL_QUERIES.update({"gp_fixed_lineitem": q_gp_fixed_lineitem, "jn2_align": q_jn2_align})
+MODEL_QUERIES.update({"vector_kernel_raster": q_vector_kernel_raster,
+                      "vector_samples_raster": q_vector_samples_raster})
+
 ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
