@@ -68,12 +68,12 @@ class GPEmulator(Emulator):
         self.beta = None
 
     def fit(self, train: DataFrame) -> "GPEmulator":
-        data = train
-        if self.trend == "linear":                      # GP-16: residual GP on a linear trend
-            from surrogata.operators.trend import fit_linear_trend, subtract_trend
-            self.beta = fit_linear_trend(train, "x", "y")
-            data = subtract_trend(train.select("x", "y"), self.beta, "x", "y")
-        self.state = sgp.fit(data, "x", "y", self.cfg)
+        if self.trend == "linear":                      # GP-16: trend and kernel together
+            from surrogata.operators.universal import fit_universal
+            self.universal = fit_universal(train, "x", "y", self.cfg)
+            self.state, self.beta = self.universal.gp, self.universal.coefficients()
+        else:
+            self.state = sgp.fit(train, "x", "y", self.cfg)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -81,22 +81,8 @@ class GPEmulator(Emulator):
             raise RuntimeError("emulator is not fitted yet")
         if self.beta is None:
             return sgp.predict(df, self.state, "x", z=self.cfg.z)
-        return _add_trend(lambda d: sgp.predict(d, self.state, "x", z=self.cfg.z), df, self.beta)
-
-
-def _add_trend(pred_fn, df: DataFrame, beta) -> DataFrame:
-    """GP-16 prediction: trend(x) as a JVM column, the residual GP on top (narrow)."""
-    def output(j):
-        slopes = F.array(*[F.lit(float(v)) for v in beta[1:, j]])
-        return F.lit(float(beta[0, j])) + F.aggregate(F.zip_with(F.col("x"), slopes, lambda u, w: u * w),
-                                                      F.lit(0.0), lambda acc, v: acc + v)
-
-    pred = pred_fn(df.withColumn("_t", F.array(*[output(j) for j in range(beta.shape[1])])))
-    vector = dict(pred.dtypes)["mean"].startswith("array")
-    for c in ("mean", "lower", "upper"):
-        added = F.zip_with(c, "_t", lambda u, w: u + w) if vector else F.col(c) + F.col("_t")[0]
-        pred = pred.withColumn(c, added)
-    return pred.drop("_t")
+        from surrogata.operators.universal import predict_universal
+        return predict_universal(df, self.universal, "x", z=self.cfg.z)
 
 
 def exact_gp(**kw) -> GPEmulator:
