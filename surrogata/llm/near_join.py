@@ -71,7 +71,8 @@ def near_links(docs: DataFrame, text_col: str = "text", tag: str = "near") -> tu
     members = candidate_components(text.mapInArrow(_keys, "key long, node long"), tag)
     bits = spark.sparkContext.broadcast(needed_bits(members))
     own = text.mapInArrow(_texts(bits), "node long, text string")
-    links = verified_links(members, own, shingle_list, ROWS * BANDS, THRESHOLD, tag)
+    links = verified_links(members, own, shingle_list, ROWS * BANDS, THRESHOLD, tag)      # written
+    bits.destroy()
     return linked_components(links, tag), links.groupBy("node").agg(F.sum("links").alias("links"))
 
 

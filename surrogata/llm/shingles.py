@@ -17,6 +17,7 @@ STEP_BYTES = 1 << 19       # text handled at once
 _FOLD_TABLE = np.frombuffer(_FOLD, np.uint8)
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                    0xA0761D6478BD642F], np.uint64)
+_CHAR = np.random.default_rng(20240301).integers(0, 1 << 64, CHARS, np.uint64) | np.uint64(1)
 
 
 def text_slices(column: pa.Array):
@@ -85,14 +86,21 @@ def line_prints(texts: list[str | None]) -> np.ndarray:
 
 def line_shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As word_shingles for lines: all runs of CHARS characters of each, the whole of a shorter
-    one, none of an empty one; the fingerprint is of the characters."""
+    one, none of an empty one; the fingerprint is of the characters.  A run's hash is a sum of its
+    characters times independent random numbers."""
     codes, start, length = _joined(texts)
     n = np.where(length >= CHARS, length - CHARS + 1, np.minimum(length, 1))
     bounds = np.concatenate([[0], np.cumsum(n)])
+    value = codes.astype(np.uint64) + np.uint64(1)
+    runs = np.zeros(len(codes) + 1, np.uint64)
+    full = max(0, len(codes) - CHARS + 1)
+    for k in range(CHARS):
+        runs[:full] += value[k:full + k] * _CHAR[k]
+    for i in np.flatnonzero((length > 0) & (length < CHARS)).tolist():
+        own = value[start[i]:start[i] + length[i]]
+        runs[start[i]] = (own * _CHAR[:len(own)]).sum() + np.uint64(len(own))
     first = np.repeat(start - bounds[:-1], n) + np.arange(int(n.sum()))
-    last = first + np.repeat(np.minimum(length, CHARS), n)
-    return (span_hashes(codes, first, last), bounds,
-            span_hashes(codes, start, start + length).view(np.int64))
+    return mix(runs[first]), bounds, span_hashes(codes, start, start + length).view(np.int64)
 
 
 @lru_cache(maxsize=4)

@@ -22,6 +22,7 @@ from .near_join import _prints, near_links
 
 TRAIN_DOCS = 32768         # labelled documents that the lexicon and the weights are fitted on
 LONGEST_STEM, LEAST_STEM = 7, 3
+HELD_ENTRIES = 1 << 17     # entries that a task counts before it hands the counts on
 LEAST_DOCS = 4             # different toxic texts that a lexicon entry must have
 LIFT = 3.0                 # times the usual share of toxic texts that an entry must have
 HEAVIEST = 6.0             # weight, as log odds, of an entry that no clean document has
@@ -175,7 +176,7 @@ def scores(marks, weights: np.ndarray) -> np.ndarray:
 
 def _entry_counts(batches):
     """(text, label, class) -> (entry, class, toxic, clean): documents that have a word or stem, summed
-    per task where the class is null; for a class, once a batch."""
+    over a task's rows where the class is null, HELD_ENTRIES at a time; for a class, once a batch."""
     toxic, clean = Counter(), Counter()
 
     def rows(entries, node, a, b):
@@ -183,7 +184,16 @@ def _entry_counts(batches):
             [pa.array(entries, pa.string()), pa.array(node, pa.int64()), pa.array(a, pa.int64()),
              pa.array(b, pa.int64())], ["entry", "class", "toxic", "clean"])
 
+    def counted():
+        entries = list(toxic | clean)
+        made = rows(entries, [None] * len(entries), [toxic[e] for e in entries], [clean[e] for e in entries])
+        toxic.clear()
+        clean.clear()
+        return made
+
     for x in batches:
+        if len(toxic) + len(clean) > HELD_ENTRIES:
+            yield counted()
         shared: dict[tuple[int, int], set[str]] = {}
         for text, label, node in zip(*(c.to_pylist() for c in x.columns)):
             own = {e for w in set(_TOKEN.findall((text or "").lower())) for e in prefixes(w)}
@@ -194,8 +204,7 @@ def _entry_counts(batches):
         for (node, label), own in shared.items():
             n = len(own)
             yield rows(list(own), [node] * n, [label] * n, [1 - label] * n)
-    entries = list(toxic | clean)
-    yield rows(entries, [None] * len(entries), [toxic[e] for e in entries], [clean[e] for e in entries])
+    yield counted()
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
