@@ -13,7 +13,7 @@ from .tokens import mix, span_hashes
 
 WORDS = 5                  # words in a shingle of a document
 CHARS = 8                  # characters in a shingle of a line
-STEP_BYTES = 1 << 19       # text handled at once
+STEP_BYTES = 1 << 18       # text handled at once
 _FOLD_TABLE = np.frombuffer(_FOLD, np.uint8)
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                    0xA0761D6478BD642F], np.uint64)

@@ -19,7 +19,7 @@ from itertools import chain
 
 import numpy as np
 
-CHUNK_CHARS = 1 << 19          # code points handled at once
+CHUNK_CHARS = 1 << 18          # code points handled at once
 MAX_KNOWN = 1 << 21            # pre-tokens a worker remembers
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 # White_Space code points (fixed values of the Unicode standard)
@@ -78,7 +78,7 @@ def _powers(n: int, base: int) -> tuple[dict[int, tuple[np.ndarray, ...]], np.nd
 
 
 def powers(n: int, base: int) -> tuple[dict[int, tuple[np.ndarray, ...]], np.ndarray]:
-    return _powers(1 << max(20, int(n).bit_length()), base)
+    return _powers(1 << max(19, int(n).bit_length()), base)
 
 
 def _sums(codes: np.ndarray, pieces: dict[int, tuple[np.ndarray, ...]]):

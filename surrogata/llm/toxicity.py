@@ -176,7 +176,7 @@ def scores(marks, weights: np.ndarray) -> np.ndarray:
 
 def _entry_counts(batches):
     """(text, label, class) -> (entry, class, toxic, clean): documents that have a word or stem, summed
-    over a task's rows where the class is null, HELD_ENTRIES at a time; for a class, once a batch."""
+    over a task's rows where the class is null, HELD_ENTRIES at a time; for a class, once every 128 rows."""
     toxic, clean = Counter(), Counter()
 
     def rows(entries, node, a, b):
@@ -191,7 +191,7 @@ def _entry_counts(batches):
         clean.clear()
         return made
 
-    for x in batches:
+    for x in (b.slice(k, 128) for b in batches for k in range(0, b.num_rows, 128)):
         if len(toxic) + len(clean) > HELD_ENTRIES:
             yield counted()
         shared: dict[tuple[int, int], set[str]] = {}
