@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +87,35 @@ def evaluate(emulator, prep: Prepared) -> tuple[DataFrame, dict]:
     return pred, row
 
 
+def evaluate_all(emulators: list, prep: Prepared, at_once: int = 4) -> list[tuple[DataFrame, dict]]:
+    """JOB-2 for independent models, several at a time, in the order given.
+
+    Every model runs in a driver thread of its own with its own scheduler pool and job group, so with
+    ``spark.scheduler.mode=FAIR`` the models share the executors evenly (under FIFO a model takes what
+    the one before leaves), and a model that fails ends the others by cancelling their groups.
+    """
+    spark = prep.train.sparkSession
+    sc, groups = spark.sparkContext, [f"model-{uuid.uuid4().hex[:8]}-{e.name}" for e in emulators]
+
+    def one(emulator, group):
+        sc.setLocalProperty("spark.scheduler.pool", group)
+        sc.setJobGroup(group, f"evaluate {emulator.name}", interruptOnCancel=False)
+        try:
+            return evaluate(emulator, prep)
+        finally:
+            sc.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(one), e, g) for e, g in zip(emulators, groups)]
+        try:
+            return [r.result() for r in running]
+        except BaseException:
+            for r, g in zip(running, groups):
+                r.cancel()
+                sc.cancelJobGroup(g)
+            raise
+
+
 DOCUMENT_ROW_LIMIT = 1_000_000
 
 
@@ -155,14 +186,31 @@ def chart_series(pred: DataFrame, threshold: float = 0.5) -> dict[str, DataFrame
     return {"parity": parity, "residuals": resid, "histogram": maps.histogram(pred, "y")}
 
 
+def rmse_against_time(comparison: DataFrame) -> DataFrame:
+    """JOB-6: the points (model, total time, RMSE) of the comparison chart, and whether no other model
+    is both faster and more accurate."""
+    points = comparison.select("model", (F.col("train_time") + F.col("infer_time")).alias("time"), "rmse")
+    best_so_far = Window.orderBy("time", "rmse").rowsBetween(Window.unboundedPreceding, -1)      # a row a model
+    return points.withColumn("frontier", F.coalesce(F.col("rmse") < F.min("rmse").over(best_so_far), F.lit(True)))
+
+
+def cumulative_variance(spectrum: DataFrame, share: float = 0.95) -> DataFrame:
+    """JOB-6: (k, ratio, cum_ratio, above) of a component spectrum (k, variance); ``above`` marks the
+    components from the first whose cumulative share exceeds ``share`` on."""
+    from surrogata.operators.windows import cumulative_ratio
+    return cumulative_ratio(spectrum, "k", "variance").select("k", "ratio", "cum_ratio",
+                                                              (F.col("cum_ratio") > share).alias("above"))
+
+
 # Model sets of the two case-study kinds.
 SYNTHETIC_MODELS = ("exact_gp", "dkl", "rgasp", "pca_rgasp")
 FILE_MODELS = ("exact_gp", "dkl", "pca_rgasp")
 
 
 def case_study(spark, name: str, data_dir: str | None = None, models: tuple | None = None,
-               test_size: float = 0.15, seed: int = 42) -> DataFrame:
-    """JOB-4: catalog -> prepare -> evaluate every model -> comparison table."""
+               test_size: float = 0.15, seed: int = 42, at_once: int = 4) -> DataFrame:
+    """JOB-4: catalog -> prepare -> evaluate every model, ``at_once`` of them side by side ->
+    comparison table."""
     from surrogata.operators import emulators
     from surrogata.sources import catalog
     df = catalog.load(spark, name, data_dir, seed)
@@ -170,12 +218,10 @@ def case_study(spark, name: str, data_dir: str | None = None, models: tuple | No
         models = SYNTHETIC_MODELS if catalog.CATALOG[name]["source"] == "" else FILE_MODELS
     # every model reads the prepared store: write it once below the shared
     # checkpoint folder (a written table survives executor loss, cuts lineage)
-    import uuid
     from surrogata.session import scratch_path
     prep = prepare(df, test_size, seed, persist_to=scratch_path(spark, f"case-{name}-{uuid.uuid4().hex[:8]}"))
     rows = []
-    for i, m in enumerate(models):
-        pred, row = evaluate(emulators.make(m), prep)
+    for i, (pred, row) in enumerate(evaluate_all([emulators.make(m) for m in models], prep, at_once)):
         pred.unpersist()
         rows.append((row["name"], i, row["rmse"], row["train_time"], row["infer_time"], row["mode"]))
     res = spark.createDataFrame(rows, "name string, ordinal int, rmse double, train_time double, "
