@@ -392,3 +392,29 @@ WITH r AS (SELECT min(l_returnflag) AS model, avg(l_quantity * p_retailprice / 1
            FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, l_linenumber)
 SELECT model, count(*) AS n, {R('avg(abs(mean - y))')} AS mae FROM r GROUP BY model""",
 })
+
+ORACLE_SQL.update({
+    "vae_embeddings": f"""WITH {DESIGN},
+h AS (SELECT el.id, u.i, greatest(sum(el.v * cos(1 + 3 * u.i + 5 * (el.i - 1)) / 8), 0) AS h
+      FROM el, range(8) u(i) GROUP BY el.id, u.i),
+l AS (SELECT id, k, sum(h * cos(2 + 3 * k + 5 * i) / sqrt(8)) AS mean, sum(h * cos(3 + 3 * k + 5 * i) / sqrt(8)) AS logvar
+      FROM h, range(2) w(k) GROUP BY id, k),
+z AS (SELECT *, mean + exp(logvar / 2) * {_normal("id, k, 42")} AS z FROM l),
+g AS (SELECT id, i, greatest(sum(z * cos(4 + 3 * i + 5 * k) / sqrt(2)), 0) AS g FROM z, range(8) u(i) GROUP BY id, i),
+x AS (SELECT id, sum(g * (SELECT sum(cos(5 + 3 * j + 5 * g.i)) FROM range(64) t(j)) / sqrt(8)) AS x FROM g GROUP BY id)
+SELECT z.id, {R('max(CASE WHEN k = 0 THEN mean END)')} AS mean0, {R('max(CASE WHEN k = 1 THEN logvar END)')} AS logvar1,
+       {R('max(CASE WHEN k = 0 THEN z END)')} AS z0, {R('max(CASE WHEN k = 1 THEN z END)')} AS z1,
+       {R('max(x.x)')} AS x_hat_sum
+FROM z JOIN x ON x.id = z.id GROUP BY z.id""",
+
+    "src10_results": f"""WITH {PRED}
+SELECT model, task::BIGINT AS task, count(*) AS n, {R('avg(mean)')} AS mean, {R('avg(y)')} AS y
+FROM pi WHERE model IN ('A', 'R') GROUP BY model, task""",
+
+    "job6_frontier": f"""
+WITH c AS (SELECT o_orderpriority AS model, arg_max(o_totalprice / 1000.0, o_orderkey) AS rmse,
+                  arg_max(o_custkey / 100.0, o_orderkey) + arg_max(o_orderkey % 97 / 1000.0, o_orderkey) AS time
+           FROM orders GROUP BY 1),
+f AS (SELECT *, min(rmse) OVER (ORDER BY time, rmse ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM c)
+SELECT model, {R('time')} AS time, {R('rmse')} AS rmse, coalesce(rmse < best, TRUE) AS frontier FROM f""",
+})

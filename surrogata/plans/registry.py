@@ -796,4 +796,50 @@ SQL_QUERIES.update({"gp_fixed_lineitem": q_gp_fixed_lineitem, "jn2_align": q_jn2
 MODEL_QUERIES.update({"vector_kernel_raster": q_vector_kernel_raster,
                       "vector_samples_raster": q_vector_samples_raster})
 
+
+def _fixed_weights(part: int, n_out: int, n_in: int) -> np.ndarray:
+    """cos(part + 3 i + 5 j) / sqrt(n_in)"""
+    i, j = np.meshgrid(np.arange(n_out), np.arange(n_in), indexing="ij")
+    return np.cos(part + 3 * i + 5 * j) / math.sqrt(n_in)
+
+
+def q_vae_embeddings(spark, sf):
+    """ML-12: a variational encoder 64-8-2 and decoder 2-8-64 with weights given by a formula."""
+    from surrogata.operators.encoder import Network, layer_rows, layer_table
+    def linear(part, n_out, n_in):
+        return ("linear", _fixed_weights(part, n_out, n_in), np.zeros(n_out))
+    net = Network(layer_table(spark, [
+        *layer_rows("encoder", [linear(1, 8, 64), ("relu",)]), *layer_rows("mean", [linear(2, 2, 8)]),
+        *layer_rows("logvar", [linear(3, 2, 8)]), *layer_rows("decoder", [linear(4, 8, 2), ("relu",), linear(5, 64, 8)])]))
+    out = net.decode(net.encode(_design(spark, sf).select("id", "x")))
+    total = F.aggregate("x_hat", F.lit(0.0), lambda a, v: a + v)
+    return out.select("id", rnd(F.col("mean")[0]).alias("mean0"), rnd(F.col("logvar")[1]).alias("logvar1"),
+                      rnd(F.col("z")[0]).alias("z0"), rnd(F.col("z")[1]).alias("z1"), rnd(total).alias("x_hat_sum"))
+
+
+def q_src10_results(spark, sf):
+    """SRC-10/11, SET-2: predictions of three models stored in long form by model, one of them written
+    again; read back by partition."""
+    import uuid
+    from surrogata.session import scratch_path
+    from surrogata.sources.store import read_results, write_results
+    root = scratch_path(spark, f"results-{uuid.uuid4().hex}")
+    p = tb.lineitem_predictions(spark, sf)
+    row = {"rmse": 0.0, "train_time": 0.0, "infer_time": 0.0, "mode": "given"}
+    for model, rows in (("R", p), ("A", p.where("model = 'A'")), ("N", p.where("model = 'N'")),
+                        ("R", p.where("model = 'R'"))):                            # the second R wins
+        write_results(rows.drop("model"), row | {"name": model}, root)
+    return read_results(spark, root, ["A", "R"])[0].groupBy("model", F.col("task").cast("long").alias("task")).agg(
+        F.count("*").alias("n"), rnd(F.avg("mean")).alias("mean"), rnd(F.avg("y")).alias("y"))
+
+
+def q_job6_frontier(spark, sf):
+    """JOB-6: RMSE against time of the compared models, and those that no other beats in both."""
+    out = jobs.rmse_against_time(jobs.compare(_orders_results(spark, sf)))
+    return out.select("model", rnd("time").alias("time"), rnd("rmse").alias("rmse"), "frontier")
+
+
+SQL_QUERIES.update({"vae_embeddings": q_vae_embeddings, "src10_results": q_src10_results,
+                    "job6_frontier": q_job6_frontier})
+
 ALL_QUERIES = {**SQL_QUERIES, **MODEL_QUERIES}
