@@ -227,10 +227,10 @@ class PCAOutputGP(Emulator):
 class DeepKernelGP(Emulator):
     """ML-11 + GP-1 (two stages): MLP feature map trained data-parallel, GP on its features."""
 
-    def __init__(self, hidden=(1000, 500, 50), latent: int = 2, epochs: int = 50, lr: float = 0.01,
-                 cfg: sgp.GPConfig | None = None, name: str = "dkl"):
+    def __init__(self, hidden=(1000, 500, 50), latent: int = 2, epochs: int = 200, lr: float = 0.01,
+                 local_steps: int = 10, cfg: sgp.GPConfig | None = None, name: str = "dkl"):
         self.name = name
-        self.hidden, self.latent, self.epochs, self.lr = hidden, latent, epochs, lr
+        self.hidden, self.latent, self.epochs, self.lr, self.local_steps = hidden, latent, epochs, lr, local_steps
         # ARD over the latent features, as the original's kernel
         self.cfg = cfg or sgp.GPConfig(ard_rounds=3, ard_groups=latent)
 
@@ -239,7 +239,8 @@ class DeepKernelGP(Emulator):
         from surrogata.operators.stats import vector_stats
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self.params, self.losses = fm.train(train, "x", "y", self.hidden, self.latent, self.epochs, self.lr)
+            self.params, self.losses = fm.train(train, "x", "y", self.hidden, self.latent, self.epochs, self.lr,
+                                                local_steps=self.local_steps)
             raw = fm.map_features(train.select("id", "x", "y"), self.params, np.zeros(self.latent),
                                   np.ones(self.latent) * 2.0, keep=["id", "y"])
             # undo the placeholder scaling (2(H-0)/2 - 1 = H - 1) to get the raw ranges
