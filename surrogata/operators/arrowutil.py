@@ -28,6 +28,20 @@ def list_to_matrix(col) -> np.ndarray:
     return vals.astype(np.float64, copy=False).reshape(n, d)
 
 
+#: Numbers that a block of rows holds (8 MB).
+BLOCK_NUMBERS = 1 << 20
+
+
+def matrix_blocks(col, numbers: int = BLOCK_NUMBERS):
+    """``list_to_matrix`` of runs of rows, each of at most so many numbers (one row at least)."""
+    low = 0
+    while low < len(col):
+        width = len(col[low]) if col[low].is_valid else 1
+        rows = max(1, numbers // max(1, width))
+        yield list_to_matrix(col.slice(low, rows))
+        low += rows
+
+
 def vector_or_scalar(col) -> np.ndarray:
     """A scalar double column becomes (n, 1); a list column (n, p)."""
     if isinstance(col, pa.ChunkedArray):

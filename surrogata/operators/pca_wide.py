@@ -8,7 +8,8 @@ Two ways, by the shape of the data; both give the count, components and scores o
 * otherwise a block range finder: an orthonormal basis that grows by a block of directions at a
   time and is never started anew.  Each pass gives ``X^T X Q`` as sums and the R factor of the tall
   matrix ``X Q`` through a tree of small QR factors, whose singular values keep full precision.
-  Passes go on until the variances of the wanted components settle.
+  Passes go on until the variances of the wanted components settle.  Every pass reads the rows from
+  their source: n x d numbers are neither kept nor shuffled, and a task holds a block of rows.
 
 Counts by share come from the standardised data, components from the centred data, as for narrow
 inputs; where both are the same, one basis serves for both.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surrogata.operators.arrowutil import list_to_matrix
+from surrogata.operators.arrowutil import list_to_matrix, matrix_blocks
 from surrogata.operators.blas import single_thread_blas
 from surrogata.operators.partials import PARTIAL_SCHEMA, emit, num_partitions, reduce_partials
 
@@ -35,29 +36,31 @@ SETTLED = 1e-9             # change of the shares, between two passes, that ends
 
 
 def column_moments(df: DataFrame, x: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """n, mean and population standard deviation of every position, in two passes of partial sums."""
+    """n, mean and population standard deviation of every position, in one pass of partial sums of the
+    differences to a row, which keep their digits where the mean is large."""
     sel = df.select(x)
-    parts = num_partitions(sel)
-
-    def run(centre):
-        def fn(batches):
-            n, s = 0, None
-            for rb in batches:
-                if rb.num_rows:
-                    X = list_to_matrix(rb.column(0))
-                    v = X.sum(axis=0) if centre is None else ((X - centre) ** 2).sum(axis=0)
-                    s = v if s is None else s + v
-                    n += len(X)
-            if n:
-                yield emit({"n": np.array([n]), "s": s})
-        return reduce_partials(sel.mapInArrow(fn, PARTIAL_SCHEMA), parts)
-
-    first = run(None)
-    if "n" not in first:
+    row = sel.first()
+    if row is None:
         raise ValueError("PCA input is empty")
-    n = int(round(first["n"][0]))
-    mean = first["s"] / n
-    return n, mean, np.sqrt(run(mean)["s"] / n)
+    origin = np.array(row[0], float)
+    origin[~np.isfinite(origin)] = 0.0
+
+    def fn(batches):
+        n, s, ss = 0, np.zeros(origin.size), np.zeros(origin.size)
+        for rb in batches:
+            for X in matrix_blocks(rb.column(0)):
+                X = X - origin
+                s += X.sum(axis=0)
+                X *= X
+                ss += X.sum(axis=0)
+                n += len(X)
+        if n:
+            yield emit({"n": np.array([n]), "s": s, "ss": ss})
+
+    st = reduce_partials(sel.mapInArrow(fn, PARTIAL_SCHEMA), num_partitions(sel))
+    n = int(round(st["n"][0]))
+    shift = st["s"] / n
+    return n, origin + shift, np.sqrt(np.maximum(st["ss"] / n - shift ** 2, 0.0))
 
 
 def _columns_settled(mean: np.ndarray, sd: np.ndarray, tolerance: float = 0.01) -> bool:
@@ -227,8 +230,9 @@ class RowSpace:
             single_thread_blas()
             acc, r = np.zeros((d, l)), np.zeros((0, l))
             for rb in batches:
-                if rb.num_rows:
-                    X = (list_to_matrix(rb.column(0)) - mean) / scale
+                for X in matrix_blocks(rb.column(0)):
+                    X = X - mean
+                    X /= scale
                     Y = X @ shared.value
                     acc += X.T @ Y
                     r = np.linalg.qr(np.vstack([r, Y]), mode="r")

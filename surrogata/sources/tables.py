@@ -10,10 +10,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surrogata.functions.synthetic import synthetic_response, to_unit_interval
+from surrogata.operators.arrowutil import BLOCK_NUMBERS
+from surrogata.operators.partials import ensure_parallelism
 
 RASTER_ROWS = 7
 RASTER_COLS = 12
@@ -34,12 +39,32 @@ WIDE = 21_600              # inputs of the wide design
 
 
 def wide_design(spark: SparkSession, sf_dir: str, width: int = WIDE) -> DataFrame:
-    """A wide design: position j holds the embedding's value j mod 64 times 1 + cos(j)/2."""
-    e = table(spark, sf_dir, "embeddings")
-    at = F.sequence(F.lit(0), F.lit(width - 1))
-    x = F.transform(at, lambda j: F.get("embedding", j % F.size("embedding")).cast("double")
-                    * (1.0 + F.cos(j.cast("double")) / 2.0))
-    return e.select(F.col("vec_id").cast("long").alias("id"), x.alias("x"))
+    """A wide design: position j holds the embedding's value j mod 64 times 1 + cos(j)/2.  The narrow
+    rows are spread over the tasks, each of which widens a few at a time."""
+    e = ensure_parallelism(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"),
+                                                                     "embedding"))
+    j = F.col("id").cast("double")
+    weights = spark.range(width).select("id", (1.0 + F.cos(j) / 2.0).alias("w")).toArrow().sort_by("id")
+    weights = weights.column("w").to_numpy()
+
+    def widen(batches):
+        rows = max(1, BLOCK_NUMBERS // width)
+        places = np.arange(width)
+        for rb in batches:
+            for low in range(0, rb.num_rows, rows):
+                ids, col = (rb.column(k).slice(low, rows) for k in (0, 1))
+                size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+                start = np.cumsum(size) - size
+                if (size[col.is_valid().to_numpy(zero_copy_only=False)] == 0).any():
+                    raise ZeroDivisionError("an empty embedding can't be widened")
+                at = start[:, None] + places % np.maximum(size, 1)[:, None]
+                gone = np.broadcast_to((size == 0)[:, None], at.shape).ravel()
+                own = col.flatten().cast(pa.float64()).take(pa.array(at.ravel(), mask=gone))
+                x = pc.multiply(own, pa.array(np.tile(weights, len(col))))
+                bounds = pa.array(np.arange(0, width * len(col) + 1, width, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(bounds, x)], names=["id", "x"])
+
+    return e.mapInArrow(widen, "id long, x array<double>")
 
 
 def raster_cells(spark: SparkSession, sf_dir: str, measure: str = "discount") -> DataFrame:

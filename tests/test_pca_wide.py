@@ -101,3 +101,47 @@ def test_r_factor_of_a_tall_matrix(spark):
     Y = (X - X.mean(0)) @ basis
     np.testing.assert_allclose(np.abs(r), np.abs(np.linalg.qr(Y, mode="r")), atol=1e-9)
     np.testing.assert_allclose(z, (X - X.mean(0)).T @ Y, atol=1e-8)
+
+
+def test_rows_of_a_large_wide_input_are_not_kept(spark, monkeypatch):
+    X = mixed(60, 40, 6, 0.1, 3)
+    seen = []
+    whole = pca_wide.fit_range
+    monkeypatch.setattr(pca, "GRAM_LIMIT", 10)
+    monkeypatch.setattr(pca_wide, "DUAL_LIMIT", 5)
+    monkeypatch.setattr(pca_wide, "BLOCK", 8)
+    monkeypatch.setattr(pca_wide, "fit_range", lambda df, *a: seen.append(df.storageLevel) or whole(df, *a))
+    pca.fit_pca(frame(spark, X, 2), "x", 3)
+    assert len(seen) == 1 and not seen[0].useDisk and not seen[0].useMemory
+
+
+def test_moments_keep_their_digits_beside_a_large_mean(spark):
+    X = np.random.default_rng(5).standard_normal((50, 6)) * [1, 1e-3, 5, 0, 2, 1] + [1e8, 1e5, 0, 0.1, -3e7, 4]
+    n, mean, sd = pca_wide.column_moments(frame(spark, X), "x")
+    assert n == 50 and sd[3] == 0.0
+    np.testing.assert_allclose(mean, X.mean(axis=0), rtol=1e-12)
+    np.testing.assert_allclose(sd[:3], X.std(axis=0)[:3], rtol=1e-6)
+
+
+def test_wide_design_has_the_rows_of_its_formula(spark, tmp_path):
+    from surrogata.sources import tables
+    given = [[1.0, 2.0, 3.0], [4.0, None, 6.0], None, [7.0, 8.0]]
+    spark.createDataFrame(list(enumerate(given)), "vec_id int, embedding array<float>") \
+        .write.parquet(str(tmp_path / "embeddings.parquet"))
+    made = {r["id"]: r["x"] for r in tables.wide_design(spark, str(tmp_path), 7).collect()}
+    w = 1.0 + np.cos(np.arange(7.0)) / 2.0
+    assert sorted(made) == [0, 1, 2, 3]
+    for i, v in enumerate(given):
+        own = [None] * 7 if v is None else [v[j % len(v)] for j in range(7)]
+        assert [a is None for a in made[i]] == [a is None for a in own]
+        np.testing.assert_allclose([a for a in made[i] if a is not None],
+                                   [a * b for a, b in zip(own, w) if a is not None], rtol=1e-15)
+
+
+def test_blocks_of_rows():
+    import pyarrow as pa
+    from surrogata.operators.arrowutil import matrix_blocks
+    col = pa.array([[float(i), 1.0, 2.0] for i in range(10)])
+    sizes = [len(b) for b in matrix_blocks(col.slice(1), 9)]
+    assert sizes == [3, 3, 3]
+    assert [b[0, 0] for b in matrix_blocks(col.slice(1), 9)] == [1.0, 4.0, 7.0]
