@@ -12,10 +12,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surrogata.functions.rand import hash_normal
+from surrogata.operators.arrowutil import list_to_matrix, matrix_to_list
 from surrogata.operators.blas import single_thread_blas
 from surrogata.operators.pca import _map_vectors
 
@@ -96,13 +99,33 @@ class Network:
 
         return _map_vectors(df, col, out, run, keep=[c for c in df.columns if c != out])
 
+    def _moments(self, df: DataFrame, x: str) -> DataFrame:
+        """The rows with ``mean`` and ``logvar``, all three parts in one pass through Python."""
+        shared = self.shared
+        keep = [c for c in df.columns if c not in ("mean", "logvar")]
+        sel = df.select(*keep, F.col(x).alias("_vector"))
+        vector = T.ArrayType(T.DoubleType())
+        schema = T.StructType([*sel.schema.fields[:len(keep)], T.StructField("mean", vector),
+                               T.StructField("logvar", vector)])
+        names = schema.names
+
+        def fn(batches):
+            single_thread_blas()
+            parts = shared.value
+            for rb in batches:
+                if rb.num_rows:
+                    hidden = _apply(parts["encoder"], list_to_matrix(rb.column(len(keep))))
+                    own = [matrix_to_list(_apply(parts[p], hidden)) for p in ("mean", "logvar")]
+                    yield pa.RecordBatch.from_arrays([rb.column(i) for i in range(len(keep))] + own, names=names)
+
+        return sel.mapInArrow(fn, schema)
+
     def encode(self, df: DataFrame, x: str = "x", out: str = "z", id_col: str = "id", seed: int = 42) -> DataFrame:
         """The rows with their latent vector; a variational encoder adds ``mean`` and ``logvar`` columns
         and draws ``mean + exp(logvar / 2) * e``, e a normal of (id, position, seed)."""
-        hidden = self._part(df, "encoder", x, "_hidden")
         if not self.variational:
-            return hidden.withColumnRenamed("_hidden", out)
-        both = self._part(self._part(hidden, "mean", "_hidden", "mean"), "logvar", "_hidden", "logvar").drop("_hidden")
+            return self._part(df, "encoder", x, "_hidden").withColumnRenamed("_hidden", out)
+        both = self._moments(df, x)
         noise = F.transform(F.sequence(F.lit(0), F.size("mean") - 1),
                             lambda j: hash_normal(F.col(id_col), j, F.lit(seed)))
         spread = F.zip_with("logvar", noise, lambda v, e: F.exp(v / 2.0) * e)
