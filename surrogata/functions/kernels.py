@@ -19,14 +19,22 @@ def scaled_sqdist(A: np.ndarray, B: np.ndarray, lengthscale: np.ndarray) -> np.n
     b = B / lengthscale
     aa = np.einsum("ij,ij->i", a, a)[:, None]
     bb = np.einsum("ij,ij->i", b, b)[None, :]
-    d2 = aa + bb - 2.0 * (a @ b.T)
+    d2 = a @ b.T
+    d2 *= 2.0
+    np.subtract(aa + bb, d2, out=d2)
     np.maximum(d2, 0.0, out=d2)
     return d2
 
 
 def _matern52(sq):
-    s = SQRT5 * np.sqrt(sq)
-    return (1.0 + s + s * s / 3.0) * np.exp(-s)
+    s = np.sqrt(sq)
+    s *= SQRT5
+    out = s * s
+    out /= 3.0
+    out += 1.0 + s
+    np.negative(s, out=s)
+    out *= np.exp(s, out=s)
+    return out
 
 
 def _matern32(sq):

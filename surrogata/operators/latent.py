@@ -170,13 +170,15 @@ def predict_each(df: DataFrame, states: list["sgp.GPState"], x: str = "x", keep:
                 continue
             X = list_to_matrix(rb.column(len(keep)))
             mean, sd = np.empty((len(X), p)), np.empty((len(X), p))
-            for own in groups:
-                first = states[own[0]]
-                Q = get_kernel(first.kernel)(X, first.Z, first.lengthscale) @ first.G.T
-                for t in own:
-                    (W, U), s = weights[t], states[t]
-                    mean[:, t] = s.ybar[0] + (Q @ W)[:, 0]
-                    sd[:, t] = np.sqrt(s.s2[0] * np.clip(1.0 - (Q * Q) @ U, 0.0, None)[:, 0] + s.sigma2[0])
+            for low in range(0, len(X), sgp.STATS_ROWS):
+                rows = slice(low, low + sgp.STATS_ROWS)
+                for own in groups:
+                    first = states[own[0]]
+                    Q = get_kernel(first.kernel)(X[rows], first.Z, first.lengthscale) @ first.G.T
+                    for t in own:
+                        (W, U), s = weights[t], states[t]
+                        mean[rows, t] = s.ybar[0] + (Q @ W)[:, 0]
+                        sd[rows, t] = np.sqrt(s.s2[0] * np.clip(1.0 - (Q * Q) @ U, 0.0, None)[:, 0] + s.sigma2[0])
             yield pa.RecordBatch.from_arrays(
                 [rb.column(i) for i in range(len(keep))]
                 + [matrix_to_list(M) for M in (mean, sd, mean - zz * sd, mean + zz * sd)], names=schema.names)

@@ -51,6 +51,10 @@ EIG_FLOOR = 1e-10
 MAX_INDUCING = 2048
 # Statistics of the candidates of one data pass (doubles; 16M -> 128 MB a task).
 PASS_DOUBLES = 1 << 24
+# Rows whose features a task holds at once.
+STATS_ROWS = 1024
+# Kernel values made at once, so that they stay in a core's cache.
+CACHED_NUMBERS = 1 << 15
 # Added to the standard deviation of padding points.
 PADDING_SD = 1e-6
 
@@ -147,14 +151,13 @@ def _stats_pass(df: DataFrame, x: str, y: str, Z: np.ndarray, cands: list[np.nda
     def fn(batches):
         single_thread_blas()
         kern = get_kernel(kern_name)
-        phi = b = ks = None
+        phi = b = ks = features = None
+        few = 1
         ysum = yy = None
         n = 0
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            X = list_to_matrix(rb.column(0))
-            Y = vector_or_scalar(rb.column(1))
+        for X, Y in ((rb.column(0).slice(low, STATS_ROWS), rb.column(1).slice(low, STATS_ROWS))
+                     for rb in batches for low in range(0, rb.num_rows, STATS_ROWS)):
+            X, Y = list_to_matrix(X), vector_or_scalar(Y)
             if phi is None:
                 p = Y.shape[1]
                 phi = np.zeros((C, m, m))
@@ -162,8 +165,13 @@ def _stats_pass(df: DataFrame, x: str, y: str, Z: np.ndarray, cands: list[np.nda
                 ks = np.zeros((C, m))
                 ysum = np.zeros(p)
                 yy = np.zeros(p)
+                features = np.empty((2, STATS_ROWS, m))
+                few = max(16, CACHED_NUMBERS // m)
+            K, F_ = features[0][:len(X)], features[1][:len(X)]
             for c in range(C):
-                F_ = kern(X, Z, cands_arr[c]) @ Li_arr[c].T     # nb x m, whitened
+                for low in range(0, len(X), few):
+                    K[low:low + few] = kern(X[low:low + few], Z, cands_arr[c])
+                np.matmul(K, Li_arr[c].T, out=F_)               # whitened
                 phi[c] += F_.T @ F_
                 b[c] += F_.T @ Y
                 ks[c] += F_.sum(axis=0)
@@ -518,10 +526,12 @@ def predict(df: DataFrame, state: GPState, x: str = "x", keep: list[str] | None
             X = list_to_matrix(rb.column(len(keep)))
             if X.shape[1] != Z.shape[1]:
                 raise ValueError(f"input width {X.shape[1]} differs from the trained width {Z.shape[1]}")
-            K = kern(X, Z, ls)                      # nb x m
-            Q = K @ G.T                             # nb x m
-            mean = ybar[None, :] + Q @ W
-            var = s2[None, :] * np.clip(1.0 - (Q * Q) @ U, 0.0, None) + sg[None, :]
+            mean, var = np.empty((len(X), len(s2))), np.empty((len(X), len(s2)))
+            for low in range(0, len(X), STATS_ROWS):
+                own = slice(low, low + STATS_ROWS)
+                Q = kern(X[own], Z, ls) @ G.T       # rows x m
+                mean[own] = ybar[None, :] + Q @ W
+                var[own] = s2[None, :] * np.clip(1.0 - (Q * Q) @ U, 0.0, None) + sg[None, :]
             sd = np.sqrt(var)
             lo, hi = mean - zz * sd, mean + zz * sd
             cols = [rb.column(i) for i in range(len(keep))]
