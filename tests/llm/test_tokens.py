@@ -248,3 +248,20 @@ def test_edit_counts_against_encoding_again(spark, library, edge_docs):
             len(library(text[r.doc_id])), n, len(library(masked)), len(masked))
     assert edit_counts.edit_counts(docs.limit(0)).count() == 0
     assert edit_counts.edit_counts(docs.where("doc_id is null")).count() == 2
+
+
+def test_the_table_of_fingerprints_grows_with_what_is_known():
+    draw = np.random.default_rng(1)
+    table = tokens.Fingerprints()
+    assert table.slots.nbytes < 1 << 20
+    h = np.unique(draw.integers(1, 1 << 63, 100_000, np.uint64))
+    draw.shuffle(h)
+    for at in range(0, len(h), 7_000):
+        own = h[at:at + 7_000]
+        assert (table.find(own) == -1).all()
+        table.insert(own, np.arange(at, at + len(own), dtype=np.int32))
+        assert (table.find(h[:at + 7_000]) == np.arange(min(len(h), at + 7_000))).all()
+        assert 2 * table.known <= len(table.slots) <= max(tokens.FIRST_SLOTS, 4 * table.known)
+    assert (table.find(draw.integers(1 << 63, 1 << 64, 1000, np.uint64)) == -1).all()
+    table.clear()
+    assert table.slots.nbytes < 1 << 20 and (table.find(h) == -1).all()
