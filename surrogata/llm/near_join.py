@@ -68,7 +68,7 @@ def near_links(docs: DataFrame, text_col: str = "text", tag: str = "near") -> tu
     """((node, root): classes that links join, (node, links)): of the texts of a table."""
     spark = docs.sparkSession
     text = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
-    members = candidate_components(text.mapInArrow(_keys, "key long, node long"), tag)
+    members = candidate_components(text, _keys, tag)
     bits = spark.sparkContext.broadcast(needed_bits(members))
     own = text.mapInArrow(_texts(bits), "node long, text string")
     links = verified_links(members, own, shingle_list, ROWS * BANDS, THRESHOLD, tag)      # written
