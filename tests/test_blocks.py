@@ -80,4 +80,4 @@ def test_queries_ask_for_blocks(monkeypatch):
     monkeypatch.setattr(registry, "_eval", lambda spark, sf, model, **kw: asked.update({model: kw}))
     registry.q_gp_exact_embeddings(None, "")
     registry.q_gp_rgasp_embeddings(None, "")
-    assert asked == {"exact_gp": {"blocks": True}, "rgasp": {}}
+    assert asked == {"exact_gp": {"blocks": True}, "rgasp": {"blocks": True}}
